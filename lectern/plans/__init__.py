@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("library",)
+_AREAS = ("library", "timeline")
 
 
 def load_all():
