@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("library", "timeline")
+_AREAS = ("library", "timeline", "catalog")
 
 
 def load_all():
