@@ -8,10 +8,13 @@ a split is evaluated once per document.
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.functions.rows import numbered_rows
 
 # ---------------------------------------------------------------- slicing and packing
 
@@ -48,7 +51,7 @@ def pack(df: DataFrame, parts: str, out: str, limit: int, separator: str = " ")
 
 def explode_chunks(df: DataFrame, keys: list[str], chunks: str) -> DataFrame:
     """One row per chunk, numbered from 0."""
-    return df.select(*keys, F.posexplode(chunks).alias("chunk_no", "text"))
+    return numbered_rows(df, keys, chunks, "chunk_no", "text")
 
 
 # ---------------------------------------------------------------- sentences
@@ -213,9 +216,6 @@ LONG_FORM_ABBREVIATIONS = (
 
 def long_form_chunks(limit: int = 800):
     """Arrow UDF: text → chunks of at most `limit` characters that never cut inside a `[tag]`."""
-    import pandas as pd
-    import regex
-
     plain = "|".join(a for a in LONG_FORM_ABBREVIATIONS if "." not in a)
     # Tags are blanked out first, so no punctuation inside one can match.
     full_stop = regex.compile(rf"(?:(?<!(?<!\p{{L}})(?i:{plain}))(?<!\d\p{{L}}*)\.|[!?])(?=\s|$)")
@@ -275,13 +275,13 @@ def play_run_chunks(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     runs = speaker_runs(df, text, "__r")
     each = F.flatten(F.transform("__r", lambda r: F.transform(
         play_chunks(r["text"]), lambda c: F.struct(r["speaker"].alias("speaker"), c.alias("text")))))
-    return runs.select(*keys, F.posexplode(each).alias("chunk_no", "__c")).select(*keys, "chunk_no", "__c.*")
+    return numbered_rows(runs, keys, each, "chunk_no", "__c").select(*keys, "chunk_no", "__c.*")
 
 
 def line_segments(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """One segment per non-blank line, numbered from 1, spoken by the narrator."""
     kept = F.filter(F.transform(tx.lines(F.col(text)), tx.strip), lambda x: x != "")
-    return df.select(*keys, F.posexplode(kept).alias("n", "text")).select(
+    return numbered_rows(df, keys, kept, "n", "text").select(
         *keys, (F.col("n") + 1).alias("num"), F.lit("Narrator").alias("profile_id"), "text")
 
 
@@ -290,19 +290,20 @@ def paragraph_segments(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     body = F.transform(F.split(F.col(text), rf"(?U)\n{tx.SPACE}*\n"), lambda p: F.array_join(
         F.filter(F.transform(tx.lines(p), tx.strip), lambda x: x != ""), " "))
     kept = F.filter(body, lambda p: p != "")
-    return df.select(*keys, F.posexplode(kept).alias("n", "text")).select(*keys, (F.col("n") + 1).alias("num"), "text")
+    return numbered_rows(df, keys, kept, "n", "text").select(*keys, (F.col("n") + 1).alias("num"), "text")
 
 
 def pair_segments(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Alternating speaker / text lines → segments; an odd last line is dropped."""
     cut = df.withColumn("__l", F.filter(F.transform(tx.lines(F.col(text)), tx.strip), lambda x: x != ""))
-    count = F.floor(F.size("__l") / 2).cast("int")
-    at = F.explode(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")))
-    rows = cut.select(*keys, at.alias("num"), "__l")
-    speaker = F.replace(F.upper(F.get("__l", F.col("num") * 2 - 2)), F.lit("’"), F.lit("'"))
-    line = F.get("__l", F.col("num") * 2 - 1)
-    return rows.select(*keys, "num", speaker.alias("profile_id"),
-                       tx.without_direction_brackets(speaker, line).alias("text"))
+    pairs = F.transform(F.filter(tx.with_next(F.transform("__l", lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
+                                              lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                                 lambda p: (p["a"]["i"] % 2 == 0) & p["b"].isNotNull()),
+                        lambda p: F.struct(F.replace(F.upper(p["a"]["x"]), F.lit("’"), F.lit("'")).alias("s"),
+                                           p["b"]["x"].alias("b")))
+    rows = numbered_rows(cut, keys, pairs, "n", "p")
+    return rows.select(*keys, (F.col("n") + 1).alias("num"), F.col("p.s").alias("profile_id"),
+                       tx.without_direction_brackets(F.col("p.s"), F.col("p.b")).alias("text"))
 
 
 def numbered_seeds(chunks: DataFrame, seed: int) -> DataFrame:

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.functions.rows import numbered_rows, plain_rows
 
 
 def normalised_lines(docs: DataFrame, rules: list[tx.Rule], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rules over every line; one row per remaining line, numbered from 0."""
     done = tx.apply_rules_to_lines(tx.lines(F.col(text)), rules)
-    return docs.select(key, F.posexplode(done).alias("line_no", "line"))
+    return numbered_rows(docs, [key], done, "line_no", "line")
 
 
 def changed_lines(docs: DataFrame, rule: tx.Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines one rule would change, before and after; none for a pattern that is not valid."""
-    rows = docs.select(key, F.posexplode(tx.lines(F.col(text))).alias("line_no", "before"))
+    rows = numbered_rows(docs, [key], tx.lines(F.col(text)), "line_no", "before")
     return rows.withColumn("after", tx.apply_rules(F.col("before"), [rule])).filter("before <> after")
 
 
@@ -29,8 +30,8 @@ def rule_dry_run(docs: DataFrame, rules: list[tx.Rule], key: str = "doc_id", tex
             after = F.regexp_replace("before", F.lit(compiled.pattern), F.lit(compiled.replacement))
             tests.append(F.when(after != F.col("before"), F.struct(
                 F.lit(n).alias("rule"), F.regexp_count("before", F.lit(compiled.pattern)).alias("n"))))
-    rows = docs.select(key, F.explode(tx.lines(F.col(text))).alias("before"))
-    hits = rows.select(key, F.explode(F.array_compact(F.array(*tests))).alias("t")).select(key, "t.*")
+    rows = plain_rows(docs, [key], tx.lines(F.col(text)), "before")
+    hits = plain_rows(rows, [key], F.array_compact(F.array(*tests)), "t").select(key, "t.*")
     per_doc = hits.groupBy("rule", key).agg(F.count("*").alias("k"), F.sum("n").alias("m"))
     return per_doc.groupBy("rule").agg(
         F.sum("k").alias("changed_lines"), F.sum("m").alias("matches"), F.count("*").alias("documents"))

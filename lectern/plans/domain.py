@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.sources.tables import read_table, spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 
+#: Tables whose rows are costly to process, with the key that spreads them.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
 _ITEM_ID = "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)"
 
 VIEWS: dict[str, tuple[str, list[str]]] = {
@@ -127,7 +132,8 @@ class Domain:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = read_table(self.spark, self.sf_dir, name)
+            return spread(table, _TEXT_TABLES[name]) if name in _TEXT_TABLES else table
         if name in VIEWS:
             source, columns = VIEWS[name]
             return getattr(self, source).selectExpr(*columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.functions.rows import numbered_rows
 from lectern.operators import corpus
 from lectern.plans.domain import ctes
 from lectern.plans.registry import query
@@ -57,7 +58,7 @@ WHERE NOT regexp_matches(trim(x), '^[-–—]?\\s*[0-9]+\\s*[-–—]?$')
   AND NOT regexp_matches(lower(trim(x)), '^(page|p\\.)\\s*[0-9]+$')""")
 def _(t):
     kept = tx.drop_page_numbers(tx.lines(F.col("text")), tx.PAGE_NUMBER_PROSE)
-    return _numbered(t).select("doc_id", F.posexplode(kept).alias("line_no", "line"))
+    return numbered_rows(_numbered(t), ["doc_id"], kept, "line_no", "line")
 
 
 @query("page_numbers_play", f"""WITH d AS (SELECT doc_id, {_NUMBERED} AS text FROM documents), {lines_cte('d')}
@@ -65,7 +66,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
 WHERE NOT regexp_matches(trim(x), '^[0-9]+$') AND NOT regexp_matches(trim(x), '^[0-9]+\\.\\s+.*$')""")
 def _(t):
     kept = tx.drop_page_numbers(tx.lines(F.col("text")), tx.PAGE_NUMBER_PLAY)
-    return _numbered(t).select("doc_id", F.posexplode(kept).alias("line_no", "line"))
+    return numbered_rows(_numbered(t), ["doc_id"], kept, "line_no", "line")
 
 
 _SPACED = "replace(text, '. ', concat('.', chr(10), chr(10), chr(10), ' ', chr(10)))"
@@ -77,8 +78,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
 WHERE NOT (x = '' AND before IS NOT NULL AND before = '')""")
 def _(t):
     spaced = t.documents.selectExpr("doc_id", "replace(text, '. ', '.\\n\\n\\n \\n') AS text")
-    return spaced.select("doc_id", F.posexplode(tx.collapse_blank_lines(tx.lines(F.col("text"))))
-                         .alias("line_no", "line"))
+    return numbered_rows(spaced, ["doc_id"], tx.collapse_blank_lines(tx.lines(F.col("text"))), "line_no", "line")
 
 
 @query("blank_line_collapse_loose", f"""WITH d AS (SELECT doc_id, {_SPACED} AS text FROM documents), {lines_cte('d')},
@@ -87,8 +87,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS IN
 WHERE NOT (trim(x) = '' AND (before IS NULL OR trim(before) = ''))""")
 def _(t):
     spaced = t.documents.selectExpr("doc_id", "replace(text, '. ', '.\\n\\n\\n \\n') AS text")
-    return spaced.select("doc_id", F.posexplode(tx.collapse_blank_lines_loose(tx.lines(F.col("text"))))
-                         .alias("line_no", "line"))
+    return numbered_rows(spaced, ["doc_id"], tx.collapse_blank_lines_loose(tx.lines(F.col("text"))), "line_no", "line")
 
 
 @query("dehyphenate_paragraphs", """
@@ -104,8 +103,7 @@ WHERE x <> ''""")
 def _(t):
     broken = t.documents.selectExpr(
         "doc_id", "replace(replace(text, 'ti', 't-\\ni'), '. ', '.  \\n\\n') AS text")
-    return broken.select("doc_id", F.posexplode(tx.paragraphs(tx.join_hyphens(F.col("text"))))
-                         .alias("para_no", "text"))
+    return numbered_rows(broken, ["doc_id"], tx.paragraphs(tx.join_hyphens(F.col("text"))), "para_no", "text")
 
 
 @query("terminal_punctuation", f"""WITH {lines_cte()}, c AS (SELECT doc_id, i, trim(x) AS b,
@@ -113,7 +111,7 @@ def _(t):
 SELECT doc_id, CAST(i - 1 AS INT) AS line_no, CASE WHEN y = '' THEN b WHEN right(y, 1) IN ('.', '!', '?', '…') THEN y
   ELSE y || '.' END AS spoken FROM c""")
 def _(t):
-    rows = t.documents.select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("line_no", "x"))
+    rows = numbered_rows(t.documents, ["doc_id"], tx.lines(F.col("text")), "line_no", "x")
     return rows.select("doc_id", "line_no", tx.closed_for_speech(F.col("x")).alias("spoken"))
 
 
