@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("library", "timeline", "catalog", "text", "chunks")
+_AREAS = ("library", "timeline", "catalog", "text", "chunks", "quality")
 
 
 def load_all():
