@@ -100,14 +100,22 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "AS explicit_voice",
     ]),
     "progress": ("events", [
-        "concat('model-', user_id % 7) AS key", "event_id", "ts",
-        "CASE WHEN event_type = 'signup' THEN 0 ELSE event_id % 1000 END AS current",
-        "CASE WHEN event_id % 31 = 0 THEN 0 ELSE 1000 END AS total",
-        "CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' WHEN 'view' THEN 'extracting' "
-        "ELSE 'downloading' END AS status",
+        "concat('model-', user_id % 7) AS key", "event_id", "event_id * 87 + (user_id * 31) % 80 AS at_ms",
+        "CAST(floor(event_id / 10) AS BIGINT) % 1000 AS current",
+        "CASE WHEN event_id % 131 = 0 THEN 0 ELSE 1000 END AS total",
+        "CASE WHEN event_id % 97 = 0 THEN 'complete' WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'error' "
+        "WHEN event_type = 'view' THEN 'extracting' ELSE 'downloading' END AS status",
     ]),
     "speed_samples": ("events", [
         "event_type AS engine", "event_id", "ts", "event_id % 40 AS chars", "value * 100 AS duration_ms",
+        "event_id % 9 <> 0 AS ok",
+    ]),
+    "log_lines": ("events", [
+        "event_type AS queue", "event_id", "ts",
+        "CASE event_id % 4 WHEN 0 THEN concat('[QC] Tentative ', 1 + user_id % 5, '/20 — segment 7...') "
+        "WHEN 1 THEN concat('[QC] Insuffisant (Meilleur : ', user_id, '%) — nouvelle tentative...') "
+        "WHEN 2 THEN concat('[QC] Version 1/2 — tentative ', 1 + user_id % 3, ' /20 (meilleur : ', "
+        "CASE WHEN user_id % 2 = 0 THEN '—' ELSE CAST(user_id AS STRING) END, '%)') ELSE 'other' END AS line",
     ]),
     "artifacts": ("documents", [
         "source AS project", "doc_id", "n_chars AS size",
