@@ -12,6 +12,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import text as tx
 from lectern.functions.rows import numbered_rows
@@ -246,7 +247,7 @@ def long_form_chunks(limit: int = 800):
             rest = rest[at:].lstrip()
         return [c for c in [*out, rest] if c]
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(chunks)
 
