@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("library", "timeline", "catalog", "text", "chunks", "quality", "state", "dialogue")
+_AREAS = ("library", "timeline", "catalog", "text", "chunks", "quality", "state", "dialogue", "evaluation")
 
 
 def load_all():
