@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("library", "timeline", "catalog", "text", "chunks", "quality", "state", "dialogue", "evaluation")
+_AREAS = ("library", "timeline", "catalog", "text", "chunks", "quality", "state", "dialogue", "evaluation",
+          "signals", "files")
 
 
 def load_all():
