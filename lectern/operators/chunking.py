@@ -107,7 +107,8 @@ def sentences_legacy(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def sentences(text: Column) -> Column:
     """Cut after `.!?…` and an optional closer when a capital, digit, opener or dash follows."""
-    shielded = F.regexp_replace(text, rf"(?<={_alternatives(PROTECTED)})\.", "\x00")
+    # The point comes first in the pattern, so the look-behind runs at points only and not at every character.
+    shielded = F.regexp_replace(text, rf"\.(?<=(?:{_alternatives(PROTECTED)})\.)", "\x00")
     cut = F.regexp_replace(
         shielded, rf"(?U)([.!?…]+[\"»”'\)\]]?){tx.SPACE}+(?=[«\"“\(\[A-ZÀ-ÖØ-Þ0-9—–-])", "$1\n")
     parts = F.transform(F.split(F.translate(cut, "\x00", "."), "\n"), tx.strip)

@@ -276,7 +276,7 @@ def _(t):
 
 def _chunk_replies(t):
     """Turns as marked chunks with a made-up reply: halves of the text under two names."""
-    c = t.conversations.selectExpr(
+    c = t.turns.selectExpr(
         "conv_id", "turn", "text", "replace(replace(text, ', ', ' }« '), '. ', '. »{ ') AS marked",
         "concat('ANNA\n', substr(text, 1, CAST(length(text) / 2 AS INT)), '\n\nNARRATEUR\nIl dit.\n\nBORIS\n', "
         "substr(text, CAST(length(text) / 2 AS INT) + 1)) AS reply")
@@ -315,13 +315,13 @@ UNION ALL SELECT conv_id * 100 + turn, unnest(list_filter(string_split_regex(low
   lambda z: z <> '')), -1 FROM conversations)
 SELECT id, word, CAST(sum(d) AS BIGINT) AS lost FROM w GROUP BY 1, 2 HAVING sum(d) > 0""")
 def _(t):
-    docs = t.conversations.selectExpr("conv_id * 100 + turn AS id", "text", "replace(text, ' la ', ' ') AS after")
+    docs = t.turns.selectExpr("conv_id * 100 + turn AS id", "text", "replace(text, ' la ', ' ') AS after")
     return at.lost_words(docs, "id", "text", "after")
 
 
 @query("integrity_ratio")
 def _(t):
-    docs = t.conversations.selectExpr("conv_id", "turn", "text", "replace(text, ' la ', ' ') AS after")
+    docs = t.turns.selectExpr("conv_id", "turn", "text", "replace(text, ' la ', ' ') AS after")
     checked = at.integrity(docs, "text", "after", "c")
     return checked.select("conv_id", "turn", F.round("c.ratio", 6).alias("ratio"), F.size("c.lost").alias("passages"),
                           (F.col("c.ratio") >= at.INTACT_RATIO).alias("intact"))
@@ -333,7 +333,7 @@ WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'NARRATEUR' ELSE u
 SELECT conv_id, turn FROM s WHERE speaker = 'NARRATEUR' AND regexp_matches(trim(text), '^[—–\\-«“"]')
 AND length(trim(text)) > 2""")
 def _(t):
-    return t.conversations.selectExpr(
+    return t.turns.selectExpr(
         "conv_id", "turn", "CASE WHEN role = 'user' THEN 'NARRATEUR' ELSE upper(role) END AS speaker",
         "CASE turn % 3 WHEN 0 THEN concat(' — ', text) WHEN 1 THEN text ELSE '«' END AS text").filter(
         at.narrator_speaks()).select("conv_id", "turn")
@@ -401,4 +401,4 @@ def _(t):
 @query("mark_as_narration", """
 SELECT conv_id, turn, concat('NARRATEUR', chr(10), chr(10), trim(text, ' ' || chr(10)), chr(10)) AS text FROM conversations""")
 def _(t):
-    return t.conversations.select("conv_id", "turn", at.as_narration(F.col("text")).alias("text"))
+    return t.turns.select("conv_id", "turn", at.as_narration(F.col("text")).alias("text"))

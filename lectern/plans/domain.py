@@ -138,6 +138,11 @@ class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
+    @property
+    def turns(self) -> DataFrame:
+        """Conversation turns spread over all cores, for jobs that do much work per turn."""
+        return spread(self.conversations, "conv_id", "turn")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             table = read_table(self.spark, self.sf_dir, name)

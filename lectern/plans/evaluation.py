@@ -27,7 +27,7 @@ SELECT c.conv_id * 100 + c.turn AS id, CASE WHEN coalesce(r.n, 0) < 6 THEN {_RAW
 FROM conversations c LEFT JOIN (SELECT id, max(n) AS n, string_agg(w, ' ' ORDER BY i) FILTER (NOT (len >= 6 AND k <> '')) AS t
   FROM run GROUP BY 1) r ON r.id = c.conv_id * 100 + c.turn""")
 def _(t):
-    raw = t.conversations.selectExpr("conv_id * 100 + turn AS id", f"{_RAW} AS text")
+    raw = t.turns.selectExpr("conv_id * 100 + turn AS id", f"{_RAW} AS text")
     return ev.collapse_word_loops(raw, "text", "out").select("id", F.col("out").alias("text"))
 
 
@@ -39,7 +39,7 @@ def _(t):
 
 @query("loop_collapse")
 def _(t):
-    raw = t.conversations.selectExpr("conv_id * 100 + turn AS id", f"{_RAW} AS text")
+    raw = t.turns.selectExpr("conv_id * 100 + turn AS id", f"{_RAW} AS text")
     return ev.collapse_loops(raw, "text", "out").select("id", F.col("out").alias("text"))
 
 
@@ -47,7 +47,7 @@ def _(t):
 SELECT c.conv_id * 100 + c.turn AS id, coalesce(max(CASE WHEN r.len >= 6 AND r.k <> '' THEN 1 ELSE 0 END), 0) = 1 AS looped
 FROM conversations c LEFT JOIN run r ON r.id = c.conv_id * 100 + c.turn GROUP BY 1""")
 def _(t):
-    refined = t.conversations.selectExpr("conv_id * 100 + turn AS id", f"{_REFINED} AS text")
+    refined = t.turns.selectExpr("conv_id * 100 + turn AS id", f"{_REFINED} AS text")
     return ev.detect_loops(refined, "text", "looped").select("id", "looped")
 
 
@@ -57,7 +57,7 @@ _CARD_COLUMNS = ["conv_id", "turn", "concat('model-', conv_id % 4) AS model", "t
 
 def _cards(t):
     plain = ("CASE WHEN turn % 3 = 1 THEN replace(replace(text, ' de ', ' um '), ' la ', ' you know ') ELSE text END")
-    c = t.conversations.selectExpr(*_CARD_COLUMNS, f"{plain} AS raw", f"{_REFINED} AS refined",
+    c = t.turns.selectExpr(*_CARD_COLUMNS, f"{plain} AS raw", f"{_REFINED} AS refined",
                                    "array('die', 'la', 'Enter') AS must_contain")
     return ev.refinement_scores(c)
 
@@ -113,7 +113,7 @@ SELECT conv_id, turn, concat_ws('; ', CASE WHEN trim(refined) = '' THEN 'empty-o
   CASE WHEN len(dirs) > 0 THEN concat('stage-directions=[', array_to_string(list_transform(dirs, lambda d:
     concat('''', d, '''')), ', '), ']') END) AS flags FROM s""")
 def _(t):
-    p = t.conversations.selectExpr("conv_id", "turn", f"{_PERSONA} AS refined")
+    p = t.turns.selectExpr("conv_id", "turn", f"{_PERSONA} AS refined")
     return ev.persona_scores(p).select("conv_id", "turn", F.array_join("flags", "; ").alias("flags"))
 
 

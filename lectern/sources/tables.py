@@ -9,7 +9,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Spread a table that arrives in fewer pieces than there are cores.
 
     Text jobs cost far more CPU than reading, so one small file should not keep
@@ -18,4 +18,4 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     the piece, so a retried task sees the same rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
