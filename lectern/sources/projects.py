@@ -53,7 +53,10 @@ def project_segments(json_segments: DataFrame, legacy: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Paths, times and sizes; the contents are not read because the column is not selected."""
+    """Paths, times and sizes; the contents are not read because the column is not selected.
+
+    Spark's file scan leaves out files of zero bytes.
+    """
     return spark.read.format("binaryFile").load(pattern).select(
         "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
