@@ -61,8 +61,18 @@ def page_with_total(df: DataFrame, order: list[Column], limit: int, offset: int
 
     The total is a one-row aggregate, so the join adds one value, not rows.
     """
-    total = df.agg(F.count("*").alias("total")).withColumn("__one", F.lit(1))
-    return page(df, order, limit, offset).withColumn("__one", F.lit(1)).join(total, "__one").drop("__one")
+    return with_single(page(df, order, limit, offset), df.agg(F.count("*").alias("total")))
+
+
+def with_single(df: DataFrame, single: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row.
+
+    An aggregate without keys has exactly one row whatever its input, which is
+    the size bound that allows the broadcast; without it all rows would meet in
+    one partition.
+    """
+    return df.withColumn("__one", F.lit(1)).join(
+        F.broadcast(single.withColumn("__one", F.lit(1))), "__one", "left").drop("__one")
 
 
 def story_detail(items: DataFrame, generations: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -339,14 +349,12 @@ def resolve_voice(requests: DataFrame, profiles: DataFrame, clients: DataFrame,
     ids = profiles.select(F.col("id").alias("__hit"), F.col("id").cast("string").alias("__idkey"))
     bound = clients.join(profiles.select(F.col("id").alias("profile_id")), "profile_id", "left_semi").select(
         "client_id", F.col("profile_id").alias("__bound"))
-    fallback = profiles.filter(F.col("id") == default_id).agg(F.max("id").alias("__default")).withColumn(
-        "__one", F.lit(1))
+    fallback = profiles.filter(F.col("id") == default_id).agg(F.max("id").alias("__default"))
     return (
-        requests.withColumn("__one", F.lit(1))
+        with_single(requests, fallback)
         .join(ids, F.col("explicit_voice") == F.col("__idkey"), "left")
         .join(by_name, F.lower("explicit_voice") == F.col("__key"), "left")
         .join(bound, "client_id", "left")
-        .join(fallback, "__one", "left")
         .withColumn("resolved_profile", F.when(F.col("explicit_voice").isNotNull(), F.coalesce("__hit", "__named"))
                     .otherwise(F.coalesce("__bound", "__default")))
         .select(*requests.columns, "resolved_profile")

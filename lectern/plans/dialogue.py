@@ -141,7 +141,14 @@ def _(t):
     return rows.select("doc_id", "line_no", play.is_direction(F.col("x"), ["ANNA", "CLARA"]).alias("direction"))
 
 
-@query("scene_title_merge")
+@query("scene_title_merge", f"""WITH {lines_cte()}, m AS (SELECT doc_id, i, CASE WHEN (i - 1) % 4 = 0 THEN 'SCÈNE' ELSE x END
+  AS x FROM l), f AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) = 'SCÈNE' AS taken,
+  lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM m WHERE trim(x) <> ''),
+o AS (SELECT doc_id, i, CASE WHEN x = 'SCÈNE' THEN CASE WHEN nxt IS NULL THEN x ELSE
+  'SCÈNE ' || regexp_extract(trim(nxt), '^[^\\s]+') END WHEN taken THEN
+  trim(regexp_replace(trim(x), '^[^\\s]+', '')) ELSE x END AS line, taken FROM f)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS line_no, line FROM o
+WHERE line <> ''""")
 def _(t):
     made = F.transform(tx.lines(F.col("text")), lambda x, n: F.when(n % 4 == 0, "SCÈNE").otherwise(x))
     return numbered_rows(t.documents.select("doc_id", made.alias("a")), ["doc_id"],

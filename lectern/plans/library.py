@@ -258,7 +258,14 @@ def _(t):
     return lib.name_conflicts(updates, t.profiles)
 
 
-@query("bulk_import_names")
+@query("bulk_import_names", """
+WITH u AS (SELECT DISTINCT p_name AS base, CAST(p_size AS BIGINT) AS k FROM part),
+w AS (SELECT p_partkey AS ord, p_name AS base, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part),
+free AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) AS r FROM (SELECT base,
+  unnest(range(0, n + 60)) AS k FROM (SELECT p_name AS base, count(*) AS n FROM part GROUP BY 1)) x
+  WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.base = x.base AND u.k = x.k))
+SELECT w.ord, CASE WHEN f.k = 0 THEN w.base ELSE concat(w.base, ' (', f.k, ')') END AS name
+FROM w JOIN free f ON f.base = w.base AND f.r = w.r""")
 def _(t):
     wanted = t.part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
     taken = t.part.select(F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit(")")).alias("name"))

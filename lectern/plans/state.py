@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.operators import ordered as od
 from lectern.operators import state as st
 from lectern.plans.domain import ctes
 from lectern.plans.registry import query
@@ -125,3 +126,26 @@ SELECT queue, event_id, CAST(series AS BIGINT) AS series,
 FROM s""")
 def _(t):
     return st.log_metrics(t.log_lines).select("queue", "event_id", "series", "attempt", "best_percent")
+
+
+@query("merged_event_runs", """
+WITH f AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS fresh FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run_no FROM f)
+SELECT user_id, CAST(run_no AS BIGINT) AS run_no, event_type AS run_value, count(*) AS events, min(ts) AS first_at,
+  max(ts) AS last_at FROM g GROUP BY 1, 2, 3""")
+def _(t):
+    return od.merged_runs(
+        t.events, ["user_id"], ["ts", "event_id"], od.time_block(F.col("ts"), 86400), F.col("event_type"),
+        {"events": F.count("*"), "first_at": F.min("ts"), "last_at": F.max("ts")})
+
+
+@query("two_sided_fill", """
+SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id
+  ORDER BY ts, event_id) AS before, first_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (
+  PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM events""")
+def _(t):
+    known = F.when(F.col("event_type") == "purchase", F.col("value"))
+    return od.ordered_scan(
+        t.events, ["user_id"], ["ts", "event_id"], od.time_block(F.col("ts"), 86400),
+        [od.last_known(known, "before"), od.next_known_after(known, "after")]).select("event_id", "before", "after")

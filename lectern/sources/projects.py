@@ -154,21 +154,21 @@ def markup_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
 # ---------------------------------------------------------------- sinks
 
 
-def write_segments(segments: DataFrame, path: str, parts_per_project: int = 8) -> None:
+def write_segments(segments: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """Replace the stored segments of exactly the projects in `segments`.
 
-    Rows are spread by (project, number), so a very large project is written
-    by several tasks.  Each segment gets its zero-padded id from its number.
+    Rows are spread by project and stretch of numbers, so a small project is
+    one file and a very large one is written by several tasks.  Each segment
+    gets its zero-padded id from its number.
     """
     named = segments.withColumn("segment_id", F.concat(F.lit("seg"), F.lpad(F.col("num").cast("string"), 5, "0")))
-    spread = named.repartition("project", F.col("num") % parts_per_project)
-    (spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project")
-     .option("maxRecordsPerFile", 5_000_000).parquet(path))
+    spread = named.repartition("project", block_of(F.col("num"), rows_per_file))
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> DataFrame:
+def write_chunks(chunks: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
     """Replace the stored chunks of the projects in `chunks` and return their catalogue."""
-    spread = chunks.repartition("project", F.col("idx") % 8)
+    spread = chunks.repartition("project", block_of(F.col("idx"), rows_per_file))
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
     stored = chunks.sparkSession.read.parquet(path)
     return stored.select("project", "idx", F.length("text").alias("chars"), tx.preview(F.col("text")).alias("preview"))
