@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.joins import optional_join
 from lectern.operators.ordered import block_of, ordered_scan, running_sum, sum_before, time_block
 
 
@@ -99,7 +100,7 @@ def resolved_audio(items: DataFrame, generations: DataFrame, versions: DataFrame
     pinned = versions.select(F.col("id").alias("version_id"), F.col("audio_path").alias("__pinned"))
     own = generations.select(F.col("id").alias("generation_id"), F.col("audio_path").alias("__own"))
     return (
-        items.join(own, "generation_id").join(pinned, "version_id", "left")
+        optional_join(items.join(own, "generation_id"), pinned, ["version_id"], ["id"])
         .withColumn("audio_path", F.coalesce("__pinned", "__own")).drop("__pinned", "__own")
     )
 
@@ -345,20 +346,17 @@ def last_seen(requests: DataFrame) -> DataFrame:
 
 def resolve_voice(requests: DataFrame, profiles: DataFrame, clients: DataFrame, default_id: int | None) -> DataFrame:
     """Explicit voice (id, then name; no fall-through) → client binding → global default → none."""
-    by_name = profiles.groupBy(F.lower("name").alias("__key")).agg(F.min("id").alias("__named"))
-    ids = profiles.select(F.col("id").alias("__hit"), F.col("id").cast("string").alias("__idkey"))
+    by_name = profiles.groupBy(F.lower("name").alias("__name")).agg(F.min("id").alias("__named"))
+    by_id = profiles.select(F.col("id").cast("string").alias("explicit_voice"), F.col("id").alias("__hit"))
     bound = clients.join(profiles.select(F.col("id").alias("profile_id")), "profile_id", "left_semi").select(
         "client_id", F.col("profile_id").alias("__bound"))
     fallback = profiles.filter(F.col("id") == default_id).agg(F.max("id").alias("__default"))
-    return (
-        with_single(requests, fallback)
-        .join(ids, F.col("explicit_voice") == F.col("__idkey"), "left")
-        .join(by_name, F.lower("explicit_voice") == F.col("__key"), "left")
-        .join(bound, "client_id", "left")
-        .withColumn("resolved_profile", F.when(F.col("explicit_voice").isNotNull(), F.coalesce("__hit", "__named"))
-                    .otherwise(F.coalesce("__bound", "__default")))
-        .select(*requests.columns, "resolved_profile")
-    )
+    asked = with_single(requests, fallback).withColumn("__name", F.lower("explicit_voice"))
+    asked = optional_join(asked, by_id, ["explicit_voice"], requests.columns)
+    asked = optional_join(asked, by_name, ["__name"], requests.columns).join(bound, "client_id", "left")
+    return asked.withColumn(
+        "resolved_profile", F.when(F.col("explicit_voice").isNotNull(), F.coalesce("__hit", "__named"))
+        .otherwise(F.coalesce("__bound", "__default"))).select(*requests.columns, "resolved_profile")
 
 
 def invalidate_refined(captures: DataFrame, retranscribed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.vectors import cosine, norm
 from lectern.operators.catalog import role_filter, voice_ids
+from lectern.operators.joins import optional_join
 
 # Duration limits, reference slices, buckets and default thresholds.
 FLOOR_SEC = 0.3
@@ -109,7 +110,8 @@ def segment_thresholds(segments: DataFrame, mapping: DataFrame, voices: DataFram
         .withColumn("bucket", F.when(F.col("qc_duration").isNotNull(), duration_bucket(F.col("qc_duration"))))
     )
     ids = voice_ids(named.select("voice_name").filter("voice_name IS NOT NULL").distinct(), voices)
-    return named.join(ids, "voice_name", "left").join(store, ["voice_id", "bucket"], "left").drop("__role", "__mapped")
+    found = optional_join(named, ids, ["voice_name"], ["project", "num"])
+    return optional_join(found, store, ["voice_id", "bucket"], ["project", "num"]).drop("__role", "__mapped")
 
 
 def role_thresholds(mapping: DataFrame, voices: DataFrame, store: DataFrame) -> DataFrame:
@@ -152,8 +154,10 @@ def anomalies(
     by_role = role_thresholds.select("project", F.col("role").alias("profile_id"), "bucket",
                                      F.col("pct").alias("__role_pct"))
     judged = (
-        role_filter(segments, role).filter("has_audio").withColumn("bucket", bucket)
-        .join(has_voice, "generated_voice", "left").join(by_voice, ["generated_voice", "bucket"], "left")
+        optional_join(
+            optional_join(role_filter(segments, role).filter("has_audio").withColumn("bucket", bucket),
+                          has_voice, ["generated_voice"], ["project", "num"]),
+            by_voice, ["generated_voice", "bucket"], ["project", "num"])
         .join(by_role, ["project", "profile_id", "bucket"], "left")
         .withColumn("threshold", F.when(F.col("__has"), F.col("__voice_pct")).otherwise(F.col("__role_pct")))
     )
