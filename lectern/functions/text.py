@@ -100,7 +100,9 @@ def compile_rule(rule: Rule) -> CompiledRule | None:
             text, groups = re.escape(text), 0
     pattern = text.replace("(?P<", "(?<")
     pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
-    return CompiledRule(f"(?U{flags})" + pattern, _java_replacement(rule.replace, groups))
+    # Unicode classes cost time, so they are asked for only by patterns that use a class.
+    flags = flags.replace("i", "iu") + ("U" if re.search(r"\\[wWdDsSbB]", text) else "")
+    return CompiledRule((f"(?{flags})" if flags else "") + pattern, _java_replacement(rule.replace, groups))
 
 
 def _group_count(pattern: str) -> int | None:

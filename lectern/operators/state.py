@@ -47,98 +47,134 @@ def observed_rate() -> Column:
 
 
 def _slices(samples: DataFrame, seconds: int) -> DataFrame:
-    return samples.withColumn("observed", observed_rate()).withColumn("slice", time_block(F.col("ts"), seconds))
+    return samples.withColumns({
+        "observed": observed_rate(), "slice": time_block(F.col("ts"), seconds),
+        "at_us": F.unix_micros(F.col("ts").cast("timestamp"))})
 
 
-def _summarise(group: pd.DataFrame) -> pd.DataFrame:
-    """Fold one slice from the lowest and from the highest state the key can have.
+def _walk(rows: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:
+    """Spread by `keys`, sort, and stream the sorted rows through `fn`; no group is ever held in memory."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fn, schema)
+
+
+def _table(rows: list[tuple], columns: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns.split(), dtype=object)
+
+
+def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fold every slice from the lowest and from the highest state its key can have.
 
     The step never reverses order, so when both ends meet, every start gives
     that same result and the observations are no longer needed.
     """
-    group = group.sort_values(["ts", "event_id"])
-    values = group["observed"].tolist()
-    low, high = round(float(group["low"].iloc[0]), 3), round(float(group["high"].iloc[0]), 3)
-    for v in values:
-        low, high = next_rate(low, v), next_rate(high, v)
-    closed = low == high
-    return pd.DataFrame({
-        "engine": [group["engine"].iloc[0]], "slice": [group["slice"].iloc[0]], "n": [len(values)],
-        "closed": [closed], "result": [low if closed else None], "open_values": [[] if closed else values],
-        "last_ts": [group["ts"].iloc[-1]],
-    })
-
-
-def _chain(group: pd.DataFrame) -> pd.DataFrame:
-    """Walk the slice summaries of one key: the state at the start of each slice, and at the end of the last."""
-    group = group.sort_values("slice")
-    rate, seen, starts, counts = None, 0, [], []
-    for closed, result, values, n in zip(group["closed"], group["result"], group["open_values"], group["n"]):
-        starts.append(rate)
-        counts.append(seen)
-        if closed:
-            rate = result
-        else:
-            for v in values:
-                rate = next_rate(rate, v)
-        seen += n
-    out = group[["engine", "slice", "last_ts"]].copy()
-    out["start_rate"], out["start_samples"] = pd.array(starts, dtype="Float64"), counts
-    out["end_rate"] = pd.array([*starts[1:], rate], dtype="Float64")
-    out["end_samples"] = [*counts[1:], seen]
-    return out
+    columns = "engine slice n result open_values last_us"
+    key, n, low, high, values, last = None, 0, 0.0, 0.0, [], 0
+    summary = lambda: (*key, n, low if low == high else None, values, last)
+    for batch in batches:
+        done = []
+        for engine, part, at, x, least, most in zip(*[batch[c].tolist() for c in (
+                "engine", "slice", "at_us", "observed", "low", "high")]):
+            if (engine, part) != key:
+                if key:
+                    done.append(summary())
+                key, n, values = (engine, part), 0, []
+                low, high = round(least, 3), round(most, 3)
+            met = low == high
+            low = next_rate(low, x)
+            high = low if met else next_rate(high, x)
+            if low == high:
+                values = []
+            else:
+                values.append(x)
+            n, last = n + 1, at
+        yield _table(done, columns)
+    if key:
+        yield _table([summary()], columns)
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk the slice summaries of each key: the state at the start and at the end of every slice."""
+    key, rate, seen = None, None, 0
+    for batch in batches:
+        rows = []
+        for engine, part, n, result, values, last in zip(*[batch[c].tolist() for c in (
+                "engine", "slice", "n", "result", "open_values", "last_us")]):
+            if engine != key:
+                key, rate, seen = engine, None, 0
+            start = (rate, seen)
+            if pd.isna(result):
+                for x in values:
+                    rate = next_rate(rate, x)
+            else:
+                rate = result
+            seen += n
+            rows.append((engine, part, last, *start, rate, seen))
+        yield _table(rows, "engine slice last_us start_rate start_samples end_rate end_samples")
 
 
 def slice_states(samples: DataFrame, seconds: int = SLICE_S) -> DataFrame:
     """State of each engine before and after every time slice that has samples."""
     rows = _slices(samples, seconds).filter("observed IS NOT NULL")
     bounds = rows.groupBy("engine").agg(F.min("observed").alias("low"), F.max("observed").alias("high"))
-    summaries = rows.select("engine", "slice", "ts", "event_id", "observed").join(bounds, "engine").groupBy(
-        "engine", "slice").applyInPandas(
-        _summarise, "engine string, slice bigint, n bigint, closed boolean, result double, open_values array<double>, "
-                    "last_ts timestamp")
-    return summaries.groupBy("engine").applyInPandas(
-        _chain, "engine string, slice bigint, last_ts timestamp, start_rate double, start_samples bigint, "
-                "end_rate double, end_samples bigint")
+    summaries = _walk(
+        rows.select("engine", "slice", "at_us", "event_id", "observed").join(bounds, "engine"),
+        ["engine", "slice"], ["at_us", "event_id"], _summarise,
+        "engine string, slice bigint, n bigint, result double, open_values array<double>, last_us bigint")
+    return _walk(summaries, ["engine"], ["slice"], _chain,
+                 "engine string, slice bigint, last_us bigint, start_rate double, start_samples bigint, "
+                 "end_rate double, end_samples bigint")
 
 
 def speed_average(samples: DataFrame, seconds: int = SLICE_S) -> DataFrame:
     """Current average per engine: rate, sample count, time of the last sample."""
-    last = F.max_by(F.struct("end_rate", "end_samples", "last_ts"), "slice").alias("s")
+    last = F.max_by(F.struct("end_rate", "end_samples", "last_us"), "slice").alias("s")
     return slice_states(samples, seconds).groupBy("engine").agg(last).select(
         "engine", F.col("s.end_rate").alias("ms_per_char"), F.col("s.end_samples").alias("samples"),
-        F.col("s.last_ts").alias("updated_at"))
+        F.timestamp_micros("s.last_us").alias("updated_at"))
 
 
-def _trace(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["ts", "event_id"])
-    start = group["start_rate"].iloc[0]
-    rate = None if pd.isna(start) else float(start)
-    seen = int(group["start_samples"].iloc[0])
-    rates, counts = [], []
-    for observed, counted in zip(group["observed"], group["counted"]):
-        rates.append(rate)
-        counts.append(seen)
-        if counted:
-            rate, seen = next_rate(rate, observed), seen + 1
-    return pd.DataFrame({"event_id": group["event_id"], "rate": pd.array(rates, dtype="Float64"), "samples": counts})
+def _trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk every slice from its start state; each row gets the state before it."""
+    key, rate, seen, success = None, None, 0, None
+    for batch in batches:
+        rates, counts, successes = [], [], []
+        for engine, part, at, x, ok, start, samples, before in zip(*[batch[c].tolist() for c in (
+                "engine", "slice", "at_us", "observed", "ok", "start_rate", "start_samples", "start_success")]):
+            if (engine, part) != key:
+                key, seen = (engine, part), samples
+                rate = None if pd.isna(start) else start
+                success = None if pd.isna(before) else int(before)
+            rates.append(rate)
+            counts.append(seen)
+            successes.append(success)
+            if ok:
+                success = at
+                if not pd.isna(x):
+                    rate, seen = next_rate(rate, x), seen + 1
+        out = batch[["engine", "event_id", "at_us", "chars", "duration_ms", "ok"]].copy()
+        out["rate"], out["samples"] = pd.array(rates, dtype="Float64"), counts
+        out["success_us"] = pd.array(successes, dtype="Int64")
+        yield out
 
 
 def states_before(attempts: DataFrame, seconds: int = SLICE_S) -> DataFrame:
-    """State of the average just before every attempt; only successful attempts move it."""
+    """Attempts with the average, the sample count and the last success just before each; only successes count."""
     rows = _slices(attempts, seconds)
-    states = slice_states(attempts.filter("ok"), seconds).select("engine", "slice", "start_rate", "start_samples",
-                                                                 "end_rate", "end_samples")
+    states = slice_states(attempts.filter("ok"), seconds).select("engine", "slice", "end_rate", "end_samples")
     # A slice without counted samples starts where the one before it ended.
-    every = rows.select("engine", "slice").distinct().join(states, ["engine", "slice"], "left")
+    every = rows.groupBy("engine", "slice").agg(F.max(F.when(F.col("ok"), F.col("at_us"))).alias("success")).join(
+        states, ["engine", "slice"], "left")
     ended = F.when(F.col("end_samples").isNotNull(), F.struct("end_rate", "end_samples"))
-    filled = ordered_scan(every, ["engine"], ["slice"], F.floor(F.col("slice") / 4096).cast("bigint"),
-                          [last_known_before(ended, "__before")])
-    starts = filled.select("engine", "slice", F.col("__before.end_rate").alias("start_rate"),
-                           F.coalesce("__before.end_samples", F.lit(0)).alias("start_samples"))
-    traced = rows.withColumn("counted", F.col("ok") & F.col("observed").isNotNull()).select(
-        "engine", "slice", "ts", "event_id", "observed", "counted").join(starts, ["engine", "slice"])
-    return traced.groupBy("engine", "slice").applyInPandas(_trace, "event_id bigint, rate double, samples bigint")
+    starts = ordered_scan(
+        every, ["engine"], ["slice"], F.floor(F.col("slice") / 4096).cast("bigint"),
+        [last_known_before(ended, "__before"), last_known_before(F.col("success"), "start_success")],
+    ).select("engine", "slice", F.col("__before.end_rate").alias("start_rate"),
+             F.coalesce("__before.end_samples", F.lit(0)).alias("start_samples"), "start_success")
+    placed = rows.select("engine", "slice", "event_id", "at_us", "chars", "duration_ms", "ok", "observed").join(
+        starts, ["engine", "slice"])
+    return _walk(placed, ["engine", "slice"], ["at_us", "event_id"], _trace,
+                 "engine string, event_id bigint, at_us bigint, chars bigint, duration_ms double, ok boolean, "
+                 "rate double, samples bigint, success_us bigint")
 
 
 def estimate_ms(chars: Column, rate: Column, base: float = BASE_MS) -> Column:
@@ -169,9 +205,8 @@ def last_success(attempts: DataFrame, seconds: int = SLICE_S) -> DataFrame:
 
 def label_attempts(attempts: DataFrame, seconds: int = SLICE_S) -> DataFrame:
     """Label each attempt `ok`, `fail` or `runaway` with the limit that applied to it."""
-    rows = last_success(attempts, seconds).join(states_before(attempts, seconds), "event_id")
-    since = (F.unix_micros(F.col("ts").cast("timestamp"))
-             - F.unix_micros(F.col("last_success_at").cast("timestamp"))) / 1e6
+    rows = states_before(attempts, seconds)
+    since = (F.col("at_us") - F.col("success_us")) / 1e6
     warm = F.coalesce((since < WARM_WINDOW_S) & (F.col("samples") >= WARM_SAMPLES), F.lit(False))
     limit = F.when(warm, F.greatest(
         F.lit(WARM_FLOOR_S), F.lit(RUNAWAY_FACTOR) * estimate_ms(F.col("chars"), F.col("rate")) / 1000)).otherwise(
