@@ -208,7 +208,26 @@ def _(t):
 _QUOTED = ("replace(replace(replace(text, ', ', ' « '), '. ', ' ». '), ' la ', ' dit « ')")
 
 
-@query("quote_markup")
+# Quotes in order, each with the text before it; what follows the last closed quote stays as it is.
+_STEM_SQL = "^(?:" + "|".join(x.replace("'", "''") for x in at.SPEECH_STEMS) + ")"
+_QUOTE_SQL = f"""d AS (SELECT doc_id, {_QUOTED} AS text FROM documents),
+e AS (SELECT doc_id, text, regexp_extract_all(text, '(?s)([^«]*)«(.*?)»', 1) AS bs,
+  regexp_extract_all(text, '(?s)([^«]*)«(.*?)»', 2) AS qs FROM d),
+p AS (SELECT doc_id, k, bs[k] AS b, qs[k] AS q FROM (SELECT *, unnest(range(1, len(bs) + 1)) AS k FROM e)),
+c AS (SELECT *, rtrim(coalesce('«' || lag(q) OVER (PARTITION BY doc_id ORDER BY k) || '»', '') || b, ' ' || chr(10)) AS ctx
+  FROM p),
+w AS (SELECT *, replace(lower(trim(regexp_extract(ctx, '(\\S+)$', 1), '.,;!?»«"()')), '’', '''') AS base,
+  left(trim(q, ' ' || chr(10)), 1) AS f FROM c),
+s AS (SELECT *, ctx = '' OR regexp_matches(ctx, '[:—–}}.!?…]$') OR (f = upper(f) AND f <> lower(f))
+  OR regexp_matches(base, '{_STEM_SQL}')
+  OR regexp_matches(regexp_extract(split_part(base, '-', 1), '([^'']*)$', 1), '{_STEM_SQL}') AS speech FROM w),
+m AS (SELECT doc_id, string_agg(b || CASE WHEN speech THEN '}}«' || q || '»{{' ELSE '«' || q || '»' END, '' ORDER BY k) AS t,
+  sum(length(b) + length(q) + 2) AS used FROM s GROUP BY 1),
+quoted AS (SELECT e.doc_id, e.text AS raw, coalesce(m.t, '') || substr(e.text, CAST(coalesce(m.used, 0) AS BIGINT) + 1)
+  AS text FROM e LEFT JOIN m USING (doc_id))"""
+
+
+@query("quote_markup", f"WITH {_QUOTE_SQL} SELECT doc_id, text FROM quoted")
 def _(t):
     marked = at.mark_quotes(t.documents.selectExpr("doc_id", f"{_QUOTED} AS text"), "text", "out")
     return marked.select("doc_id", F.col("out").alias("text"))

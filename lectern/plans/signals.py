@@ -60,7 +60,20 @@ def _clips(t):
         quiet(100), voice, long_gap, voice, quiet(500)).alias("samples"))
 
 
-@query("trim_silence")
+@query("trim_silence", f"""WITH e AS (SELECT vec_id, list_concat(list_transform(range(100), lambda z: 0.0::DOUBLE), {_DBL},
+  list_transform(range(CASE WHEN vec_id % 2 = 0 THEN 1300 ELSE 300 END), lambda z: 0.0::DOUBLE), {_DBL},
+  list_transform(range(500), lambda z: 0.0::DOUBLE)) AS s FROM embeddings),
+f AS (SELECT vec_id, s, len(s) // 20 AS n, list_filter(range(len(s) // 20), lambda i:
+  sqrt(list_sum(list_transform(s[i * 20 + 1:i * 20 + 20], lambda x: x * x)) / 20) >= 0.01) AS sp FROM e),
+g AS (SELECT *, greatest(0, coalesce(sp[1] - 1, 0)) AS first FROM f),
+h AS (SELECT *, list_concat([first - 1], sp, [n]) AS marks FROM g),
+k AS (SELECT *, coalesce(marks[list_filter(range(1, len(marks)), lambda j: marks[j + 1] - marks[j] - 1 >= 50)[1]] + 1, n)
+  AS fin FROM h),
+m AS (SELECT *, least(coalesce(list_max(list_filter(sp, lambda x: x < fin)) + 1, first) + 10, fin) AS stop FROM k),
+r AS (SELECT vec_id, s[first * 20 + 1:least(stop * 20, len(s))] AS o FROM m)
+SELECT vec_id, CAST(len(o) AS INT) AS kept, round(list_sum(list_transform(range(1, len(o) + 1), lambda i: pow(o[i] *
+  CASE WHEN len(o) > 30 AND i > len(o) - 30 THEN pow(cos((i - len(o) + 29) * pi() / 58), 2) ELSE 1 END, 2))), 6) AS energy
+FROM r""")
 def _(t):
     done = _clips(t).withColumn("out", sg.trim_silence(F.col("samples"), F.col("sr")))
     return done.select("vec_id", F.size("out").alias("kept"), F.round(sg.energy(F.col("out")), 6).alias("energy"))
