@@ -9,7 +9,6 @@ a split is evaluated once per document.
 from __future__ import annotations
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,6 +217,8 @@ LONG_FORM_ABBREVIATIONS = (
 
 def long_form_chunks(limit: int = 800):
     """Arrow UDF: text → chunks of at most `limit` characters that never cut inside a `[tag]`."""
+    import regex  # look-behind of variable width
+
     plain = "|".join(a for a in LONG_FORM_ABBREVIATIONS if "." not in a)
     # Tags are blanked out first, so no punctuation inside one can match.
     full_stop = regex.compile(rf"(?:(?<!(?<!\p{{L}})(?i:{plain}))(?<!\d\p{{L}}*)\.|[!?])(?=\s|$)")

@@ -468,6 +468,45 @@ def _(t):
     return val.profile_error(profiles, preset).select("id", "error")
 
 
+@query("profile_limit_violations", """
+WITH p AS (SELECT c_custkey AS id, CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 101) WHEN 2 THEN NULL ELSE c_name
+  END AS name, repeat('d', CAST(495 + c_custkey % 10 AS INT)) AS description, CASE c_custkey % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx'
+  END AS language FROM customer)
+SELECT id, concat_ws(',', CASE WHEN name IS NULL THEN 'name:required' END, CASE WHEN length(name) < 1 THEN 'name:min_length' END,
+  CASE WHEN length(name) > 100 THEN 'name:max_length' END, CASE WHEN length(description) > 500 THEN 'description:max_length' END,
+  CASE WHEN language = 'xx' THEN 'language:allowed' END) AS violations FROM p""")
+def _(t):
+    p = t.customer.selectExpr(
+        "c_custkey AS id", "CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 101) WHEN 2 THEN NULL ELSE c_name END "
+        "AS name", "repeat('d', CAST(495 + c_custkey % 10 AS INT)) AS description",
+        "CASE c_custkey % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx' END AS language")
+    return p.select("id", F.array_join(val.violations(val.PROFILE_LIMITS), ",").alias("violations"))
+
+
+@query("volume_limit_violations", ctes("items") + """
+SELECT id, CASE WHEN (trim_start_ms - 100) / 300 < 0 THEN 'volume:low' WHEN (trim_start_ms - 100) / 300 > 2 THEN 'volume:high'
+  ELSE '' END AS violations FROM items""")
+def _(t):
+    scaled = t.items.select("id", ((F.col("trim_start_ms") - 100) / 300).alias("volume"))
+    return scaled.select("id", F.array_join(val.violations(val.VOLUME_LIMITS), ",").alias("violations"))
+
+
+@query("profile_engine_check", f"""
+WITH p AS (SELECT c_custkey AS id, c_mktsegment, {_RULES} FROM customer),
+r AS (SELECT *, CASE WHEN c_mktsegment LIKE 'B%' THEN 'kokoro' ELSE 'qwen' END AS engine FROM p)
+SELECT id, engine, CASE WHEN voice_type = 'preset' THEN CASE WHEN coalesce(preset_engine, '') = '' OR
+  coalesce(preset_voice_id, '') = '' THEN 'missing preset engine' WHEN preset_engine <> engine THEN 'other engine' END
+  WHEN voice_type = 'designed' THEN CASE WHEN trim(coalesce(design_prompt, '')) = '' THEN 'missing design prompt' END
+  WHEN engine NOT IN ('qwen', 'luxtts', 'chatterbox', 'chatterbox_turbo', 'tada') THEN 'engine cannot clone' END AS error
+FROM r""")
+def _(t):
+    profiles = t.customer.selectExpr("c_custkey AS id", *[_one.strip() for _one in _split_columns(_RULES)],
+                                     "CASE WHEN c_mktsegment LIKE 'B%' THEN 'kokoro' ELSE 'qwen' END AS engine")
+    error = val.engine_error(*[F.col(c) for c in ("voice_type", "preset_engine", "preset_voice_id", "design_prompt",
+                                                  "engine")])
+    return profiles.select("id", "engine", error.alias("error"))
+
+
 def _split_columns(text: str) -> list[str]:
     """Cut a projection list at the commas outside brackets."""
     parts, depth, start = [], 0, 0

@@ -38,16 +38,18 @@ def _(t):
     return numbered_rows(t.documents, ["doc_id"], ch.sentences(F.col("text")), "n", "sentence")
 
 
-# The given texts hold no ellipsis sign, so no neighbours are merged here; see ellipsis_merge for that step.
-@query("sentence_split_strict", """
-WITH p AS (SELECT doc_id, i, a[i] AS x FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id,
-  string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?…]\\s+)', '\\1' || chr(1), 'g'), chr(1)) AS a
-  FROM documents))),
-h AS (SELECT doc_id, i, x, CASE WHEN regexp_matches(lag(x) OVER (PARTITION BY doc_id ORDER BY i),
-  '(^|[^\\p{L}\\p{N}_])([A-Za-zÀ-ÿ]|Mme|Mlle|Dr|etc)\\.\\s*$') THEN 0 ELSE 1 END AS head FROM p),
-g AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM h),
-s AS (SELECT doc_id, grp, trim(string_agg(x, '' ORDER BY i), ' ' || chr(10)) AS x FROM g GROUP BY 1, 2)
-SELECT doc_id, CAST(grp - 1 AS INT) AS n, x AS sentence FROM s WHERE x <> ''""")
+def strict_cte(source: str, key: str = "doc_id") -> str:
+    """`s(key, i, x)`: strict sentences.  The given texts hold no ellipsis sign, so no neighbours are merged here."""
+    return f"""p AS (SELECT {key}, i, a[i] AS x FROM (SELECT {key}, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT {key},
+  string_split(regexp_replace(trim(text, ' ' || chr(10)), '([.!?…]\\s+)', '\\1' || chr(1), 'g'), chr(1)) AS a FROM {source}))),
+h AS (SELECT {key}, i, x, CASE WHEN regexp_matches(lag(x) OVER (PARTITION BY {key} ORDER BY i),
+  '(^|[^\\p{{L}}\\p{{N}}_])([A-Za-zÀ-ÿ]|Mme|Mlle|Dr|etc)\\.\\s*$') THEN 0 ELSE 1 END AS head FROM p),
+g AS (SELECT *, sum(head) OVER (PARTITION BY {key} ORDER BY i) AS grp FROM h),
+r AS (SELECT {key}, grp, trim(string_agg(x, '' ORDER BY i), ' ' || chr(10)) AS x FROM g GROUP BY 1, 2),
+s AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY grp) AS i, x FROM r WHERE x <> '')"""
+
+
+@query("sentence_split_strict", f"WITH {strict_cte('documents')} SELECT doc_id, CAST(i - 1 AS INT) AS n, x AS sentence FROM s")
 def _(t):
     cut = ch.sentences_strict(t.documents, "text", "s")
     return numbered_rows(cut, ["doc_id"], "s", "n", "sentence")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.operators import chunking as ch
+from lectern.plans.chunks import _pack_cte, strict_cte
 from lectern.plans.domain import ctes
-from lectern.plans.registry import query
+from lectern.plans.registry import ORACLES, query
 from lectern.session import scratch_path
 from lectern.sources import projects as pj
 
@@ -75,7 +76,12 @@ def _(t):
     return pj.markup_blocks(t.pages, "page_id", "html")
 
 
-@query("markup_to_smart_lines")
+@query("markup_to_smart_lines", f"""WITH RECURSIVE mb AS ({ORACLES['markup_blocks']}),
+tx AS (SELECT page_id * 1000 + block_no AS k, text FROM mb WHERE kind = 'TEXT'),
+{strict_cte('tx', 'k').replace(' p AS', ' pp AS')}, {_pack_cte(220, key='k')},
+c AS (SELECT w.k, w.g, string_agg(s.x, ' ' ORDER BY s.i) AS text FROM w JOIN s ON s.k = w.k AND s.i = w.i GROUP BY 1, 2)
+SELECT k // 1000 AS page_id, CAST(k % 1000 AS INT) AS block_no, g AS chunk_no, text FROM c
+UNION ALL SELECT page_id, block_no, 0, text FROM mb WHERE kind = 'TITLE'""")
 def _(t):
     blocks = pj.markup_blocks(t.pages, "page_id", "html")
     cut = ch.pack(ch.sentences_strict(blocks, "text", "s"), "s", "lines", 220)
