@@ -81,7 +81,16 @@ def _(t):
     return numbered_rows(parsed, ["doc_id"], "p", "line_no", "r").select("doc_id", "line_no", "r.*")
 
 
-@query("play_style_format")
+@query("play_style_format", f"""WITH {lines_cte()},
+y AS (SELECT doc_id, i, (i - 1) % 3 AS kind, trim(x) <> '' AS had, trim(regexp_replace(CASE (i - 1) % 3 WHEN 0 THEN
+  'Anna (bas) — ' || x WHEN 1 THEN 'clara – ' || x ELSE x END, '%%%|&&&|###', '', 'g')) AS z FROM l),
+k AS (SELECT * FROM y WHERE NOT (had AND z = '') AND NOT regexp_matches(z, '^[0-9]+$|^[0-9]+\\.\\s+.*$')),
+g AS (SELECT *, count(*) FILTER (kind < 2) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM k),
+s AS (SELECT doc_id, grp, min(kind) AS kind, string_agg(z, ' ' ORDER BY i) AS z FROM g GROUP BY 1, 2),
+b AS (SELECT doc_id, grp, kind, regexp_replace(CASE WHEN kind = 0 THEN '(bas) ' || trim(regexp_replace(z, '^Anna \\(bas\\) —', ''))
+  ELSE trim(regexp_replace(z, '^clara –', '')) END, '%%%|&&&|###', '', 'g') AS body FROM s)
+SELECT doc_id, string_agg(CASE WHEN kind = 0 THEN 'ANNA' ELSE 'CLARA' END || CASE WHEN body = '' THEN '' ELSE
+  chr(10) || chr(10) || body END, chr(10) || chr(10) ORDER BY grp) || chr(10) AS out FROM b GROUP BY 1""")
 def _(t):
     dashed = t.documents.select("doc_id", F.array_join(F.transform(tx.lines(F.col("text")), lambda x, n: F.when(
         n % 3 == 0, F.concat(F.lit("Anna (bas) — "), x)).when(n % 3 == 1, F.concat(F.lit("clara – "), x)).otherwise(x)),
