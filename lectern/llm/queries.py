@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import quality_rules, sharding
-from lectern.llm.common import table
+from lectern.llm import html_text, mixing, quality_rules, secrets, sharding, token_store, topk
+from lectern.llm.common import WORD, table
 from lectern.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_secret_scan")
+def _(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op2_quality_rules")
 def _(spark, sf_dir):
     return quality_rules.rule_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,3 +43,51 @@ def _(spark, sf_dir):
 @query("op4_sharding")
 def _(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_token_files")
+def _(spark, sf_dir):
+    return token_store.token_report(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+@query("op8_mixing", f"""WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS stray,
+    md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS mark FROM documents),
+k AS (SELECT *, -ln((CAST(('0x' || substr(mark, 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+    / CASE WHEN size > 0 THEN size / (size + stray)::DOUBLE ELSE 1 END AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s),
+c AS (SELECT *, 2 * source_size AS cap, row_number() OVER (ORDER BY 2 * source_size / weight::DOUBLE, source NULLS LAST) AS i FROM w),
+b AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+    coalesce(sum(weight) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights,
+    sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weights FROM c),
+v AS (SELECT *, (1.5::DOUBLE * total - caps) / (all_weights - weights)::DOUBLE AS level FROM b),
+l AS (SELECT arg_min(level, i) AS level FROM v WHERE level * weight <= cap),
+t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(v.weight * l.level, cap::DOUBLE)) AS target FROM v, l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+r AS (SELECT *, CAST(floor(target - epochs * source_size + 0.5::DOUBLE) AS BIGINT) AS rest FROM e),
+o AS (SELECT k.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+SELECT o.doc_id, o.size, r.source_size, r.target, CAST(r.epochs * o.size
+    + greatest(0, least(o.size, r.rest - o.before)) AS BIGINT) AS taken
+FROM o JOIN r ON o.source IS NOT DISTINCT FROM r.source""")
+def _(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_text")
+def _(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_top_k", """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""")
+def _(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
