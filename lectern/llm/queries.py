@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import html_text, mixing, quality_rules, secrets, sharding, token_store, topk
+from lectern.llm import html_text, jaccard_join, mixing, quality_rules, secrets, sharding, token_store, topk
 from lectern.llm.common import WORD, table
 from lectern.session import configure
 
@@ -40,6 +40,11 @@ def _(spark, sf_dir):
     return quality_rules.rule_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op3_jaccard_join")
+def _(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op4_sharding")
 def _(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
