@@ -180,7 +180,7 @@ def redacted(text: str | None) -> str | None:
 @pandas_udf(_DIGEST)
 def _digests(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([digest(scan(t)) for t in texts],
-                        columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                        columns=_DIGEST.names, dtype=object)
 
 
 @pandas_udf(StringType())

@@ -4,8 +4,8 @@ Documents are sorted by id over the files and inside them.  A file holds the ids
 run-length encoded by ORC, stripes can be read in parallel, and row indexes and a Bloom filter on doc_id let a reader
 skip stripes and row groups.  Each document's ids end with `END`.
 
-Encoding is by distinct words: the tokenizer drops white space and never joins across it, so a batch is split at ASCII
-white space, each word not met before is encoded by the tokenizers library, and the ids are laid out by their words.
+Encoding is by distinct words: the tokenizer drops white space and never joins across it, so texts are split at ASCII
+white space, each word not met before is encoded by the tokenizers library, and a text's ids are those of its words.
 
 Nulls: a null text is an empty one, its only id is `END`; a null doc_id comes first.  Equal doc_ids are ordered by a
 hash of the text.  An empty table gives no rows; extra columns take no part.
@@ -14,8 +14,9 @@ hash of the text.  An empty table gives no rows; extra columns take no part.
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,63 +30,73 @@ from lectern.session import scratch_path
 
 END = 2
 #: Words whose ids a Python worker remembers; it only saves time.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000",
     "orc.stripe.size": str(16 << 20), "compression": "zstd",
 }
-#: A letter or digit, then only signs that never share a token with it.
-_TAIL = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-ɏ])([.,;:!?%&$#*|]+)\Z", re.DOTALL)
+#: Signs at the end of a word that never share a token with the letter or digit before them.
+_SIGNS = ".,;:!?%&$#*|"
+_LETTERS = frozenset("0123456789" + string.ascii_letters + "".join(
+    c for c in map(chr, range(0xC0, 0x250)) if c.isalpha()))
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of words, remembered between the batches of a worker."""
+    """Ids of words, as bytes, remembered between the batches of a worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     @staticmethod
-    def parts(word: str) -> tuple[str, ...]:
-        """Pieces of a word that the tokenizer encodes on their own; ASCII is lowered, as the tokenizer does."""
+    def split(word: str) -> tuple[str, ...]:
+        """Parts of a word that the tokenizer encodes on their own; ASCII is lowered, as the tokenizer does."""
         if "<|" in word:
             return (word,)
         if word.isascii():
             word = word.lower()
-        m = _TAIL.match(word)
-        return m.groups() if m else (word,)
-
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in a row, and how many each has."""
-        parts = [self.parts(w) for w in words]
-        known = self.known
-        new = list({p for ps in parts for p in ps if p not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({p for ps in parts for p in ps})
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
+        core = word.rstrip(_SIGNS)
+        return (core, word[len(core):]) if core and len(core) < len(word) and core[-1] in _LETTERS else (word,)
+
+    def learn(self, words: list[str]) -> None:
+        """Make sure that all `words` are in `self.words`; beyond the limit, forget the others."""
+        known = self.words
+        new = {w: self.split(w) for w in words if w not in known}
+        parts = {p for ps in new.values() for p in ps}
+        todo = list(parts.difference(self.parts))
+        for at in range(0, len(todo), 20_000):
+            some = todo[at:at + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, dtype="<i4").tobytes()
-        found = [known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] for ps in parts]
-        return np.frombuffer(b"".join(found), dtype="<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+                self.parts[p] = array("i", e.ids).tobytes()
+        for w, ps in new.items():
+            known[w] = self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]]
+        if len(known) > REMEMBERED:
+            self.words = {w: known[w] for w in words}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {p: self.parts[p] for p in parts}
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, `END` after each, and how many each has."""
+        """The ids of all texts in a row, `END` after each, and how many each has.
+
+        Arrow numbers the distinct words of the batch, so Python meets each of them once.
+        """
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         flat = pc.dictionary_encode(split.flatten())
-        codes = flat.indices.to_numpy(zero_copy_only=False)
-        ids, sizes = self.words(flat.dictionary.to_pylist())
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        length = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        codes, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+        self.learn(words)
+        found = list(map(self.words.__getitem__, words))
+        ids, sizes = np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        length = sizes[codes]
         upto = np.concatenate(([0], np.cumsum(length)))
-        laid = ids[np.repeat(starts[codes] - upto[:-1], length) + np.arange(upto[-1])] if len(codes) else ids[:0]
-        ends = upto[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))] if len(split) else upto[:0]
-        return np.insert(laid, ends, END), np.diff(np.concatenate(([0], ends))) + 1
+        laid = ids[np.repeat(starts[codes] - upto[:-1], length) + np.arange(upto[-1])]
+        ends = upto[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+        return np.insert(laid, ends, END), np.diff(ends, prepend=0) + 1
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -94,10 +105,6 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _string(array: pa.Array) -> pa.Array:
-    return array.cast(pa.large_string()) if pa.types.is_string_view(array.type) else array
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write (doc_id, tie, ids) in ascending doc_id order below `path`.  The texts are shuffled once, by id ranges."""
     tie = fresh(docs, "tie")
@@ -109,10 +116,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids, n = encoder.texts(_string(part.column(2)))
-                offsets = np.concatenate(([0], np.cumsum(n))).astype("<i4")
+                ids, sizes = encoder.texts(part.column(2))
+                offsets, flat = np.concatenate(([0], np.cumsum(sizes))), pa.array(ids.astype("<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype("<i4")), flat)],
                     names=["doc_id", "tie", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

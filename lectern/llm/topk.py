@@ -125,10 +125,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0)
                      F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
     shards, blocks = max(1, math.ceil(count["n"] / SHARD_ROWS)), max(1, math.ceil(count["q"] / BLOCK_ROWS))
     rows = rows.withColumns({"size": F.size("vector"), "shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")})
-    queries = rows.where(F.col("vec_id") % every == 0).select(
+    queries = stored(rows.where(F.col("vec_id") % every == 0).select(
         F.xxhash64("vec_id", "vector").alias("query_no"), F.col("vec_id").alias("query_id"), "vector", "size", "shard",
     ).dropDuplicates(["query_no", "query_id", "vector"]).withColumn(
-        "block", F.pmod(F.xxhash64("query_no"), F.lit(blocks)).cast("int"))
+        "block", F.pmod(F.xxhash64("query_no"), F.lit(blocks)).cast("int")), "queries")
     dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     home = stored(_searched(queries.withColumn("bound", F.lit(None).cast("double")), dealt, k, scale), "home")
     bounds = home.groupBy("query_no", "query_id").agg(
