@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import html_text, jaccard_join, mixing, quality_rules, secrets, sharding, token_store, topk
+from lectern.llm import html_text, jaccard_join, mixing, quality_rules, secrets, sharding, token_store, topk, toxicity
 from lectern.llm.common import WORD, table
 from lectern.session import configure
 
@@ -55,6 +55,11 @@ def _(spark, sf_dir):
     return token_store.token_report(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+@query("op6_toxicity")
+def _(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_mixing", f"""WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
     len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS stray,
