@@ -64,3 +64,10 @@ def running_total(df: DataFrame, by: list[str], order: list[str], value: str, ou
         match = match & local[c].eqNullSafe(totals[c])
     return local.join(totals, match, "left").select(
         *[local[c] for c in df.columns], (local[out] + totals[base]).alias(out))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where this machine keeps a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

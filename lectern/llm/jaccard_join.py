@@ -28,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored
+from lectern.llm.common import fresh, stored
 
 PERCENT = 80
 WORDS = 5
@@ -340,3 +340,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = rows.where("n > 0").join(homes, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(rows.where("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each class, with the columns it came with.
+
+    Rows are told apart by a hash of id and text, so null and repeated ids need no care; of equal rows one stays.
+    """
+    row = fresh(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"))
+    heads = found.where("component_id = doc_id").select(F.col("doc_id").alias(row)).distinct()
+    place = fresh(keyed, "place")
+    first = Window.partitionBy(row, "doc_id").orderBy(F.xxhash64(*docs.columns))
+    return keyed.join(heads, row, "left_semi").withColumn(place, F.row_number().over(first)).where(
+        F.col(place) == 1).select(*docs.columns)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import html_text, jaccard_join, mixing, quality_rules, secrets, sharding, token_store, topk, toxicity
-from lectern.llm.common import WORD, table
+import corpus_pipeline
+from lectern.llm import (html_text, jaccard_join, mixing, piece_codec, quality_rules, secrets, sharding, token_store, topk,
+                         toxicity)
+from lectern.llm.common import WORD, table, tokenizer_path
 from lectern.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,12 +26,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query("op1_secret_scan")
 def _(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -52,7 +48,7 @@ def _(spark, sf_dir):
 
 @query("op5_token_files")
 def _(spark, sf_dir):
-    return token_store.token_report(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_store.token_report(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 @query("op6_toxicity")
@@ -60,6 +56,11 @@ def _(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_piece_codec")
+def _(spark, sf_dir):
+    return piece_codec.codec_report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query("op8_mixing", f"""WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
     len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS stray,
@@ -101,3 +102,8 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""")
 def _(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def _(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
