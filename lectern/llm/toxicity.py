@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters look at a text: each of the strongest entries of a lexicon is a voter of its own, weaker entries share voters,
-and patterns (threats, shouting, density of hits) vote too.  The lexicon holds a list of insults and the words and word
-beginnings that labelled toxic texts use far more often than labelled clean ones.  A generative label model, a class
-and independent votes given the class, is fitted by EM over the counts of all vote signatures outside the held-out
+and patterns (threats, shouting, density of hits) vote too; one voter votes for clean where no entry is met.  A voter
+that sees nothing abstains, which is no evidence.  The lexicon holds a list of insults and the words and word beginnings
+that labelled toxic texts use far more often than labelled clean ones.  A generative label model, a class
+of known share and votes given the class, is fitted by EM over the counts of all vote signatures outside the held-out
 fold; votes that go together within the toxic class share their weight by their correlations.  A linear classifier on
 hit counts is then trained on the posterior labels and gives the scores.
 
@@ -29,15 +30,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
-from lectern.llm.common import stored
+from lectern.llm.common import let, stored, words
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 MOST_TOXIC, MOST_CLEAN = 10_000, 30_000
 #: Entries of the mined lexicon, those with voters of their own, and voters that the others share.
 ENTRIES, OWN, SHARED = 256, 32, 4
-#: A mined entry occurs in so many toxic texts and so many times as often as in clean ones.
-LEAST_TEXTS, LEAST_RATIO = 5, 20.0
+#: A mined entry occurs in so many toxic texts, in such a share of them, and so many times as often as in clean ones.
+LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 8, 0.01, 20.0
+#: What an occurrence in clean texts costs an entry when entries are ranked, in occurrences in toxic ones.
+CLEAN_COST = 10.0
 PREFIXES = (4, 5, 6)
 STEPS = 6
 
@@ -53,7 +56,8 @@ THREATS = re.compile(
     r"\b(?:shut up|go to hell|kill yourself|drop dead|ta gueule|va te faire|halt die klappe|halt's maul|cállate|muérete)\b")
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_PATTERNS = 3
+#: Threats, density, shouting and silence.
+_PATTERNS = 4
 
 
 class Lexicon(NamedTuple):
@@ -109,14 +113,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, floa
     return stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "labelled"), share or 0.0
 
 
+def _sketch(w, seed: int):
+    """The least hash of a text's three-word windows: near copies mostly have the same."""
+    return let(w, lambda v: F.when(F.size(v) < 3, F.xxhash64(F.array_join(v, " "), F.lit(seed))).otherwise(F.array_min(
+        F.transform(F.sequence(F.lit(0), F.size(v) - 3), lambda i: F.xxhash64(
+            F.get(v, i), F.get(v, i + 1), F.get(v, i + 2), F.lit(seed))))))
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The sample with near copies thinned out, so that a text's own rare words don't look like a vocabulary."""
+    rows = sample.withColumn("w", words(F.col("text"))).withColumns({f"s{i}": _sketch(F.col("w"), i) for i in range(3)})
+    for i in range(3):
+        rest = [f"s{j}" for j in range(i + 1, 3)]
+        rows = rows.groupBy("toxic", f"s{i}").agg(
+            F.min_by(F.struct("doc_id", "text", *rest), F.struct("doc_id", "text")).alias("x")).select("toxic", "x.*")
+    return stored(rows.select("text", "toxic"), "mined")
+
+
 def lexicon(sample: DataFrame) -> tuple[Lexicon, int]:
     """The lexicon and how many of its entries, the first ones, are mined."""
-    total = sample.agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("t"), F.count(F.when(F.col("toxic") <= 0, 1)).alias("c")).first()
+    sample = without_copies(sample)
+    total = sample.agg(F.count(F.when(F.col("toxic") > 0, 1)).alias("t"),
+                       F.count(F.when(F.col("toxic") <= 0, 1)).alias("c")).first()
     counts = sample.select("text", "toxic").mapInPandas(_mined, "entry string, clean long, toxic long").groupBy(
         "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    strong = counts.where(F.col("toxic") >= LEAST_TEXTS).where(
+    strong = counts.where(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * total["t"])).where(
         F.col("toxic") * (total["c"] + 1.0) >= LEAST_RATIO * (F.col("clean") + 0.5) * (total["t"] + 1.0))
-    best = strong.orderBy(F.desc("toxic"), F.col("entry").endswith("*"), F.desc(F.length("entry")), "entry").limit(
+    gain = F.col("toxic") / (total["t"] + 1.0) - CLEAN_COST * F.col("clean") / (total["c"] + 1.0)
+    best = strong.orderBy(gain.desc(), F.col("entry").endswith("*"), F.desc(F.length("entry")), "entry").limit(
         8 * ENTRIES).collect()
     picked: list[tuple[str, int]] = []
     for row in best:
@@ -157,6 +181,7 @@ def _voted(text: str | None, lex: Lexicon, mined: int) -> tuple[int, int, list[i
     signature |= (met * 100 >= total > 0) << (base + 1)
     if text and total >= 5:
         signature |= (sum(map(str.isupper, text)) * 2 > sum(map(str.isalpha, text))) << (base + 2)
+    signature |= (not hits) << (base + 3)
     return signature, total, list(hits), list(hits.values())
 
 
@@ -177,14 +202,15 @@ class LabelModel(NamedTuple):
 
     def posterior(self, signatures: np.ndarray) -> np.ndarray:
         bits = (signatures[:, None] >> np.arange(len(self.weights))) & 1
-        likely = np.where(bits[:, :, None] == 1, np.log(self.rates.T), np.log1p(-self.rates.T))
-        odds = ((likely[:, :, 1] - likely[:, :, 0]) * self.weights).sum(axis=1)
+        odds = bits @ (self.weights * (np.log(self.rates[1]) - np.log(self.rates[0])))
         return 1 / (1 + np.exp(-np.clip(odds + np.log(self.prior / (1 - self.prior)), -50, 50)))
 
 
 def fit_label_model(signatures: DataFrame, voters: int, prior: float) -> LabelModel:
     """EM over (signature, toxic or null, count).  Each step sends back sums, (voters + 1) squared numbers a class."""
-    model = LabelModel(prior, np.tile([[0.01], [0.3]], voters), np.ones(voters))
+    start = np.tile([[0.01], [0.3]], voters)
+    start[:, -1] = 0.9, 0.1  # silence, the last voter, speaks for clean
+    model = LabelModel(prior, start, np.ones(voters))
 
     def sums(current: LabelModel) -> np.ndarray:
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,8 +237,7 @@ def fit_label_model(signatures: DataFrame, voters: int, prior: float) -> LabelMo
         spread = np.sqrt(np.maximum(rates[1] * (1 - rates[1]), 1e-12))
         tie = np.clip((joint - np.outer(rates[1], rates[1])) / np.outer(spread, spread), 0, 1)
         np.fill_diagonal(tie, 0)
-        share = (total[1] + 1) / (total.sum() + 2)
-        model = LabelModel(float(np.clip(share, 1e-4, 0.5)), rates, 1 / (1 + tie.sum(axis=1)))
+        model = LabelModel(prior, rates, 1 / (1 + tie.sum(axis=1)))
     return model
 
 
@@ -224,7 +249,7 @@ def _inputs(entries: np.ndarray, counts: np.ndarray, n_words: int, size: int) ->
     return x
 
 
-def fit_classifier(x: np.ndarray, target: np.ndarray, weight: np.ndarray, decay: float = 1.0) -> np.ndarray:
+def fit_classifier(x: np.ndarray, target: np.ndarray, weight: np.ndarray, decay: float = 0.1) -> np.ndarray:
     """Logistic regression on soft targets by Newton's method; the last input is the constant."""
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), decay)
