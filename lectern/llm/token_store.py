@@ -38,7 +38,7 @@ OPTIONS = {
 #: Signs at the end of a word that never share a token with the letter or digit before them.
 _SIGNS = ".,;:!?%&$#*|"
 _LETTERS = frozenset("0123456789" + string.ascii_letters + "".join(
-    c for c in map(chr, range(0xC0, 0x250)) if c.isalpha()))
+    c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1))
 _encoders: dict[str, WordEncoder] = {}
 
 
