@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException, IllegalArgumentException, ParseException, SparkRuntimeException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters a Python-style `strip()` removes.
@@ -98,16 +100,65 @@ def compile_rule(rule: Rule) -> CompiledRule | None:
         groups = _group_count(text)
         if groups is None:
             text, groups = re.escape(text), 0
-    pattern = text.replace("(?P<", "(?<")
-    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
     # Unicode classes cost time, so they are asked for only by patterns that use a class.
     flags = flags.replace("i", "iu") + ("U" if re.search(r"\\[wWdDsSbB]", text) else "")
-    return CompiledRule((f"(?{flags})" if flags else "") + pattern, _java_replacement(rule.replace, groups))
+    pattern = (f"(?{flags})" if flags else "") + _java_pattern(text)
+    return CompiledRule(pattern, _java_replacement(rule.replace, groups)) if _runs_in_java(pattern) else None
+
+
+_PROBED: dict[str, bool] = {}
+_TOKENS = re.compile(r"""
+    (?P<escape>\\.) | (?P<name>\(\?P<) | (?P<back>\(\?P=(?P<to>\w+)\))
+    | (?P<count>\{(?P<low>\d*)(?P<comma>,?)(?P<high>\d*)\}) | (?P<brace>[{}]) | (?P<open>\[\^?\]?) | (?P<rest>.)
+""", re.VERBOSE | re.DOTALL)
+
+
+def _java_pattern(pattern: str) -> str:
+    """The same pattern in Java's dialect: literal braces, open counts, and signs that only Java knows in a class."""
+    out, in_class = [], False
+    for m in _TOKENS.finditer(pattern):
+        sign = m[0]
+        if m["escape"]:
+            out.append(sign)
+        elif in_class:
+            in_class = sign != "]"
+            for c in sign:
+                out.append("\\" + c if c in "[&" else c)
+        elif m["open"]:
+            in_class = True
+            out.append(sign[:-1] + "\\]" if sign.endswith("]") else sign)
+        elif m["name"]:
+            out.append("(?<")
+        elif m["back"]:
+            out.append(rf"\k<{m['to']}>")
+        elif m["count"] and (m["low"] or m["comma"]):
+            out.append(f"{{{m['low'] or 0}{m['comma']}{m['high']}}}")
+        elif m["count"] or m["brace"]:
+            out.append(re.sub(r"[{}]", r"\\\g<0>", sign))
+        else:
+            out.append(sign)
+    return "".join(out)
+
+
+def _runs_in_java(pattern: str) -> bool:
+    """Ask the JVM's own compiler; without a session there is nobody to ask."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return True
+    if pattern not in _PROBED:
+        try:  # constants only: the planner computes this, no job runs
+            spark.sql("SELECT regexp_replace('', :pattern, '')", args={"pattern": pattern}).collect()
+            _PROBED[pattern] = True
+        except (SparkRuntimeException, IllegalArgumentException, ParseException, AnalysisException):
+            _PROBED[pattern] = False
+    return _PROBED[pattern]
 
 
 def _group_count(pattern: str) -> int | None:
     try:
-        return re.compile(pattern).groups
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)  # signs that other dialects read differently
+            return re.compile(pattern).groups
     except re.error:
         return None
 

@@ -322,7 +322,7 @@ def tagged_words(reply: Column) -> Column:
         body = F.when(after, tx.strip(tok)).otherwise(tok)
         name = F.when(after, F.regexp_extract(body, lead, 1)).otherwise("")
         found = tx.strip(name) != ""
-        speaker = F.when(is_head, F.substring(tok, 2, 60)).when(found, tx.strip(name)).otherwise(acc["speaker"])
+        speaker = F.when(is_head, F.substring(tok, F.lit(2), F.length(tok))).when(found, tx.strip(name)).otherwise(acc["speaker"])
         said = F.when(found, F.substring(body, F.length(tx.strip(name)) + 1, F.length(body))).otherwise(body)
         inside = F.when(is_head, False).when(tok == "(", True).when(tok == ")", False).otherwise(acc["inside"])
         who = F.when(inside, F.lit(NARRATOR)).otherwise(speaker)

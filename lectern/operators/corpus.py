@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +47,40 @@ def first_holder(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.join(first, key).withColumn("reused", F.col(order) > F.col("first_id"))
 
 
-def set_fingerprint(members: DataFrame, key: str, member: str, largest: int = 100_000) -> DataFrame:
+def set_fingerprint(members: DataFrame, key: str, member: str) -> DataFrame:
     """First 12 hex digits of the MD5 of the sorted member ids joined by `-`.
 
-    The digest needs a whole set at once, so a set above `largest` members is
-    an error rather than a list of unknown size: the count is checked first
-    and the list is built only from sets that passed.
+    Members are dealt by key and sorted inside the tasks; each task feeds them
+    to a running digest as they stream by, so a set may have any size.
     """
-    counts = members.groupBy(key).agg(F.count("*").alias("__n"))
-    checked = counts.select(key, F.when(F.col("__n") > largest, F.raise_error(F.concat(
-        F.lit("set too large for one fingerprint: "), F.col(key).cast("string")))).otherwise(F.lit(True)).alias("__ok"))
-    allowed = members.join(checked.filter("__ok"), key, "left_semi")
-    ids = F.array_sort(F.collect_list(F.col(member).cast("string")))
-    return allowed.groupBy(key).agg(F.substring(F.md5(F.array_join(ids, "-")), 1, 12).alias("fingerprint"))
+    rows = members.select(key, F.col(member).cast("string").alias("__m")).where("__m IS NOT NULL")
+    dealt = rows.repartition(key).sortWithinPartitions(key, "__m")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, found, now, digest = [], [], None, None
+
+        def rows_so_far():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, schema_type), pa.array(found, pa.string())], names=[key, "fingerprint"])
+
+        schema_type = None
+        for batch in batches:
+            schema_type = batch.column(0).type
+            for k, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest is None or k != now:
+                    if digest is not None:
+                        keys.append(now)
+                        found.append(digest.hexdigest()[:12])
+                    now, digest = k, hashlib.md5(m.encode())
+                else:
+                    digest.update(b"-" + m.encode())
+            if keys:
+                yield rows_so_far()
+                keys, found = [], []
+        if digest is not None:
+            keys.append(now)
+            found.append(digest.hexdigest()[:12])
+            yield rows_so_far()
+
+    kind = members.schema[key].dataType.simpleString()
+    return dealt.mapInArrow(digests, f"`{key}` {kind}, fingerprint string")

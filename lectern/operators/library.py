@@ -7,6 +7,8 @@ the map side, so no list of a whole group is ever built.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from lectern.operators.joins import optional_join
 from lectern.operators.ordered import block_of, ordered_scan, running_sum, sum_before, time_block
 
 
+_ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
 def with_history_defaults(generations: DataFrame) -> DataFrame:
     """Rows written before the columns existed count as `qwen` / `completed`."""
     return generations.withColumns({
@@ -29,8 +33,9 @@ def history(generations: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def text_search(df: DataFrame, column: str, query: str) -> DataFrame:
-    """SQL `LIKE %query%` where `%` and `_` in the query stay wildcards; ASCII case is ignored."""
-    return df.filter(F.col(column).ilike(f"%{query}%"))
+    """SQL `LIKE %query%` where `%` and `_` in the query stay wildcards; A-Z match a-z, other letters only themselves."""
+    wanted = query.translate(_ASCII_LOWER).replace("\\", "\\\\")
+    return df.filter(F.translate(column, string.ascii_uppercase, string.ascii_lowercase).like(f"%{wanted}%"))
 
 
 def contains_search(df: DataFrame, columns: list[str], query: str) -> DataFrame:

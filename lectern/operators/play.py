@@ -135,7 +135,7 @@ def classify_block(block: Column, names: list[str], strict: bool = False) -> Col
         head = F.trim(F.substring_index(block, ",", 1))
         rest = F.trim(F.substring(block, F.instr(block, ",") + 1, F.length(block)))
         inline = block.contains(",") & head.isin(*names)
-        full = F.concat(F.upper(F.substring(head, 1, 1)), F.lower(F.substring(head, 2, 200)), F.lit(", "), rest)
+        full = F.concat(F.upper(F.substring(head, 1, 1)), F.lower(F.substring(head, F.lit(2), F.length(head))), F.lit(", "), rest)
         name, bare = head, block.isin(*names)
         own = block
     else:

@@ -52,13 +52,12 @@ def eligible_slices(samples: DataFrame, key: str, duration: str) -> DataFrame:
 def voiceprints(slices: DataFrame) -> DataFrame:
     """One row per voice with its slices in index order (`prints`).
 
-    A voice has at most one slice per label, so the array is bounded by the
-    label list; a repeated label keeps the first by `ord`.
+    A repeated label keeps the first by `ord`, before the shuffle; a voice has
+    then one slice for each of the few labels it was cut with, whatever they are.
     """
     entry = F.struct("ord", "slice", "ref_sec", "emb", norm(F.col("emb")).alias("norm"))
-    firsts = [F.min_by(F.when(F.col("slice") == s, entry), F.when(F.col("slice") == s, F.col("ord")))
-              for s in SLICE_LABELS]
-    return slices.groupBy("voice").agg(F.array_compact(F.array(*firsts)).alias("prints"))
+    firsts = slices.groupBy("voice", "slice").agg(F.min_by(entry, "ord").alias("entry"))
+    return firsts.groupBy("voice").agg(F.array_sort(F.collect_list("entry")).alias("prints"))
 
 
 def score_takes(takes: DataFrame, slices: DataFrame) -> DataFrame:
@@ -171,19 +170,20 @@ def anomalies(
 # ---------------------------------------------------------------- choosing takes
 
 
-def choose_takes(attempts: DataFrame, keys: list[str], slot_mode: bool = False) -> DataFrame:
+def choose_takes(attempts: DataFrame, keys: list[str], slot_mode: bool = False,
+                 max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """The attempt kept for each key, from `(keys, attempt, ok, score, threshold)`.
 
-    Attempts are tried in order, at most twenty: the first that reaches the
+    Attempts are tried in order, `max_attempts` at most: the first that reaches the
     threshold wins.  A failed or unscored attempt ends the series; then the
     best scored one so far is kept, the earliest on ties.  In slot mode an
     unscored take is accepted as it is.
 
     The rank filter runs before the shuffle, so no key ever brings more than
-    twenty rows per task, and the collected series is bounded by twenty.
+    `max_attempts` rows per task, which bounds the collected series too.
     """
     order = Window.partitionBy(*keys).orderBy("attempt")
-    first = attempts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= MAX_ATTEMPTS)
+    first = attempts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_attempts)
     pct = half_even_percent(F.col("score"))
     end = F.when(~F.col("ok"), "failed").when(F.col("score").isNull(), "unscored").when(
         pct >= F.col("threshold"), "passed")

@@ -19,7 +19,8 @@ def _(t):
     return lib.history(t.generations, t.profiles).select(*_HCOLS)
 
 
-@query("history_text_search", ctes("generations", "profiles") + f", {_HIST} SELECT * FROM h WHERE text ILIKE '%low%'")
+@query("history_text_search", ctes("generations", "profiles") + f", {_HIST} SELECT * FROM h WHERE "
+       "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%low%'")
 def _(t):
     return lib.text_search(lib.history(t.generations, t.profiles).select(*_HCOLS), "text", "LOW")
 

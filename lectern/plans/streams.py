@@ -59,12 +59,23 @@ def _(t):
     return pairs.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})
 
 
+_STATUS = ("CASE event_type WHEN 'signup' THEN 'loading_model' WHEN 'click' THEN 'generating' WHEN 'error' THEN 'failed' "
+           "ELSE 'completed' END AS status")
+
+
+def _stale_work(t):
+    changes = _events(t).selectExpr("user_id AS id", "ts", "event_id", _STATUS)
+    return drain(jobs.stale_work(changes, timeout_ms=3_600_000), "append").drop("batch_id")
+
+
 @query("stream_stale_work")
 def _(t):
-    changes = _events(t).selectExpr(
-        "user_id AS id", "ts", "event_id", "CASE event_type WHEN 'signup' THEN 'loading_model' WHEN 'click' THEN "
-        "'generating' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status")
-    return drain(jobs.stale_work(changes, timeout_ms=3_600_000), "append").drop("batch_id")
+    return _stale_work(t)
+
+
+@query("stream_stale_changes", f"SELECT user_id AS id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS at_ms, {_STATUS} FROM events")
+def _(t):
+    return _stale_work(t).filter("error IS NULL").select("id", "at_ms", "status")
 
 
 @query("stream_log_metrics", ctes("log_lines") + """

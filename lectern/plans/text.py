@@ -27,10 +27,14 @@ RULES = [
     tx.Rule("/[unclosed/", "never"),
     tx.Rule("/[0-9]{3,}/", ""),
     tx.Rule("%%%|&&&|###", ""),
+    tx.Rule("{", "<"),
+    tx.Rule("/[[]{1}/", "("),
+    tx.Rule("/[$&&$]/", "§"),
+    tx.Rule("/(a)?(?(1)b|c)/", "never"),
 ]
-_R = ("regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(x, '(?i)([A-Za-z]+)tion', "
+_R = ("regexp_replace(replace(replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(x, '(?i)([A-Za-z]+)tion', "
       "'\\1-TION', 'g'), ' \\| ', chr(10), 'g'), '(', '['), '[broken', 'fixed'), '[0-9]{3,}', '', 'g'), "
-      "'%%%|&&&|###', '', 'g')")
+      "'%%%|&&&|###', '', 'g'), '{', '<'), '[', '('), '[$&]', '§', 'g')")
 
 
 @query("line_rules", f"""WITH {lines_cte()}, r AS (SELECT doc_id, i, x, {_R} AS y FROM l),

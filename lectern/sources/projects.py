@@ -17,18 +17,20 @@ from lectern.operators.ordered import block_of, row_numbers
 SEGMENT_SCHEMA = ("profile_id string, text string, generated_voice string, qc_score double, qc_duration double, "
                   "read int, qc_status string")
 _PROJECT = r"([^/]+)/(?:tts|book|audio)/[^/]+$"
-_NUMBER = r"seg(\d+)[^/]*$"
+
+
+def _project_of(path: Column) -> Column:
+    """The folder's name; `%` signs are decoded, a plus sign is a plus sign."""
+    return F.url_decode(F.replace(F.regexp_extract(path, _PROJECT, 1), F.lit("+"), F.lit("%2B")))
 
 
 def _with_place(df: DataFrame, path: Column) -> DataFrame:
     """Project, file name and position from a path; the position is the rank of the name, not its digits."""
     placed = df.withColumns({
-        "project": F.url_decode(F.regexp_extract(path, _PROJECT, 1)),
-        "file": F.regexp_extract(path, r"([^/]+)$", 1),
-        "__digits": F.coalesce(F.regexp_extract(path, _NUMBER, 1).try_cast("bigint"), F.lit(0).cast("bigint")),
-    })
-    ranked = row_numbers(placed, ["project"], ["file"], block_of(F.col("__digits")), "num")
-    return ranked.withColumn("num", F.col("num").cast("int")).drop("__digits")
+        "project": _project_of(path), "file": F.regexp_extract(path, r"([^/]+)$", 1)})
+    # The first signs of a name never decrease along the names: `seg00` holds a thousand five-digit ones.
+    ranked = row_numbers(placed, ["project"], ["file"], F.substring("file", 1, 5), "num")
+    return ranked.withColumn("num", F.col("num").cast("int"))
 
 
 def read_segments(spark: SparkSession, root: str) -> DataFrame:
@@ -67,7 +69,8 @@ def takes_from_paths(files: DataFrame) -> DataFrame:
     number = F.regexp_extract(name, r"^seg(\d{5})(?:_v[^.]*)?\.wav$", 1).try_cast("int")
     version = F.regexp_extract(name, r"^seg\d{5}_(v[^.]*)\.wav$", 1)
     rows = files.withColumns({
-        "project": F.regexp_extract("path", _PROJECT, 1), "num": number,
+        "project": F.coalesce(F.try_url_decode(F.replace(F.regexp_extract("path", _PROJECT, 1), F.lit("+"), F.lit("%2B"))),
+                              F.regexp_extract("path", _PROJECT, 1)), "num": number,
         "version": F.when(version == "", "main").otherwise(version)})
     return rows.filter("num IS NOT NULL").withColumn("k", version_number(F.col("version")))
 
@@ -95,8 +98,16 @@ def _wav_seconds(heads: pd.Series) -> pd.Series:
 
 
 def audio_durations(files: DataFrame, content: str = "content", head_bytes: int = 65536) -> DataFrame:
-    """Duration from the header; NULL when it is no RIFF/WAVE file.  Only the head is sent to Python."""
-    return files.withColumn("duration", _wav_seconds(F.substring(content, 1, head_bytes))).drop(content)
+    """Duration from the header; NULL when it is no RIFF/WAVE file.
+
+    The head is enough for nearly all files.  Where long chunks stand before
+    the sound, the whole content follows; all other rows send NULL instead.
+    """
+    head = files.withColumn("duration", _wav_seconds(F.substring(content, 1, head_bytes)))
+    deep = F.col("duration").isNull() & (F.length(content) > head_bytes) & (
+        F.substring(content, 1, 4) == F.lit(b"RIFF"))
+    whole = head.withColumn("__rest", F.when(deep, F.col(content))).withColumn("__whole", _wav_seconds("__rest"))
+    return whole.withColumn("duration", F.coalesce("duration", "__whole")).drop(content, "__rest", "__whole")
 
 
 def threshold_rows(df: DataFrame, column: str) -> DataFrame:
@@ -167,8 +178,8 @@ def write_segments(segments: DataFrame, path: str, rows_per_file: int = 1_000_00
 
 
 def write_chunks(chunks: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
-    """Replace the stored chunks of the projects in `chunks` and return their catalogue."""
+    """Replace the stored chunks of the projects in `chunks` and return the catalogue of these projects."""
     spread = chunks.repartition("project", block_of(F.col("idx"), rows_per_file))
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
-    stored = chunks.sparkSession.read.parquet(path)
+    stored = chunks.sparkSession.read.parquet(path).join(chunks.select("project").distinct(), "project", "left_semi")
     return stored.select("project", "idx", F.length("text").alias("chars"), tx.preview(F.col("text")).alias("preview"))

@@ -104,34 +104,40 @@ def speak_intervals(starts: DataFrame, ends: DataFrame, longest: str = "10 minut
         F.unix_micros("ended_at") - F.unix_micros("started_at")).alias("spoken_us"))
 
 
+RUNNING = ("generating", "loading_model")
+
+
 def _expire(timeout_ms: int):
+    """One row per change.  The newest change of a key is kept until it times out, so that an older one, arriving late,
+    doesn't start the key's work again."""
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            status, at_ms = state.get
+            status, at_ms, _ = state.get
             state.remove()
-            yield pd.DataFrame({"id": [key[0]], "status": ["failed"], "at_ms": [at_ms], "error": [st.STALE_MESSAGE]})
+            if status in RUNNING:
+                yield pd.DataFrame({"id": [key[0]], "status": ["failed"], "at_ms": [at_ms], "error": [st.STALE_MESSAGE]})
             return
-        rows = _ordered(batches, ["at_ms", "event_id"])
-        last = rows.iloc[-1]
-        at_ms = max(int(last["at_ms"]), state.get[1] if state.exists else 0)
-        running = last["status"] in ("generating", "loading_model")
-        if running:
-            state.update((last["status"], at_ms))
-            state.setTimeoutTimestamp(max(at_ms + timeout_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"id": [key[0]], "status": [last["status"]], "at_ms": [at_ms], "error": [None]})
+        newest = state.get if state.exists else None
+        for rows in batches:
+            at = rows.sort_values(["at_ms", "event_id"]).iloc[-1]
+            found = (at["status"], int(at["at_ms"]), int(at["event_id"]))
+            newest = found if newest is None or found[1:] > newest[1:] else newest
+            yield pd.DataFrame({"id": rows["id"], "status": rows["status"], "at_ms": rows["at_ms"],
+                                "error": pd.Series([None] * len(rows), dtype=object, index=rows.index)})
+        state.update(newest)
+        state.setTimeoutTimestamp(max(newest[1] + timeout_ms, state.getCurrentWatermarkMs() + 1))
 
     return run
 
 
 def stale_work(changes: DataFrame, timeout_ms: int, watermark: str = WATERMARK) -> DataFrame:
-    """Status after every change `(id, ts, event_id, status)`, and `failed` when running work stays silent; append mode."""
+    """Every change `(id, ts, event_id, status)` as it comes, and `failed` when running work stays silent; append mode."""
     timed = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     rows = timed.withColumn("at_ms", F.unix_millis("ts"))
     return rows.groupBy("id").applyInPandasWithState(
-        _expire(timeout_ms), "id bigint, status string, at_ms bigint, error string", "status string, at_ms bigint",
-        "append", GroupStateTimeout.EventTimeTimeout)
+        _expire(timeout_ms), "id bigint, status string, at_ms bigint, error string",
+        "status string, at_ms bigint, event_id bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def file_increments(folder_stream: DataFrame) -> DataFrame:

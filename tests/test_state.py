@@ -137,8 +137,13 @@ def test_stale_work_times_out(spark, tmp_path):
             (4, 4, at(301), "completed")]
     df = spark.createDataFrame(rows, "id bigint, event_id bigint, ts timestamp, status string")
     stream = micro_batches(df, str(tmp_path / "s"), 5)
-    got = drain(jobs.stale_work(stream, 3_600_000), "append").filter("status = 'failed'").collect()
+    done = drain(jobs.stale_work(stream, 3_600_000), "append").cache()
+    got = done.filter("status = 'failed'").collect()
     assert [(r["id"], r["error"]) for r in got] == [(1, st.STALE_MESSAGE)]
+    every = sorted((i, s) for i, _, _, s in rows)
+    assert sorted((r["id"], r["status"]) for r in done.filter("error IS NULL").collect()) == every
+    whole = drain(jobs.stale_work(micro_batches(df, str(tmp_path / "one"), 1), 3_600_000), "append")
+    assert sorted((r["id"], r["status"]) for r in whole.filter("error IS NULL").collect()) == every
 
 
 def test_only_new_files_are_read(spark, tmp_path):
