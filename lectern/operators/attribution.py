@@ -191,29 +191,26 @@ def project_speakers(replies: DataFrame) -> DataFrame:
         "project", "speaker")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _closest_speakers(targets: pd.Series, blocks: pd.Series) -> pd.Series:
-    """For each target word list, the speaker of the most similar block, or NULL below the least ratio."""
-
-    def closest(target: list, named: list) -> str | None:
-        best, best_ratio, bag = None, 0.0, Counter(target)
-        matcher = difflib.SequenceMatcher(None, autojunk=True)
-        for speaker, words, counts in named:
-            size = len(target) + len(words)
-            bound = 2 * (bag & counts).total() / size if size else 1.0
-            if bound < LEAST_RATIO or bound <= best_ratio:
-                continue  # the shared bag of words bounds the ratio from above
-            matcher.set_seqs(target, words)
-            ratio = matcher.ratio()
-            if ratio > best_ratio:
-                best, best_ratio = speaker, ratio
-        return best if best_ratio >= LEAST_RATIO else None
-
-    out = []
-    for texts, pairs in zip(targets, blocks):
-        named = [(b["speaker"], list(b["words"]), Counter(b["words"])) for b in pairs]
-        out.append([closest(list(t), named) for t in texts])
-    return pd.Series(out)
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _shared_words(targets: pd.Series, blocks: pd.Series) -> pd.Series:
+    """Words in common runs of each target and each block; 0 where their bags of words already tell that it's too few."""
+
+    def shared(one: list[str], two: list[str]) -> int:
+        if 2 * (Counter(one) & Counter(two)).total() < LEAST_RATIO * (len(one) + len(two)):
+            return 0
+        return sum(m.size for m in difflib.SequenceMatcher(None, one, two, autojunk=False).get_matching_blocks())
+
+    return pd.Series([[[shared(list(t), list(b)) for b in bs] for t in ts] for ts, bs in zip(targets, blocks)])
+
+
+def _closest(counts: Column, words: Column, named: Column) -> Column:
+    """The speaker of the block with the highest share of common words, the first of equals; NULL if it is low."""
+    rated = F.zip_with(counts, F.transform(named, lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda n, b: F.struct(
+        F.when(F.size(words) + F.size(b["b"]["words"]) == 0, F.lit(1.0)).otherwise(
+            2 * n / (F.size(words) + F.size(b["b"]["words"]))).alias("ratio"), (-b["i"]).alias("order"),
+        b["b"]["speaker"].alias("speaker")))
+    best = F.array_max(rated)
+    return F.when(best["ratio"] >= LEAST_RATIO, best["speaker"])
 
 
 def assign_speakers(df: DataFrame, segments: str, reply: str, out: str) -> DataFrame:
@@ -224,10 +221,13 @@ def assign_speakers(df: DataFrame, segments: str, reply: str, out: str) -> DataF
     read = read.withColumn("__k", named)
     words = F.transform(segments, lambda s: F.when(s["type"] == "S", tx.comparison_words(s["text"])).otherwise(
         F.array().cast("array<string>")))
-    read = read.withColumn("__w", _closest_speakers(words, F.col("__k")))
+    read = read.withColumn("__t", words)
+    read = read.withColumn("__n", _shared_words(F.col("__t"), F.transform("__k", lambda b: b["words"])))
+    read = read.withColumn("__w", F.zip_with("__n", "__t", lambda n, w: F.when(
+        F.size("__k") > 0, _closest(n, w, F.col("__k")))))
     pairs = F.zip_with(segments, "__w", lambda s, w: _pair(
         F.when(s["type"] == "N", NARRATOR).otherwise(F.coalesce(w, F.lit(UNKNOWN))), s["text"]))
-    return read.withColumn(out, pairs).drop("__b", "__k", "__w")
+    return read.withColumn(out, pairs).drop("__b", "__k", "__t", "__n", "__w")
 
 
 def merge_neighbours(pairs: Column) -> Column:
@@ -259,19 +259,26 @@ def rendered(pairs: Column) -> Column:
 # ---------------------------------------------------------------- transfer onto the original text
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _transferred(original: pd.Series, tagged: pd.Series, tags: pd.Series) -> pd.Series:
-    """Speaker of every original word, by aligning it with the tagged words; gaps are NULL."""
-    out = []
-    for own, other, names in zip(original, tagged, tags):
-        got = [None] * len(own)
-        matcher = difflib.SequenceMatcher(None, list(own), list(other), autojunk=False)
-        for kind, i, i_end, j, j_end in matcher.get_opcodes():
-            if kind in ("equal", "replace"):
-                for k in range(min(i_end - i, j_end - j)):
-                    got[i + k] = names[j + k]
-        out.append(got)
-    return pd.Series(out)
+_RUNS = T.ArrayType(T.StructType().add("i", T.IntegerType()).add("j", T.IntegerType()).add("n", T.IntegerType()))
+
+
+@F.pandas_udf(_RUNS)
+def _common_runs(one: pd.Series, two: pd.Series) -> pd.Series:
+    """Runs of words that two texts share in order: their starts in both and their length; the last is empty, at the ends."""
+    return pd.Series([[{"i": m.a, "j": m.b, "n": m.size} for m in difflib.SequenceMatcher(
+        None, list(a), list(b), autojunk=False).get_matching_blocks()] for a, b in zip(one, two)])
+
+
+def _gaps(runs: Column) -> Column:
+    """Each run with the stretches before it: struct(i0, j0, i, j, n)."""
+    return tx.with_previous(runs, lambda r, p: F.struct(
+        F.coalesce(p["i"] + p["n"], F.lit(0)).alias("i0"), F.coalesce(p["j"] + p["n"], F.lit(0)).alias("j0"),
+        r["i"].alias("i"), r["j"].alias("j"), r["n"].alias("n")))
+
+
+def _steps(i: Column, j: Column, n: Column) -> Column:
+    return F.transform(F.filter(F.sequence(F.lit(-1), n - 1), lambda k: k >= 0), lambda k: F.struct(
+        (i + k).alias("i"), (j + k).alias("j")))
 
 
 def _bare(word: Column) -> Column:
@@ -285,21 +292,23 @@ def transfer_tags(df: DataFrame, text: str, tagged: str, out: str) -> DataFrame:
     """
     words = df.withColumn("__o", tx.words(F.col(text)))
     words = words.withColumn("__t", tagged_words(F.col(tagged)))
-    got = _transferred(F.transform("__o", _bare), F.transform("__t", lambda w: _bare(w["word"])),
-                       F.transform("__t", lambda w: w["speaker"]))
-    words = words.withColumn("__g", got)
-
-    def fill(acc: Column, speaker: Column) -> Column:
-        now = F.coalesce(speaker, acc["last"])
-        return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
-
-    zero = F.struct(F.lit(NARRATOR).alias("last"), F.array().cast("array<string>").alias("out"))
-    words = words.withColumn("__g", F.aggregate("__g", zero, fill, lambda acc: acc["out"]))
+    runs = _common_runs(F.transform("__o", _bare), F.transform("__t", lambda w: _bare(w["word"])))
+    words = words.withColumn("__r", runs)
+    # Words in place of others take their speakers one by one, as far as both stretches go.
+    met = F.flatten(F.transform(_gaps(F.col("__r")), lambda g: F.concat(
+        _steps(g["i0"], g["j0"], F.least(g["i"] - g["i0"], g["j"] - g["j0"])), _steps(g["i"], g["j"], g["n"]))))
+    words = words.withColumn("__m", met)
+    upto = F.concat(F.slice(F.transform("__m", lambda m: m["i"]), F.lit(2), F.greatest(F.size("__m") - 1, F.lit(0))),
+                    F.array(F.size("__o")))
+    spread = F.zip_with("__m", upto, lambda m, end: F.array_repeat(F.get("__t", m["j"])["speaker"], end - m["i"]))
+    first = F.array_repeat(F.lit(NARRATOR), F.coalesce(F.get("__m", F.lit(0))["i"], F.size("__o")))
+    words = words.withColumn("__g", F.concat(first, F.when(F.size("__m") > 0, F.flatten(spread)).otherwise(
+        F.array().cast("array<string>"))))
     words = words.withColumn("__s", tx.indexes(tx.with_previous(
         F.col("__g"), lambda x, p: p.isNull() | (x != p))))
     runs = F.zip_with(slices(F.col("__o"), F.col("__s")), slices(F.col("__g"), F.col("__s")), lambda w, g: _pair(
         F.get(g, F.lit(0)), F.array_join(w, " ")))
-    return words.withColumn(out, runs).drop("__o", "__t", "__g", "__s")
+    return words.withColumn(out, runs).drop("__o", "__t", "__r", "__m", "__g", "__s")
 
 
 def tagged_words(reply: Column) -> Column:
@@ -375,30 +384,19 @@ def lost_words(docs: DataFrame, key: str, before: str, after: str) -> DataFrame:
         F.sum("d").alias("lost")).filter("lost > 0")
 
 
-_LOST = T.StructType([
-    T.StructField("ratio", T.DoubleType()),
-    T.StructField("lost", T.ArrayType(T.StructType([
-        T.StructField("passage", T.StringType()), T.StructField("context", T.StringType())]))),
-])
-
-
-@F.pandas_udf(_LOST)
-def _integrity(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    ratios, losses = [], []
-    for a, b in zip(before, after):
-        a, b = list(a), list(b)
-        matcher = difflib.SequenceMatcher(None, a, b, autojunk=False)
-        gaps = [(" ".join(a[i:ie]), " ".join(b[max(0, j - 6):j])) for kind, i, ie, j, _ in matcher.get_opcodes()
-                if kind in ("delete", "replace")]
-        ratios.append(matcher.ratio())
-        losses.append([{"passage": p, "context": c} for p, c in gaps if any(ch.isalnum() or ch == "_" for ch in p)])
-    return pd.DataFrame({"ratio": ratios, "lost": losses})
-
-
 def integrity(df: DataFrame, before: str, after: str, out: str) -> DataFrame:
     """Word-sequence similarity of a chunk before and after, and the passages lost with six words of context."""
     form = lambda c: tx.words(tx.comparison_form(F.col(c)))
-    return df.withColumn(out, _integrity(form(before), form(after)))
+    read = df.withColumns({"__a": form(before), "__z": form(after)}).withColumn(
+        "__r", _common_runs(F.col("__a"), F.col("__z")))
+    both = F.size("__a") + F.size("__z")
+    kept = F.aggregate("__r", F.lit(0), lambda acc, r: acc + r["n"])
+    lost = F.transform(F.filter(_gaps(F.col("__r")), lambda g: g["i"] > g["i0"]), lambda g: F.struct(
+        F.array_join(F.slice("__a", g["i0"] + 1, g["i"] - g["i0"]), " ").alias("passage"),
+        F.array_join(F.slice("__z", F.greatest(g["j0"] - 6, F.lit(0)) + 1, F.least(g["j0"], F.lit(6))), " ").alias("context")))
+    return read.withColumn(out, F.struct(
+        F.when(both == 0, F.lit(1.0)).otherwise(2 * kept / both).alias("ratio"),
+        F.filter(lost, lambda x: x["passage"].rlike(r"[\p{L}\p{N}_]")).alias("lost"))).drop("__a", "__z", "__r")
 
 
 def narrator_speaks() -> Column:

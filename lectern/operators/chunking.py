@@ -8,6 +8,10 @@ a split is evaluated once per document.
 
 from __future__ import annotations
 
+import re
+import string
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,39 +219,69 @@ LONG_FORM_ABBREVIATIONS = (
 )
 
 
+#: A run of letters and digits, and the stop behind it.
+_WIDE = "。！？"
+_STOP = re.compile(rf"(?<![^\W_])[^\W_]*+[.!?]|[{_WIDE}]")
+_CLAUSE_MARK = re.compile("[;:,—]")
+_TAG = re.compile(r"\[[^\]]*\]")
+
+
+def _ends_sentence(run: str, sign: str) -> bool:
+    """A full stop doesn't end a sentence behind an abbreviation, a number, or letters that follow a number."""
+    letters = run.lstrip(string.digits) if run.isascii() else re.sub(r".*\d", "", run)
+    return sign != "." or not (any(map(str.isdigit, run)) or letters.lower() in LONG_FORM_ABBREVIATIONS)
+
+
+class _Marks:
+    """Where one text may be cut, found once; a chunk asks for the last place before its end."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tags = [m.span() for m in _TAG.finditer(text)]
+        self.tag_starts = [a for a, _ in self.tags]
+        #: Each stop with the start of the letters and digits before it, which tell whether it ends a sentence.
+        self.runs = {m.end() - 1: m.start() for m in _STOP.finditer(text)}
+        self.stops = list(self.runs)
+        self.clauses = [m.start() for m in _CLAUSE_MARK.finditer(text)]
+
+    def _may_end(self, at: int, start: int, end: int) -> bool:
+        if self.text[at] in _WIDE:
+            return True
+        if at in self.runs and not _ends_sentence(self.text[max(start, self.runs[at]):at], self.text[at]):
+            return False
+        tag = bisect_right(self.tag_starts, at) - 1
+        if tag >= 0 and start <= self.tags[tag][0] and at < self.tags[tag][1] <= end:
+            return False
+        return at == end - 1 or at + 1 == len(self.text) or self.text[at + 1].isspace()
+
+    def cut(self, start: int, end: int) -> int:
+        """The end of the chunk from `start`: behind a sentence, a clause or a blank, else at `end` or before a tag."""
+        for marks in (self.stops, self.clauses):
+            for k in range(bisect_left(marks, end) - 1, -1, -1):
+                if marks[k] < start:
+                    break
+                if self._may_end(marks[k], start, end):
+                    return marks[k] + 1
+        blank = self.text.rfind(" ", start, end)
+        if blank >= 0:
+            return blank + 1
+        tag = bisect_right(self.tag_starts, end - 2) - 1
+        return self.tags[tag][0] if tag >= 0 and self.tags[tag][1] == end and self.tags[tag][0] > start else end
+
+
 def long_form_chunks(limit: int = 800):
-    """Arrow UDF: text → chunks of at most `limit` characters that never cut inside a `[tag]`."""
-    import regex  # look-behind of variable width
-
-    plain = "|".join(a for a in LONG_FORM_ABBREVIATIONS if "." not in a)
-    # Tags are blanked out first, so no punctuation inside one can match.
-    full_stop = regex.compile(rf"(?:(?<!(?<!\p{{L}})(?i:{plain}))(?<!\d\p{{L}}*)\.|[!?])(?=\s|$)")
-    clause = regex.compile(r"[;:,—](?=\s|$)")
-    tag = regex.compile(r"\[[^\]]*\]")
-
-    def cut_point(window: str) -> int:
-        masked = tag.sub(lambda m: "\0" * len(m[0]), window)
-        wide = [m.start() for m in regex.finditer("[。！？]", window)]
-        ends = [m.start() for m in full_stop.finditer(masked)] + wide
-        if ends:
-            return max(ends)
-        ends = [m.start() for m in clause.finditer(masked)]
-        if ends:
-            return ends[-1]
-        space = window.rfind(" ")
-        if space >= 0:
-            return space
-        edge = limit - 1
-        inside = [m.start() for m in tag.finditer(window) if m.start() < edge < m.end()]
-        return inside[0] - 1 if inside and inside[0] > 0 else edge
+    """Arrow UDF: text → chunks of at most `limit` characters that never cut inside a `[tag]` that fits one."""
 
     def chunks(text: str | None) -> list[str]:
-        rest, out = (text or "").strip(), []
-        while len(rest) > limit:
-            at = cut_point(rest[:limit]) + 1
-            out.append(rest[:at].strip())
-            rest = rest[at:].lstrip()
-        return [c for c in [*out, rest] if c]
+        text = (text or "").strip()
+        marks, out, at = _Marks(text) if len(text) > limit else None, [], 0
+        while len(text) - at > limit:
+            end = marks.cut(at, at + limit)
+            out.append(text[at:end].strip())
+            at = end
+            while at < len(text) and text[at].isspace():
+                at += 1
+        return [c for c in [*out, text[at:]] if c]
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(texts: pd.Series) -> pd.Series:
