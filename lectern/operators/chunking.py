@@ -226,7 +226,7 @@ _CLAUSE_MARK = re.compile("[;:,—]")
 _TAG = re.compile(r"\[[^\]]*\]")
 
 
-def _ends_sentence(run: str, sign: str) -> bool:
+def _is_sentence_end(run: str, sign: str) -> bool:
     """A full stop doesn't end a sentence behind an abbreviation, a number, or letters that follow a number."""
     letters = run.lstrip(string.digits) if run.isascii() else re.sub(r".*\d", "", run)
     return sign != "." or not (any(map(str.isdigit, run)) or letters.lower() in LONG_FORM_ABBREVIATIONS)
@@ -247,7 +247,7 @@ class _Marks:
     def _may_end(self, at: int, start: int, end: int) -> bool:
         if self.text[at] in _WIDE:
             return True
-        if at in self.runs and not _ends_sentence(self.text[max(start, self.runs[at]):at], self.text[at]):
+        if at in self.runs and not _is_sentence_end(self.text[max(start, self.runs[at]):at], self.text[at]):
             return False
         tag = bisect_right(self.tag_starts, at) - 1
         if tag >= 0 and start <= self.tags[tag][0] and at < self.tags[tag][1] <= end:
