@@ -29,8 +29,8 @@ from lectern.llm.common import fresh
 from lectern.session import scratch_path
 
 END = 2
-#: Words whose ids a Python worker remembers; it only saves time.
-REMEMBERED = 300_000
+#: Parts of words whose ids a Python worker remembers; it only saves time.
+REMEMBERED = 500_000
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "2000",
     "orc.stripe.size": str(16 << 20), "compression": "zstd",
@@ -43,14 +43,13 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of words, as bytes, remembered between the batches of a worker."""
+    """Ids of parts of words, as bytes, remembered between the batches of a worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     @staticmethod
@@ -63,22 +62,20 @@ class WordEncoder:
         core = word.rstrip(_SIGNS)
         return (core, word[len(core):]) if core and len(core) < len(word) and core[-1] in _LETTERS else (word,)
 
-    def learn(self, words: list[str]) -> None:
-        """Make sure that all `words` are in `self.words`; beyond the limit, forget the others."""
-        known = self.words
-        new = {w: self.split(w) for w in words if w not in known}
-        parts = {p for ps in new.values() for p in ps}
-        todo = list(parts.difference(self.parts))
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; beyond the limit, parts that these words don't use are forgotten."""
+        split = list(map(self.split, words))
+        used = {p for ps in split for p in ps}
+        known = self.parts
+        todo = list(used.difference(known))
         for at in range(0, len(todo), 20_000):
             some = todo[at:at + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[p] = array("i", e.ids).tobytes()
-        for w, ps in new.items():
-            known[w] = self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]]
+                known[p] = array("i", e.ids).tobytes()
+        found = [known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] for ps in split]
         if len(known) > REMEMBERED:
-            self.words = {w: known[w] for w in words}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {p: self.parts[p] for p in parts}
+            self.parts = {p: known[p] for p in used}
+        return found
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, `END` after each, and how many each has.
@@ -87,9 +84,7 @@ class WordEncoder:
         """
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         flat = pc.dictionary_encode(split.flatten())
-        codes, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
-        self.learn(words)
-        found = list(map(self.words.__getitem__, words))
+        codes, found = flat.indices.to_numpy(zero_copy_only=False), self.encode(flat.dictionary.to_pylist())
         ids, sizes = np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts = np.cumsum(sizes) - sizes
         length = sizes[codes]
@@ -114,8 +109,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
                 ids, sizes = encoder.texts(part.column(2))
                 offsets, flat = np.concatenate(([0], np.cumsum(sizes))), pa.array(ids.astype("<i4"))
                 yield pa.RecordBatch.from_arrays(
