@@ -31,7 +31,46 @@ def _(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-@query("op2_quality_rules")
+_RULES = "symbols equal_lines repeats capitals exclamations".split()
+_PARTS = {"symbols": ("n_symbols", "word_chars"), "equal_lines": ("n_dup_lines", "n_lines"),
+          "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_capitals", "word_chars"),
+          "exclamations": ("n_exclamations", "n_words")}
+_LEVELS = ", ".join(f"CASE WHEN {a} > 0 AND {b} > 0 THEN least(19, (20 * {a} - 1) // {b}) ELSE 0 END AS {r}"
+                    for r, (a, b) in _PARTS.items())
+_COUNTS = " UNION ALL ".join(
+    f"SELECT stratum, '{r}' AS rule, c, count(*) AS n, count(*) FILTER ({r} >= c) AS k FROM good, range(1, 20) t(c) "
+    "GROUP BY ALL" for r in _RULES)
+_CUTS = ", ".join(f"max(cut) FILTER (rule = '{r}') AS cut_{r}" for r in _RULES)
+_OVER = " OR ".join(f"coalesce({r} >= cut_{r}, false)" for r in _RULES)
+
+
+@query("op2_quality_rules", f"""WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM documents),
+q AS (SELECT id, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT id, i, a, lead(a) OVER y AS b, lead(a, 2) OVER y AS e FROM q WINDOW y AS (PARTITION BY id ORDER BY i)),
+h AS (SELECT id, i, count(*) OVER (PARTITION BY id, a, b, e) AS times FROM g WHERE e IS NOT NULL),
+r AS (SELECT id, count(DISTINCT p) AS n_repeat_words FROM (
+  SELECT id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE times > 1) GROUP BY id),
+m AS (SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals,
+    length(t) - length(replace(t, '!', '')) AS n_exclamations FROM d LEFT JOIN r USING (id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_LEVELS} FROM m),
+good AS (SELECT v.* FROM v JOIN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL
+  GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
+c AS ({_COUNTS}),
+p AS (SELECT *, CASE WHEN k > n * {quality_rules.RISK / 5}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.RISK / 5}::DOUBLE)
+      + (n - i) * ln(1 - {quality_rules.RISK / 5}::DOUBLE)))) END AS tail,
+    (SELECT count(DISTINCT (stratum, rule)) FROM c) AS tests FROM c),
+f AS (SELECT *, bool_and(tail <= {quality_rules.MISS} / tests) OVER (PARTITION BY stratum, rule ORDER BY c DESC) AS passed FROM p),
+u AS (SELECT stratum, rule, min(c) AS cut FROM f WHERE passed GROUP BY ALL),
+x AS (SELECT stratum, {_CUTS} FROM u GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({_OVER}) AS kept FROM v LEFT JOIN x USING (stratum)""")
 def _(spark, sf_dir):
     return quality_rules.rule_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
