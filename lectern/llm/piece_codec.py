@@ -26,9 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import BinaryType, StringType
 
 from lectern.llm.common import stored
@@ -67,19 +69,43 @@ class Codec:
         self.valid = lru_cache(1 << 20)(lambda left, right: self.merged(left + right) == [left, right])
         self.whole = lru_cache(1 << 17)(lambda piece: self.merged(piece) == [piece])
 
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.units]
-        # The library puts a mark of its own in front of what it encodes; a lone mark has nothing behind it.
-        for u, ids in zip(new, self.model.encode([u[1:] for u in new], num_threads=1)):
-            self.units[u] = array("i", ids if len(u) > 1 else [self.mark]).tobytes()
-        if len(self.units) > REMEMBERED:
-            self.units = {u: self.units[u] for u in units}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, four bytes each."""
-        split = [_UNITS.findall(marked(t)) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.units.__getitem__, us)) for us in split]
+    def learn(self, units: list[str]) -> list[bytes]:
+        """The ids of units, given without their first mark, which the library puts in front by itself."""
+        known = self.units
+        new = [u for u in dict.fromkeys(units) if u not in known]
+        for u, ids in zip(new, self.model.encode(new, num_threads=1)):
+            known[u] = array("i", ids if u else [self.mark]).tobytes()  # a lone mark has nothing behind it
+        found = list(map(known.__getitem__, units))
+        if len(known) > REMEMBERED:
+            self.units = dict(zip(units, found))
+        return found
+
+    def of_units(self, text: str) -> bytes:
+        """The ids of a marked text that starts and ends where units do."""
+        return b"".join(self.learn([u[1:] for u in _UNITS.findall(text)]))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, four bytes each.
+
+        Texts with single blanks between words, nearly all, are split by Arrow, which numbers the distinct words of the
+        batch, so that Python meets each of them once.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, f"^ | $|  |{MARK}|^$").to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for i in np.flatnonzero(odd):
+            out[i] = self.of_units(marked(t)) if (t := texts[i].as_py()) else b""
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        flat = pc.dictionary_encode(split.flatten())
+        codes, found = flat.indices.to_numpy(zero_copy_only=False), self.learn(flat.dictionary.to_pylist())
+        ids, sizes = np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, length = np.cumsum(sizes) - sizes, sizes[codes]
+        upto = np.concatenate(([0], np.cumsum(length)))
+        laid = ids[np.repeat(starts[codes] - upto[:-1], length) + np.arange(upto[-1])].tobytes()
+        ends = 4 * upto[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+        for i, a, b in zip(np.flatnonzero(~odd), np.concatenate(([0], ends)), ends):
+            out[i] = laid[a:b]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of `ids`."""
@@ -196,9 +222,7 @@ class Chunk:
         """The ids of the pieces that end in this chunk, behind `entry` and up to `exit`."""
         if self.head is None:
             return self.c.lay(self.text, entry, exit[1])
-        units = _UNITS.findall(self.text[self.head:self.tail])
-        self.c.learn(set(units))
-        return self.c.lay(self.text, entry, self.head) + b"".join(map(self.c.units.__getitem__, units)) + self.c.lay(
+        return self.c.lay(self.text, entry, self.head) + self.c.of_units(self.text[self.head:self.tail]) + self.c.lay(
             self.text, (self.tail, self.tail), exit[1])
 
 
@@ -291,12 +315,10 @@ def encode_giants(texts: DataFrame, model: str, chunk: int = CHUNK, longest: int
 def encode_documents(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text and ids (four bytes each) of every document."""
 
-    @pandas_udf(BinaryType())
-    def encode(texts: pd.Series) -> pd.Series:
-        c, out = codec(model), []
-        for at in range(0, len(texts), 1000):
-            out += c.encode(texts.iloc[at:at + 1000].tolist())
-        return pd.Series(out, dtype=object)
+    @arrow_udf(BinaryType())
+    def encode(texts: pa.Array) -> pa.Array:
+        c = codec(model)
+        return pa.array([x for at in range(0, len(texts), 4000) for x in c.encode(texts.slice(at, 4000))], pa.binary())
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     small = rows.where(F.length("text") < giant).withColumn("ids", encode("text"))

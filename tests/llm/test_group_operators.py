@@ -210,7 +210,7 @@ def test_scan_and_units_equal_the_library():
             chunks.append(piece_codec.Chunk(c, s[base:at + size + c.longest], at - base, upto - base, upto == len(s)))
         states = piece_codec.best_states([x.matrix() for x in chunks])
         laid = b"".join(x.lay(x.entries[i], x.exits[j]) for x, i, j in zip(chunks, states[:-1], states[1:]))
-        assert np.frombuffer(laid, "<i4").tolist() == np.frombuffer(c.encode([text])[0], "<i4").tolist() == want
+        assert np.frombuffer(laid, "<i4").tolist() == np.frombuffer(c.encode(piece_codec.pa.array([text]))[0], "<i4").tolist() == want
         assert c.decode(np.array(want)) == text.replace("▁", " ")
 
 
