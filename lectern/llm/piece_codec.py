@@ -39,7 +39,7 @@ MARK = "▁"
 GIANT = 1 << 16
 CHUNK = 1 << 14
 #: Units whose ids a worker remembers; it only saves time.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+\\Z")
 _CUT = re.compile(f"(?<=[^{MARK}]){MARK}")
 State = tuple[int, int]  #: start of the piece over a cut (0 or less before it), and its end, both from the cut
@@ -318,7 +318,7 @@ def encode_documents(docs: DataFrame, model: str, giant: int = GIANT, chunk: int
     @arrow_udf(BinaryType())
     def encode(texts: pa.Array) -> pa.Array:
         c = codec(model)
-        return pa.array([x for at in range(0, len(texts), 4000) for x in c.encode(texts.slice(at, 4000))], pa.binary())
+        return pa.array([x for at in range(0, len(texts), 1000) for x in c.encode(texts.slice(at, 1000))], pa.binary())
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     small = rows.where(F.length("text") < giant).withColumn("ids", encode("text"))
