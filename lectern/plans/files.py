@@ -58,8 +58,12 @@ def _(t):
     return pj.name_rows(t.part.select(text.alias("j")), "j")
 
 
+# The references that the given pages hold, and some more; `&amp;` comes last.
+_REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"),
+               ("&middot;", "·"), ("&laquo;", "«"), ("&raquo;", "»"), ("&hellip;", "…"), ("&mdash;", "—"),
+               ("&ndash;", "–"), ("&rsquo;", "’"), ("&eacute;", "é"), ("&Agrave;", "À"), ("&#x2019;", "’"), ("&amp;", "&"))
 _DECODE = "x"
-for _name, _sign in pj._ENTITIES:
+for _name, _sign in _REFERENCES:
     _DECODE = f"replace({_DECODE}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
 
 

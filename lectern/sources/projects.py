@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,22 +125,27 @@ def name_rows(df: DataFrame, column: str) -> DataFrame:
 
 # ---------------------------------------------------------------- markup
 
-# Named entities that are decoded; `&amp;` comes last.
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"),
-             ("&middot;", "·"), ("&laquo;", "«"), ("&raquo;", "»"), ("&hellip;", "…"), ("&mdash;", "—"),
-             ("&ndash;", "–"), ("&rsquo;", "’"), ("&amp;", "&"))
+#: Named references: the standard table, with a plain blank for the one that doesn't break.
+_NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
 def _decoded(c: Column) -> Column:
-    pieces = F.split(c, "&#")
-    code = lambda p: F.regexp_extract(p, r"^(\d{1,7});", 1).try_cast("int")
-    sign = lambda p: F.decode(F.unhex(F.lpad(F.hex(code(p)), 8, "0")), "UTF-32")
-    c = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).when(
-        code(p).between(1, 1114111), F.concat(sign(p), F.regexp_replace(p, r"^\d+;", ""))).otherwise(
-        F.concat(F.lit("&#"), p))), "")
-    for name, sign_ in _ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(sign_))
-    return c
+    """Character references by number, decimal or hexadecimal, and by name; what is none stays as written."""
+    names = F.create_map(*[F.lit(x) for pair in sorted(_NAMED.items()) for x in pair])
+
+    def sign(p: Column) -> Column:
+        number = F.coalesce(F.regexp_extract(p, r"^#(\d{1,7});", 1).try_cast("int"), F.conv(F.nullif(
+            F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10).try_cast("int"))
+        return F.coalesce(
+            F.when(number.between(1, 1114111), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")),
+            F.element_at(names, F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)))
+
+    def put(p: Column, i: Column) -> Column:
+        found = sign(p)
+        return F.when(i == 0, p).when(found.isNotNull(), F.concat(found, F.substring(
+            p, F.instr(p, ";") + 1, F.length(p)))).otherwise(F.concat(F.lit("&"), p))
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), put), "")).otherwise(c)
 
 
 def _text_pieces(html: Column) -> Column:

@@ -81,3 +81,11 @@ def test_chunk_catalogue_holds_what_was_written(spark, tmp_path):
     one, two = (spark.createDataFrame([(p, 0, "text")], "project string, idx int, text string") for p in "ab")
     pj.write_chunks(one, str(tmp_path / "c")).count()
     assert [r["project"] for r in pj.write_chunks(two, str(tmp_path / "c")).collect()] == ["b"]
+
+
+def test_references_by_name_and_number(spark):
+    texts = ["&eacute;t&eacute; &Agrave; la carte", "&#x2019;&#8217;&#X41;", "a &amp;lt; b &nosuch; &; & &#0; &#x110000; c;", "plain",
+             "&Dagger;&dagger;&nbsp;|"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r["x"] for r in df.select("i", pj._decoded(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == ["été À la carte", "’’A", "a &lt; b &nosuch; &; & &#0; &#x110000; c;", "plain", "‡† |"]
