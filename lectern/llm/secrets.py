@@ -2,7 +2,8 @@
 
 Source and configuration text is read as statements `name op value`.  A value is one or more terms joined by `+`: quoted
 literals, bare literals or references to other names.  Literals are kept per name, so a constant that reaches a
-sensitive name through other names is found where it was written.  A literal is reported when the sensitivity of the
+sensitive name through other names is found where it was written.  A statement may begin inside the value of another
+one (`name: type = value`, `a = b = value`, `word: name=value`); the outer name then refers to it.  A literal is reported when the sensitivity of the
 name times the strength of the literal reaches `THRESHOLD`.
 
 Kinds of spans, in this order: `assign`, `access` and `hex` are fixed patterns over the whole text, leftmost and without
@@ -54,12 +55,15 @@ PLACEHOLDER = re.compile(
 
 _DIGEST = StructType().add("n_assign", LongType()).add("n_access", LongType()).add("n_hex", LongType()).add(
     "base_sha256", StringType()).add("spans", StringType())
-_TARGET = re.compile(r"""(?<![\w.$-])["'`]?([A-Za-z_][\w.-]*)["'`]?[ \t]*(?::=|=>|[:=])(?![=/])[ \t]*""")
+_TARGET = re.compile(
+    r"""(?<![\w.$-])(?:(?:\d[\w.]*+)?-+)*+["'`]?([A-Za-z_][\w.-]*+)["'`]?[ \t]*(?::=|=>|[:=])(?![=/])[ \t]*""")
 _TERM = re.compile(
     r'''"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|`(?P<b>[^`\n]*)`|\$\{?(?P<v>[A-Za-z_][\w.-]*)\}?|(?P<w>[^\s"'`,;(){}\[\]<>]+)''')
 _JOIN = re.compile(r"[ \t]*\+[ \t]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = re.compile(r"[A-Za-z_][\w.-]*\Z")
+#: The rest of a bracketed type, as in `key: Optional[str] = "..."`.
+_TYPE_ARGUMENTS = re.compile(r"""[\[<][^\n=:"'`]*[\]>][ \t]*=(?![=>])[ \t]*""")
 
 
 class Span(NamedTuple):
@@ -88,55 +92,110 @@ def strength(literal: str) -> float:
     return min(1.0, bits / 32) * prose
 
 
-def statements(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
-    """(name, spans of its literals, names it refers to) of each statement in order."""
-    at = 0
-    for m in _TARGET.finditer(text):
-        if m.start() < at:
+def _target_name(text: str, m: re.Match) -> str:
+    """The name of a target; a Java option such as `-Dpwd=...` sets `pwd`."""
+    at = m.start(1)
+    option = text[max(0, at - 2):at].strip(" \t\n\"'`") == "-" and m[1][0] == "D"
+    return m[1][1:] if option and len(m[1]) > 1 else m[1]
+
+
+def statements(text: str) -> Iterator[tuple[str, int, list[tuple[int, int]], list[str | int]]]:
+    """(name, its place, spans of its literals, what it refers to) of each statement in order.
+
+    A reference is a name, or the place of the statement that begins in a bare term of the value, as in typed
+    declarations, chained assignments and `word: name=value`.  That statement reads the rest of the value.
+    """
+    targets = list(_TARGET.finditer(text))
+    quoted = bare = 0  # ends of the last quoted and the last bare term
+    for i, m in enumerate(targets):
+        if m.start() < quoted:
             continue
-        literals, refs, at = [], [], m.end()
-        while t := _TERM.match(text, at):
-            kind = t.lastgroup
-            if kind == "v":
+        literals, refs, at, later = [], [], m.end(), i + 1
+        while True:
+            if at < bare and text[at] != "$":
+                kind, start, end = "w", at, bare
+            elif t := _TERM.match(text, at):
+                kind, (start, end) = t.lastgroup, t.span(t.lastgroup)
+            else:
+                break
+            if kind == "w":
+                bare = at = end
+                while later < len(targets) and targets[later].start() < start:
+                    later += 1
+                inner = targets[later] if later < len(targets) and targets[later].start() < at else None
+                while end > start and text[end - 1] in ".:!?":
+                    end -= 1
+                if inner:
+                    refs.append(inner.start(1))
+                    if end > start and not _only_inner(text, start, at, inner):
+                        literals.append((start, end))
+                    break
+                if typed := _TYPE_ARGUMENTS.match(text, at):
+                    at = typed.end()
+                    continue
+                if _NAME.match(text, start, end):
+                    refs.append(text[start:end])
+                if end > start:
+                    literals.append((start, end))
+            elif kind == "v":
                 refs.append(t["v"])
-            elif kind == "w":
-                word = t["w"].rstrip(".:!?")
-                if _NAME.match(word):
-                    refs.append(word)
-                if word:
-                    literals.append((t.start("w"), t.start("w") + len(word)))
+                at = t.end()
             else:
-                literals.append(t.span(kind))
-            at = t.end()
+                literals.append((start, end))
+                quoted = at = t.end()
             if not (j := _JOIN.match(text, at)):
                 break
             at = j.end()
         if literals or refs:
-            yield m[1], literals, refs
+            yield _target_name(text, m), m.start(1), literals, refs
+
+
+def _only_inner(text: str, start: int, end: int, inner: re.Match) -> bool:
+    """Whether a bare term is the inner statement's name or text, and not a value that happens to hold an operator."""
+    if inner.start() != start:
+        return False
+    if inner.end(1) == end:  # a type or a chained name, with the operator after a blank
+        return text[inner.end():inner.end() + 1] in tuple("\"'`")
+    return inner.end() < end and sensitivity(_target_name(text, inner)) >= THRESHOLD
 
 
 def lexed(text: str) -> dict[tuple[int, int], int]:
-    """Literals that belong to sensitive names: span -> kind."""
-    own: dict[str, list[tuple[int, int]]] = {}
-    uses: dict[str, list[str]] = {}
-    for name, literals, refs in statements(text):
-        own.setdefault(name, []).extend(literals)
-        uses.setdefault(name, []).extend(refs)
-    found: dict[tuple[int, int], int] = {}
-    for name in own:
-        weight = sensitivity(name)
+    """Literals that belong to sensitive names: span -> kind.  A literal inside another one is not repeated."""
+    own: dict[str | int, list[tuple[int, int]]] = {}
+    uses: dict[str | int, list[str | int]] = {}
+    names = {}
+    for name, place, literals, refs in statements(text):
+        names[name] = sensitivity(name) if name not in names else names[name]
+        for key in (name, place):
+            own.setdefault(key, []).extend(literals)
+            uses.setdefault(key, []).extend(refs)
+    reached: dict[tuple[int, int], dict[int, float]] = {}
+    for name, weight in names.items():
         if weight < THRESHOLD:
             continue
         seen, todo = {name}, [name]
         while todo:
             here = todo.pop()
             for span in own.get(here, ()):
-                if weight * strength(text[slice(*span)]) >= THRESHOLD:
-                    kind = 3 if here == name else 4
-                    found[span] = min(kind, found.get(span, kind))
+                kinds, kind = reached.setdefault(span, {}), 3 if here == name else 4
+                kinds[kind] = max(weight, kinds.get(kind, 0.0))
             fresh = [r for r in uses.get(here, ()) if r in own and r not in seen]
             seen.update(fresh)
             todo.extend(fresh)
+    found: dict[tuple[int, int], int] = {}
+    covered = 0
+    # A literal inside another one is no stronger and, up to the place of a placeholder, one as well: none is read twice.
+    most, upto, within = 1.0, 0, 0
+    for start, end in sorted(reached, key=lambda s: (s[0], -s[1])):
+        kinds = reached[start, end]
+        if end <= covered or end <= within and start <= upto and most * max(kinds.values()) < THRESHOLD:
+            continue
+        literal = text[start:end]
+        hit = PLACEHOLDER.search(literal)
+        most, upto, within = (0.0, start + hit.start(), end) if hit else (strength(literal), end, end)
+        if strong := [k for k, weight in kinds.items() if weight * most >= THRESHOLD]:
+            found[start, end] = min(strong)
+            covered = end
     return found
 
 

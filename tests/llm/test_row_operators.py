@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -61,6 +62,39 @@ def test_lexer_follows_names_and_constants(text, found):
     assert secrets.digest(secrets.scan(text))[4] == found
 
 
+@pytest.mark.parametrize("text, found", [
+    ('private_key: str = "q7Zp-41Lm+77Px9"', "flow:20:35"),
+    ('const dbPwd: string = "q7Zp-41Lm+77Px9";', "flow:23:38"),
+    ('dbPwd: Optional[str] = "q7Zp-41Lm+77Px9"', "named:24:39"),
+    ('val x: String = "q8Zr-41Lm+77Px"\nclientCredential = x', "flow:17:31"),
+    ('title: str = "q8Zr-41Lm+77Px"\ndb_pwd: str = other', ""),
+    ('pwd = backup = "xK9#mQ2$vL7!"', "flow:16:28"),
+    ("INFO: db_pwd=Abc12345xyz", "named:13:24"),
+    ("Cookie: auth=Abc12345xyzQ9", "named:13:26"),
+    ("env: ACCESS_KEY=Zx81kLmQ92ssTT0", "named:16:31"),
+    ("pwd: db_pwd=Abc12345xyz", "named:12:23"),
+    ("see https://host/?page=2&db_pwd=Abc12345xyz", "named:32:43"),
+    ("url: https://host/?page=2&db_pwd=Abc12345xyz", "named:33:44"),
+    ("run --private-key=Zx81kLmQ92ssTT0", "named:18:33"),
+    ("java -Dpwd=Zx81kLmQ92ssTT0 -jar x", "named:11:26"),
+    ("cmd: -Dpwd=Zx81kLmQ92ssTT0", "named:11:26"),
+    ("2nd-pwd=Zx81kLmQ92ssTT0", "named:8:23"),
+    ("db_pwd: Abc:12345xyz", "named:8:20"),
+    ("db_pwd: aGVsbG8xPass12= # padded", "named:8:23"),
+    ('db_pwd = "x=1;y" + z=Abc12345xyz', "named:19:32"),
+])
+def test_statements_inside_values(text, found):
+    assert secrets.digest(secrets.scan(text))[4] == found
+
+
+@pytest.mark.parametrize("unit", ["a=", "pwd=", "pwd=a=", "a-", "a--", "1a-", "?x=1 + ", "a:b[", "--"])
+def test_lexing_stays_linear(unit):
+    began = time.process_time()
+    secrets.scan(unit * 20_000 + "example")
+    secrets.scan(unit * 20_000)
+    assert time.process_time() - began < 5
+
+
 def test_masking_keeps_everything_else(spark):
     text = 'x password="abcdefghijkl" y AKIA' + "B" * 16 + " z"
     assert secrets.redacted(text) == 'x password="[REDACTED]" y [REDACTED] z'
