@@ -73,8 +73,12 @@ def mix_plan(rows: DataFrame) -> DataFrame:
     sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
     budget = targets(sizes)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    budget = stored(budget.withColumn("epochs", epochs).withColumn(
-        "rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5)), "budgets")
+    rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5)
+    budget = budget.withColumn("epochs", epochs).withColumn("rest", rest)
+    # A rest that rounds up to the whole source is one more epoch: no row would end it.
+    full = (F.col("source_size") > 0) & (F.col("rest") >= F.col("source_size"))
+    budget = stored(budget.select("source", "source_size", "target", (F.col("epochs") + full.cast("long")).alias("epochs"),
+                                  F.when(full, 0).otherwise(F.col("rest")).alias("rest")), "budgets")
     keyed = rows.groupBy("source", "key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("equal"))
     ordered = running_total(keyed, ["source"], ["key"], "size", "before")
     on = ordered["source"].eqNullSafe(budget["source"])

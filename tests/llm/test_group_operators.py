@@ -265,6 +265,22 @@ def test_mix_takes_its_targets(spark):
     assert mixing.mix_report(empty(spark)).count() == mixing.mixed_documents(empty(spark)).count() == 0
 
 
+def test_a_rest_that_rounds_up_to_a_source_is_an_epoch(spark, monkeypatch):
+    given = {"a": (1, 0.6, 1), "b": (3, 2.6, 3), "c": (3, 5.6, 6), "d": (3, 2.4, 2), "e": (0, 0.0, 0), None: (1, 1.7, 2)}
+    texts = [(i, " ".join(["w"] * n), s) for i, (s, (n, _, _)) in enumerate(given.items())]
+    texts[1:2] = [(10 + i, f"w{i}", "b") for i in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    want = spark.createDataFrame([(s, x) for s, (_, x, _) in given.items()], "s string, target double")
+    monkeypatch.setattr(mixing, "targets", lambda sizes: sizes.join(
+        want, F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "target"))
+    taken = mixing.mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken"))
+    assert {r[0]: r[1] for r in taken.collect()} == {s: n for s, (_, _, n) in given.items()}
+    got = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] += len(spark_words(r["text"]))
+    assert got == Counter({s: n for s, (_, _, n) in given.items() if n})
+
+
 # --- top k ---------------------------------------------------------------------------------------------------------
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
