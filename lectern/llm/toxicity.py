@@ -6,12 +6,13 @@ that sees nothing abstains, which is no evidence.  The lexicon holds a list of i
 that labelled toxic texts use far more often than labelled clean ones.  A generative label model, a class
 of known share and votes given the class, is fitted by EM over the counts of all vote signatures outside the held-out
 fold; votes that go together within the toxic class share their weight by their correlations.  A linear classifier on
-hit counts is then trained on the posterior labels and gives the scores.
+hit counts and pattern votes is then trained on the posterior labels and scores the texts with hits; a text without hits
+has its votes only and scores as their posterior.
 
 Labels are read from rows only where crc32(doc_id) mod `FOLDS` is not `HELD_OUT`.  Mining and the classifier use at
 most `MOST_TOXIC` + `MOST_CLEAN` labelled rows, chosen by hash; voting, signatures and scores cover every document.
 
-Nulls: a null text is an empty one and scores as a text without hits; a row without doc_id is not held out and has no
+Nulls: a null text is an empty one and scores as a text without hits or patterns; a row without doc_id is not held out and has no
 label; labels without doc_id or toxic are left out, and a document with several labels counts as toxic if one says so.
 Repeated rows score alike; an empty table gives an empty result; without labels the list of insults alone votes.
 """
@@ -68,7 +69,12 @@ class Lexicon(NamedTuple):
 
     @property
     def voters(self) -> int:
-        return self.own + SHARED + 1 + _PATTERNS
+        return self.patterns + _PATTERNS
+
+    @property
+    def patterns(self) -> int:
+        """The first of the voters by pattern: threat, density, shouting, silence."""
+        return self.own + SHARED + 1
 
     def voter(self, entry: int, mined: int) -> int:
         if entry >= mined:
@@ -174,7 +180,7 @@ def _voted(text: str | None, lex: Lexicon, mined: int) -> tuple[int, int, list[i
                     hits[e] += n
                     break
     total, met = sum(words.values()), sum(hits.values())
-    signature, base = 0, lex.own + SHARED + 1
+    signature, base = 0, lex.patterns
     for e in hits:
         signature |= 1 << lex.voter(e, mined)
     signature |= (bool(lower) and THREATS.search(lower) is not None) << base
@@ -241,11 +247,13 @@ def fit_label_model(signatures: DataFrame, voters: int, prior: float) -> LabelMo
     return model
 
 
-def _inputs(entries: np.ndarray, counts: np.ndarray, n_words: int, size: int) -> np.ndarray:
-    x = np.zeros(size + 2)
+def _inputs(entries: np.ndarray, counts: np.ndarray, n_words: int, signature: int, lex: Lexicon) -> np.ndarray:
+    size = lex.entries
+    x = np.zeros(size + _PATTERNS + 1)
     x[entries] = np.log1p(counts)
     x[size] = np.log1p(100 * counts.sum() / max(1, n_words))
-    x[size + 1] = 1
+    x[size + 1:-1] = (signature >> np.arange(lex.patterns, lex.voters - 1)) & 1  # all but silence
+    x[-1] = 1
     return x
 
 
@@ -265,8 +273,8 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, weight: np.ndarray, decay:
     return w
 
 
-def train(voted: DataFrame, sample: DataFrame, lex: Lexicon, share: float) -> np.ndarray:
-    """Weights of the classifier, from the votes of all documents outside the held-out fold."""
+def train(voted: DataFrame, sample: DataFrame, lex: Lexicon, share: float) -> tuple[np.ndarray, LabelModel]:
+    """Weights of the classifier and the label model, from the votes of all documents outside the held-out fold."""
     prior = float(np.clip(share or 0.05, 1e-4, 0.5))
     labels = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The sample is bounded, so its labels may be broadcast.
@@ -278,13 +286,13 @@ def train(voted: DataFrame, sample: DataFrame, lex: Lexicon, share: float) -> np
         "signature", "n_words", "entries", "counts").limit(MOST_TOXIC + MOST_CLEAN).collect()
     silent = open_votes.where("toxic IS NOT NULL AND size(entries) = 0").groupBy("signature").count().limit(
         1 << (_PATTERNS + 1)).collect()
-    x = [_inputs(np.array(r["entries"]), np.array(r["counts"]), r["n_words"], lex.entries) for r in rows]
-    x += [_inputs(np.zeros(0, int), np.zeros(0), 1, lex.entries) for _ in silent]
+    x = [_inputs(np.array(r["entries"]), np.array(r["counts"]), r["n_words"], r["signature"], lex) for r in rows]
+    x += [_inputs(np.zeros(0, int), np.zeros(0), 1, r["signature"], lex) for r in silent]
     if not x:
-        x = [_inputs(np.zeros(0, int), np.zeros(0), 1, lex.entries)]
+        x = [_inputs(np.zeros(0, int), np.zeros(0), 1, 0, lex)]
     seen = np.array([r["signature"] for r in rows] + [r["signature"] for r in silent] or [0])
     weight = np.array([1] * len(rows) + [r["count"] for r in silent] or [1], float)
-    return fit_classifier(np.array(x), model.posterior(seen), weight)
+    return fit_classifier(np.array(x), model.posterior(seen), weight), model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,15 +300,14 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample, share = labelled_sample(docs, labels)
     lex, mined = lexicon(sample)
     voted = stored(votes(docs, lex, mined), "votes")
-    w = train(voted, sample, lex, share)
-    size = lex.entries
+    w, model = train(voted, sample, lex, share)
 
     @pandas_udf(DoubleType())
-    def score(entries: pd.Series, counts: pd.Series, n_words: pd.Series) -> pd.Series:
-        return pd.Series([1 / (1 + np.exp(-np.clip(_inputs(e.astype(int), c, n, size) @ w, -30, 30))) if len(e) else base
-                          for e, c, n in zip(entries, counts, n_words)], dtype=float)
+    def score(signature: pd.Series, entries: pd.Series, counts: pd.Series, n_words: pd.Series) -> pd.Series:
+        silent = model.posterior(signature.to_numpy())
+        return pd.Series([1 / (1 + np.exp(-np.clip(_inputs(e.astype(int), c, n, s, lex) @ w, -30, 30))) if len(e) else p
+                          for s, e, c, n, p in zip(signature, entries, counts, n_words, silent)], dtype=float)
 
-    base = float(1 / (1 + np.exp(-np.clip(w[-1], -30, 30))))
     scored = voted.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
-                          score("entries", "counts", "n_words").alias("score"))
+                          score("signature", "entries", "counts", "n_words").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

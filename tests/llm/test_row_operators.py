@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -216,3 +217,19 @@ def test_toxicity_ignores_held_out_labels_and_takes_awkward_rows(spark):
     none = labels.limit(0)
     assert toxicity.score_documents(docs, none).count() == docs.count()
     assert toxicity.score_documents(empty(spark), labels).count() == 0
+
+
+def test_patterns_reach_the_score(spark):
+    docs, labels = table(spark, SMALL, "documents").select("doc_id", "text"), table(spark, SMALL, "labels")
+    open_ids = [i for i in range(900_000, 900_100) if zlib.crc32(str(i).encode()) % 4 != 2][:8]
+    held = next(i for i in range(900_000, 900_100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    said = ["kill yourself", "ta gueule", "halt die klappe"]
+    rows = [(d, f"{w} {said[n % 3]} {w}") for n, (d, w) in enumerate(zip(
+        [*open_ids[:7], held], "alpha beta gamma delta epsilon zeta eta theta".split()))] + [(open_ids[7], "theta so be it theta")]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    told = spark.createDataFrame([(d, 1) for d in open_ids[:6]], "doc_id long, toxic int")
+    out = toxicity.score_documents(docs.unionByName(more), labels.select("doc_id", "toxic").unionByName(
+        told.withColumn("toxic", toxicity.F.col("toxic").cast(labels.schema["toxic"].dataType))))
+    score = {r["doc_id"]: r["score"] for r in out.where("doc_id >= 900000").collect()}
+    clean = score[open_ids[7]]
+    assert all(score[d] > 2 * clean for d in [*open_ids[:7], held]), score
