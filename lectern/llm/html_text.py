@@ -3,12 +3,13 @@
 Markup is stripped into lines, one per block of the page.  A line's weight is the length of its text without links;
 lines in menus, headers, footers, sidebars, notices, adverts, forms and comments weigh nothing, and where a page names
 its main part (`article`, `main`), so do lines outside it, while each line in it weighs at least `SURGE`.  Weights are
-summed over sliding windows of `WINDOW` lines.  Text surges where the sum rises to `SURGE` or more and dives where a
+summed over sliding windows of `WINDOW` lines.  Text surges where the sum rises to `SURGE` or more (on a page
+without such a sum, to its highest sum) and dives where a
 whole window has none; the lines between such points are kept.  Without a named main part, stretches with less than a
 tenth of the longest one's weight are left out.
 
 A null page counts as an empty one and gives an empty text.  Unclosed elements end with the page, or where its main part
-begins.  Repeated pages are read one by one; an empty table gives an empty result; other columns take no part.
+begins; a paragraph or list item ends where HTML closes it unasked.  Repeated pages are read one by one; an empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ _INLINE = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _APART = frozenset("nav footer aside form menu dialog button fieldset".split())
 _MAIN = frozenset(("article", "main"))
+_LISTS = frozenset(("ul", "ol", "menu"))
+#: Tags that can't stand in a paragraph.
+_ENDS_P = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 "
+    "h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section table td th tr ul".split())
 #: Words in a class, id or role that tell a part of the page from its article.
 _SIGNS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
@@ -65,7 +71,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     links = main = in_link = 0
-    skip, depth, at = "", 0, 0
+    skip, depth, at, lists = "", 0, 0, 0
 
     def close():
         nonlocal links
@@ -90,6 +96,12 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if name == "a":
             in_link = 0 if ends else 1
         empty = name in _VOID or attributes.endswith("/")
+        if skip == "li" and name in _LISTS:
+            lists += -1 if ends else 1
+        if skip == "p" and name in _ENDS_P or skip == "li" and (
+                lists < 0 or name == "li" and not lists):
+            close()
+            skip = ""
         apart = not ends and not empty and not skip and _apart(name, attributes, main > 0)
         if name not in _INLINE or apart or name == skip:
             close()
@@ -101,7 +113,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             elif name in _MAIN and not ends and not main:
                 skip = ""
         elif apart:
-            skip, depth = name, 1
+            skip, depth, lists = name, 1, 0
         if name in _MAIN and not skip:
             main = max(0, main - 1) if ends else main + 1
     text.append(page[at:])
@@ -123,8 +135,9 @@ def main_text(page: str | None) -> str:
             weight.append(max(SURGE, len(line)) if named else max(0, len(line) - links))
     sums = [sum(weight[i:i + WINDOW]) for i in range(len(weight))]
     stretches, begin = [], None
+    surge = min(SURGE, max(sums, default=0))
     for i, total in enumerate(sums):
-        if begin is None and total >= SURGE and weight[i]:
+        if begin is None and total >= surge and weight[i]:
             begin = i
         elif begin is not None and not total:
             stretches.append((begin, i))

@@ -184,6 +184,19 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body><h1>Short news</h1><p>Nothing happened today.</p></body>", "Short news Nothing happened today."),
+    ("<p class=ad>Buy now<p>" + "Real words here. " * 9, ("Real words here. " * 9).strip()),
+    ("<p class=ad>Buy <img src=a> now<div>" + "Real words here. " * 9 + "</div>", ("Real words here. " * 9).strip()),
+    ("<p class=ad><button>Buy</button> it now</p><p>" + "Real words here. " * 9, ("Real words here. " * 9).strip()),
+    ("<ul><li class=menu>Home<ul><li>Deep</ul><li>" + "Real words here. " * 9 + "</ul>", ("Real words here. " * 9).strip()),
+    ("<ul><li class=menu>Home</ul><div>" + "Real words here. " * 9 + "</div>", ("Real words here. " * 9).strip()),
+    ("<ul><li class=menu><a href=x>Home</a></li></ul>", ""),
+])
+def test_short_pages_and_unclosed_parts(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_whole_table(spark):
     got = html_text.extract(table(spark, SMALL, "pages"))
     for r, p in zip(got.orderBy("page_id").collect(), table(spark, SMALL, "pages").orderBy("page_id").collect()):
