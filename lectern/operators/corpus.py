@@ -51,13 +51,14 @@ def set_fingerprint(members: DataFrame, key: str, member: str) -> DataFrame:
     """First 12 hex digits of the MD5 of the sorted member ids joined by `-`.
 
     Members are dealt by key and sorted inside the tasks; each task feeds them
-    to a running digest as they stream by, so a set may have any size.
+    to a running digest as they stream by, so a set may have any size.  Null
+    members take no part; a set of them only has a null fingerprint, as in SQL.
     """
-    rows = members.select(key, F.col(member).cast("string").alias("__m")).where("__m IS NOT NULL")
+    rows = members.select(key, F.col(member).cast("string").alias("__m"))
     dealt = rows.repartition(key).sortWithinPartitions(key, "__m")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, found, now, digest = [], [], None, None
+        keys, found, now, digest, begun = [], [], None, None, False
 
         def rows_so_far():
             return pa.RecordBatch.from_arrays(
@@ -67,19 +68,23 @@ def set_fingerprint(members: DataFrame, key: str, member: str) -> DataFrame:
         for batch in batches:
             schema_type = batch.column(0).type
             for k, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if digest is None or k != now:
-                    if digest is not None:
+                if not begun or k != now:
+                    if begun:
                         keys.append(now)
-                        found.append(digest.hexdigest()[:12])
-                    now, digest = k, hashlib.md5(m.encode())
+                        found.append(digest and digest.hexdigest()[:12])
+                    now, digest, begun = k, None, True
+                if m is None:
+                    continue
+                if digest is None:
+                    digest = hashlib.md5(m.encode())
                 else:
                     digest.update(b"-" + m.encode())
             if keys:
                 yield rows_so_far()
                 keys, found = [], []
-        if digest is not None:
+        if begun:
             keys.append(now)
-            found.append(digest.hexdigest()[:12])
+            found.append(digest and digest.hexdigest()[:12])
             yield rows_so_far()
 
     kind = members.schema[key].dataType.simpleString()

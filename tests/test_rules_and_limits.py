@@ -29,6 +29,14 @@ def test_a_rule_that_java_cannot_run_is_skipped(spark):
     assert tx.compile_rule(tx.Rule("/(a)?(?(1)b|c)/", "x")) is None
 
 
+def test_sets_of_nulls_keep_their_row(spark):
+    rows = [(1, None), (1, None), (2, None), (2, 5), (2, 31), (3, 7), (None, None), (4, None)]
+    got = corpus.set_fingerprint(spark.createDataFrame(rows, "k int, id int"), "k", "id").collect()
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()[:12]
+    assert len(got) == 5
+    assert {r["k"]: r["fingerprint"] for r in got} == {1: None, 2: md5("31-5"), 3: md5("7"), None: None, 4: None}
+
+
 def test_large_set_has_a_fingerprint(spark):
     members = spark.range(200_000).select(F.lit("big").alias("k"), F.col("id")).unionByName(
         spark.createDataFrame([("one", 5), (None, 7), (None, 3)], "k string, id long"))
