@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import (html_text, jaccard_join, mixing, piece_codec, quality_rules, secrets, sharding, token_store, topk,
-                         toxicity)
+from lectern.llm import (hard_negatives, html_text, jaccard_join, line_dedup, mixing, periodic_runs, piece_codec,
+                         quality_rules, secrets, sharding, token_store, topk, toxicity)
 from lectern.llm.common import WORD, table, tokenizer_path
 from lectern.session import configure
 
@@ -143,6 +144,47 @@ def _(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_hard_negatives", """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id
+    ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", moved))
+
+
+@query("op12_line_dedup", """WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT id, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM u),
+c AS (SELECT key, min(doc_id) AS home FROM k WHERE length(key) >= 10 GROUP BY key
+  HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 2),
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id IS DISTINCT FROM c.home AS gone FROM k LEFT JOIN c USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY id""")
+def _(spark, sf_dir):
+    return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def _(spark, sf_dir):
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
