@@ -18,6 +18,7 @@ from lectern.functions import text as tx
 from lectern.functions.rows import plain_rows
 from lectern.operators.chunking import slices
 from lectern.operators.ordered import block_of, row_numbers
+from lectern.session import written
 
 NARRATOR = "NARRATEUR"
 UNKNOWN = "PERSONNAGE"
@@ -443,6 +444,7 @@ def append_speakers(declared: DataFrame, seen: DataFrame) -> DataFrame:
     have = declared.groupBy("project").agg(F.max("ord").alias("__last"))
     fresh = seen.groupBy("project", "role").agg(F.min("pos").alias("pos")).join(
         declared.select("project", "role"), ["project", "role"], "left_anti")
+    fresh = written(fresh, "speakers")
     ranked = row_numbers(fresh, ["project"], ["pos", "role"], block_of(F.col("pos")), "__n")
     added = ranked.join(have, "project", "left").select(
         "project", (F.coalesce("__last", F.lit(0)) + F.col("__n")).cast("bigint").alias("ord"), "role")

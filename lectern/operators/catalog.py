@@ -300,9 +300,9 @@ def latest_lines(log: DataFrame, key: str, order: list[str], keep: int = 500) ->
     return log.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= keep).drop("__r")
 
 
-def queue_positions(queue: DataFrame, seconds_block: Column) -> DataFrame:
-    """Position of every entry in one global queue, counted block-wise."""
-    return ordered_scan(queue, [], ["ts", "event_id"], seconds_block, [running_sum(F.lit(1).cast("bigint"), "position")])
+def queue_positions(queue: DataFrame) -> DataFrame:
+    """Position of every entry in one global queue: counted in ranges of equal size, however many share a moment."""
+    return ordered_scan(queue, [], ["ts", "event_id"], None, [running_sum(F.lit(1).cast("bigint"), "position")])
 
 
 def enqueue_missing(wanted: DataFrame, queue: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.joins import optional_join
-from lectern.operators.ordered import block_of, ordered_scan, running_sum, sum_before, time_block
+from lectern.operators.ordered import block_of, dealt_by_range, ordered_scan, running_sum, sum_before, time_block
+from lectern.session import written
 
 
 _ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -55,6 +56,53 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def _beyond(order: list[tuple[str, bool]], key: tuple, inclusive: bool) -> Column:
+    """Rows behind `key` in the order of (column, descending) pairs.
+
+    The bound on the first column stands by itself, so that it reaches the scan and prunes by minimum and maximum.
+    """
+    found = F.lit(inclusive)
+    for (name, down), value in reversed(list(zip(order, key))):
+        c, v = F.col(name), F.lit(value)
+        found = (c < v if down else c > v) | ((c == v) & found)
+    (name, down), value = order[0], key[0]
+    first = F.col(name) <= F.lit(value) if down else F.col(name) >= F.lit(value)
+    return first & found
+
+
+def _sorted(order: list[tuple[str, bool]]) -> list[Column]:
+    return [F.desc(c) if down else F.asc(c) for c, down in order]
+
+
+def page_after(df: DataFrame, order: list[tuple[str, bool]], key: tuple, limit: int) -> DataFrame:
+    """The next `limit` rows behind the row whose order columns are `key`: no row before it is sorted or kept.
+
+    `order` is a total order of (column, descending) pairs over columns without nulls.
+    """
+    check_page(limit, 0)
+    return df.filter(_beyond(order, key, False)).orderBy(*_sorted(order)).limit(limit)
+
+
+def page_at(df: DataFrame, order: list[tuple[str, bool]], limit: int, offset: int) -> DataFrame:
+    """The page at a deep offset, which sorts one range of keys and then keeps `limit` rows only.
+
+    The order columns alone are dealt by range; the counts of the ranges tell which of them holds the page's first row,
+    and a seek from that row's key does the rest.
+    """
+    check_page(limit, offset)
+    names = [c for c, _ in order]
+    dealt = dealt_by_range(df.select(*names), [], _sorted(order), "__part")
+    start = 0
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("__part").count().collect()):
+        if offset < start + n:
+            inside = Window.partitionBy("__part").orderBy(*_sorted(order))
+            key = dealt.filter(F.col("__part") == part).withColumn("__n", F.row_number().over(inside)).filter(
+                F.col("__n") == offset - start + 1).select(*names).first()
+            return df.filter(_beyond(order, tuple(key), True)).orderBy(*_sorted(order)).limit(limit)
+        start += n
+    return df.limit(0)
+
+
 def check_page(limit: int, offset: int, largest: int = 200) -> None:
     if not 1 <= limit <= largest:
         raise ValueError(f"limit must be between 1 and {largest}")
@@ -304,6 +352,7 @@ def import_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     line = placed.select("base", (F.col("k") - F.col("below")).alias("pos"), F.lit(1).cast("bigint").alias("taken"),
                          F.col("k").alias("ord")).unionByName(
         ranked.select("base", F.col("pos").cast("bigint"), F.lit(0).cast("bigint").alias("taken"), "ord"))
+    line = written(line, "names")
     counted = ordered_scan(
         line.withColumn("kind", 1 - F.col("taken")), ["base"], ["pos", "kind", "ord"], block_of(F.col("pos")),
         [running_sum(F.col("taken"), "skip")])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.ordered import block_of, ordered_scan, sum_before
+from lectern.session import written
 
 GAP_MS = 200
 
@@ -32,12 +33,13 @@ def reorder(items: DataFrame, wanted: DataFrame, gap_ms: int = GAP_MS) -> DataFr
     A story changes only when the wanted ids are exactly its items; otherwise
     it is left out of the result.
     """
-    sizes = items.groupBy("story_id").agg(F.count("*").alias("n"))
-    asked = wanted.groupBy("story_id").agg(F.count("*").alias("asked"))
-    both = wanted.join(items.select("story_id", "id", "duration"), ["story_id", "id"])
-    hits = both.groupBy("story_id").agg(F.count("*").alias("hits"))
-    exact = sizes.join(asked, "story_id").join(hits, "story_id").filter("n = asked AND n = hits").select("story_id")
-    return sequential_starts(both.join(exact, "story_id", "left_semi"), ["ord", "id"], "ord", gap_ms)
+    met = written(wanted.select("story_id", "id", "ord", F.lit(True).alias("__asked")).join(
+        items.select("story_id", "id", "duration", F.lit(True).alias("__own")), ["story_id", "id"], "full"), "order")
+    exact = met.groupBy("story_id").agg(
+        (F.count("__asked") == F.count("*")) & (F.count("__own") == F.count("*")) & (F.count_distinct("id") == F.count("*")))
+    exact = exact.toDF("story_id", "__exact").filter("__exact").select("story_id")
+    kept = met.select("story_id", "id", "ord", "duration").join(exact, "story_id", "left_semi")
+    return sequential_starts(kept, ["ord", "id"], "ord", gap_ms)
 
 
 def append_position(items: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import catalog as cat
 from lectern.operators import validation as val
-from lectern.operators.ordered import block_of, ordered_scan, running_sum, time_block
+from lectern.operators.ordered import block_of, ordered_scan, running_sum
 from lectern.plans.domain import ctes
 from lectern.plans.registry import query
 
@@ -296,7 +296,7 @@ def _(t):
 @query("global_queue_position", """
 SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS position FROM events""")
 def _(t):
-    return cat.queue_positions(t.events.select("event_id", "ts"), time_block(F.col("ts"), 86400))
+    return cat.queue_positions(t.events.select("event_id", "ts"))
 
 
 @query("enqueue_missing", """

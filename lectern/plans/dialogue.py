@@ -15,6 +15,7 @@ from lectern.operators import play
 from lectern.plans.chunks import script_cte, scripts
 from lectern.plans.registry import query
 from lectern.plans.text import lines_cte
+from lectern.session import written
 
 NAMES = ["ANNA", "LE VIEUX BORIS", "CLARA"]
 
@@ -437,7 +438,7 @@ def _(t):
     li = t.lineitem
     first = li.filter("l_linenumber = 1").selectExpr(
         "l_suppkey AS project", "concat('R', l_partkey % 40) AS role").distinct()
-    declared = row_numbers(first, ["project"], ["role"], F.ascii("role").cast("bigint"), "ord")
+    declared = written(row_numbers(first, ["project"], ["role"], F.ascii("role").cast("bigint"), "ord"), "declared")
     seen = li.selectExpr("l_suppkey AS project", "concat('R', l_partkey % 90) AS role", "l_orderkey AS pos")
     return at.append_speakers(declared, seen)
 

@@ -107,8 +107,9 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "WHEN event_type = 'view' THEN 'extracting' ELSE 'downloading' END AS status",
     ]),
     "speed_samples": ("events", [
-        "event_type AS engine", "event_id", "ts", "event_id % 40 AS chars", "value * 100 AS duration_ms",
-        "event_id % 9 <> 0 AS ok",
+        "concat('server-', user_id % 2) AS queue", "event_type AS engine",
+        "CASE WHEN event_id % 3 = 0 THEN '0.6B' ELSE '1.7B' END AS model", "event_id", "ts", "event_id % 40 AS chars",
+        "CASE WHEN event_id % 53 = 0 THEN value * 10000 ELSE value * 100 END AS duration_ms", "event_id % 9 <> 0 AS ok",
     ]),
     "log_lines": ("events", [
         "event_type AS queue", "event_id", "ts",

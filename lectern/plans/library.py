@@ -33,6 +33,26 @@ def _(t):
     return lib.page_with_total(rows, [F.desc("created_at"), F.asc("id")], limit=50, offset=100)
 
 
+_ORDER = [("created_at", True), ("id", False)]
+
+
+@query("history_page_after", ctes("generations", "profiles") + f""", {_HIST}
+SELECT id, profile_name, status, created_at FROM h WHERE created_at < '1995-06-17' OR created_at = '1995-06-17' AND id > 3000
+ORDER BY created_at DESC, id LIMIT 50""")
+def _(t):
+    rows = lib.history(t.generations, t.profiles).select("id", "profile_name", "status", "created_at")
+    key = (F.lit("1995-06-17").cast(rows.schema["created_at"].dataType), 3000)
+    return lib.page_after(rows, _ORDER, key, limit=50)
+
+
+@query("history_page_deep", ctes("generations", "profiles") + f""", {_HIST}
+SELECT id, profile_name, status, created_at FROM h
+ORDER BY created_at DESC, id LIMIT 50 OFFSET (SELECT count(*) * 7 // 10 FROM h)""")
+def _(t):
+    rows = lib.history(t.generations, t.profiles).select("id", "profile_name", "status", "created_at")
+    return lib.page_at(rows, _ORDER, limit=50, offset=rows.count() * 7 // 10)
+
+
 @query("voices_contains_search", ctes("profiles") + """SELECT id, name, description, language FROM profiles
 WHERE contains(lower(coalesce(name,'')), '77') OR contains(lower(coalesce(description,'')), '77')
    OR contains(lower(coalesce(language,'')), '77')""")

@@ -9,61 +9,75 @@ from lectern.operators import state as st
 from lectern.plans.domain import ctes
 from lectern.plans.registry import query
 
-# printf rounds the exact binary value, as the average itself does; round() would scale first.
-_WALK = """, o AS (SELECT engine, event_id, ts, greatest(duration_ms - 500, 0) / chars AS x, row_number() OVER
-  (PARTITION BY engine ORDER BY ts, event_id) AS i FROM speed_samples WHERE chars > 0 AND duration_ms > 0 {cond}),
-walk AS (SELECT engine, i, event_id, ts, CAST(printf('%.3f', x) AS DOUBLE) AS rate FROM o WHERE i = 1 UNION ALL
-  SELECT o.engine, o.i, o.event_id, o.ts, CAST(printf('%.3f', 0.3::DOUBLE * o.x + 0.7::DOUBLE * w.rate) AS DOUBLE) FROM walk w
-  JOIN o ON o.engine = w.engine AND o.i = w.i + 1)"""
-_FINAL = """, fin AS (SELECT engine, rate AS ms_per_char, i AS samples, ts AS updated_at FROM walk
-  QUALIFY row_number() OVER (PARTITION BY engine ORDER BY i DESC) = 1)"""
+# One queue is walked in order; averages and counts of its engines and models are lists.  printf rounds the exact binary
+# value, as the average itself does; round() would scale first.
+_WALK = ctes("speed_samples").replace("WITH", "WITH RECURSIVE", 1) + """
+, o AS (SELECT *, dense_rank() OVER (ORDER BY engine, model) AS k, row_number() OVER (PARTITION BY queue ORDER BY ts, event_id)
+  AS i, CASE WHEN chars > 0 AND duration_ms > 0 THEN greatest(duration_ms - 500, 0) / chars END AS x FROM speed_samples),
+walk AS (SELECT queue, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS before,
+    CAST(NULL AS BOOLEAN) AS warm, CAST(NULL AS DOUBLE) AS limit_s, CAST(NULL AS VARCHAR) AS label,
+    [CAST(NULL AS DOUBLE) FOR n IN range(max(k))] AS rates, [CAST(0 AS BIGINT) FOR n IN range(max(k))] AS counts,
+    CAST(NULL AS TIMESTAMP) AS success FROM o GROUP BY queue UNION ALL
+  SELECT queue, i, event_id, success, warm, limit_s, label,
+    CASE WHEN label = 'ok' AND x IS NOT NULL THEN rates[:k - 1] || [CAST(printf('%.3f', CASE WHEN rates[k] IS NULL THEN x
+      ELSE 0.3::DOUBLE * x + 0.7::DOUBLE * rates[k] END) AS DOUBLE)] || rates[k + 1:] ELSE rates END,
+    CASE WHEN label = 'ok' AND x IS NOT NULL THEN counts[:k - 1] || [counts[k] + 1] || counts[k + 1:] ELSE counts END,
+    CASE WHEN label = 'ok' THEN ts ELSE success END FROM (
+      SELECT *, CASE WHEN duration_ms / 1000 > limit_s THEN 'runaway' WHEN ok THEN 'ok' ELSE 'fail' END AS label FROM (
+        SELECT *, CASE WHEN warm THEN greatest(25, 3 * (500 + chars * coalesce(rates[k], 80)) / 1000) ELSE 300 END AS limit_s
+        FROM (SELECT o.*, w.rates, w.counts, w.success,
+            coalesce(date_diff('microsecond', w.success, o.ts) / 1e6 < 600 AND w.counts[o.k] >= 3, false) AS warm
+          FROM walk w JOIN o ON o.queue = w.queue AND o.i = w.i + 1))))"""
+_FINAL = _WALK + """, fin AS (SELECT queue, engine, model, w.rates[k] AS ms_per_char, w.counts[k] AS samples, ts AS updated_at
+  FROM walk w JOIN o USING (queue, i) WHERE w.label = 'ok' AND x IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY queue, engine, model ORDER BY i DESC) = 1)"""
+
+
+def _average(t):
+    return st.speed_average(st.label_attempts(t.speed_samples).filter("label = 'ok'"))
+
+
+@query("speed_average", _FINAL + "SELECT queue, engine, model, ms_per_char, samples, updated_at FROM fin")
+def _(t):
+    return _average(t).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
-def _speed(cond: str = "") -> str:
-    return ctes("speed_samples").replace("WITH", "WITH RECURSIVE", 1) + _WALK.format(cond=cond)
+_WORK = ["event_id", "concat('server-', user_id % 2) AS queue",
+         "CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE event_type END AS engine",
+         "CASE WHEN event_id % 2 = 0 THEN '0.6B' ELSE '1.7B' END AS model", "event_id % 90 AS chars",
+         "1 + event_id % 2 AS versions"]
 
 
-@query("speed_average", _speed() + _FINAL + "SELECT engine, ms_per_char, samples, updated_at FROM fin")
+@query("generation_estimate", _FINAL + f"""
+SELECT w.event_id, (500 + w.chars * coalesce(f.ms_per_char, 80)) * w.versions AS estimate_ms
+FROM (SELECT {", ".join(_WORK)} FROM events) w LEFT JOIN fin f USING (queue, engine, model)""")
 def _(t):
-    return st.speed_average(t.speed_samples).withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+    return st.estimates(t.events.selectExpr(*_WORK), _average(t)).select("event_id", "estimate_ms")
 
 
-@query("generation_estimate", _speed() + _FINAL + """
-SELECT w.event_id, (500 + w.chars * coalesce(f.ms_per_char, 80)) * w.versions AS estimate_ms FROM (SELECT event_id,
-  CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE event_type END AS engine, event_id % 90 AS chars, 1 + event_id % 2 AS versions
-  FROM events) w LEFT JOIN fin f USING (engine)""")
-def _(t):
-    work = t.events.selectExpr("event_id", "CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE event_type END AS engine",
-                               "event_id % 90 AS chars", "1 + event_id % 2 AS versions")
-    return st.estimates(work, st.speed_average(t.speed_samples)).select("event_id", "estimate_ms")
+_WANTED = """SELECT concat('server-', user_id % 3) AS queue, event_type AS engine, '1.7B' AS model FROM events UNION
+SELECT concat('server-', user_id % 3) AS queue, concat(event_type, '-x') AS engine, '1.7B' AS model FROM events"""
 
 
-@query("speed_or_latest_entry", _speed() + _FINAL + """
-SELECT DISTINCT w.engine, coalesce(f.ms_per_char, (SELECT arg_max(ms_per_char, (updated_at, engine)) FROM fin))
-AS ms_per_char FROM (SELECT event_type AS engine FROM events UNION SELECT concat(event_type, '-x') FROM events) w
-LEFT JOIN fin f USING (engine)""")
+@query("speed_or_latest_entry", _FINAL + f"""
+SELECT w.queue, w.engine, coalesce(f.ms_per_char, l.latest, 80) AS ms_per_char FROM ({_WANTED}) w
+LEFT JOIN fin f USING (queue, engine, model)
+LEFT JOIN (SELECT queue, arg_max(ms_per_char, (updated_at, engine, model)) AS latest FROM fin GROUP BY queue) l USING (queue)""")
 def _(t):
-    e = t.events.select(F.col("event_type").alias("engine")).distinct()
-    wanted = e.union(e.select(F.concat("engine", F.lit("-x"))))
-    return st.speed_or_latest(wanted, st.speed_average(t.speed_samples))
+    e = t.events.selectExpr("concat('server-', user_id % 3) AS queue", "event_type AS engine", "'1.7B' AS model").distinct()
+    wanted = e.union(e.withColumn("engine", F.concat("engine", F.lit("-x"))))
+    return st.speed_or_latest(wanted, _average(t)).select("queue", "engine", "ms_per_char")
 
 
-@query("last_success_as_of", ctes("speed_samples") + """
-SELECT event_id, engine, last_value(CASE WHEN ok THEN ts END IGNORE NULLS) OVER (PARTITION BY engine ORDER BY ts, event_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_success_at FROM speed_samples""")
+@query("last_success_as_of", _WALK + """
+SELECT event_id, queue, before AS last_success_at FROM walk WHERE i > 0""")
 def _(t):
-    return st.last_success(t.speed_samples).select("event_id", "engine", "last_success_at")
-
-
-@query("runaway_labels", _speed("AND ok") + """, a AS (SELECT s.*, last_value(CASE WHEN ok THEN ts END IGNORE NULLS) OVER w
-  AS last_success_at, count(*) FILTER (ok AND chars > 0 AND duration_ms > 0) OVER w AS samples
-  FROM speed_samples s WINDOW w AS (PARTITION BY engine ORDER BY ts, event_id
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-b AS (SELECT a.*, walk.rate, coalesce(date_diff('microsecond', last_success_at, a.ts) / 1e6 < 600 AND samples >= 3, false)
-  AS warm FROM a LEFT JOIN walk ON walk.engine = a.engine AND walk.i = a.samples),
-c AS (SELECT *, CASE WHEN warm THEN greatest(25, 3 * (500 + chars * coalesce(rate, 80)) / 1000) ELSE 300 END AS limit_s FROM b)
-SELECT event_id, warm, round(limit_s, 6) AS limit_s, CASE WHEN duration_ms / 1000 > limit_s THEN 'runaway' WHEN ok THEN 'ok'
-  ELSE 'fail' END AS label FROM c""")
+    return st.label_attempts(t.speed_samples).select(
+        "event_id", "queue", F.col("last_success_at").cast("timestamp_ntz").alias("last_success_at"))
+
+
+@query("runaway_labels", _WALK + """
+SELECT event_id, warm, round(limit_s, 6) AS limit_s, label FROM walk WHERE i > 0""")
 def _(t):
     return st.label_attempts(t.speed_samples).select("event_id", "warm", F.round("limit_s", 6).alias("limit_s"), "label")
 

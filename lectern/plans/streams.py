@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import state as st
 from lectern.plans import state as batch
-from lectern.plans.domain import VIEWS, ctes
+from lectern.plans.domain import VIEWS
 from lectern.plans.registry import ORACLES, query
 from lectern.streaming import jobs
 from lectern.streaming.runner import drain, latest_per_key, open_stream
@@ -37,15 +37,25 @@ def _(t):
 
 @query("stream_runaway_labels", ORACLES["runaway_labels"])
 def _(t):
-    labelled = drain(jobs.label_attempts(_view(t, "speed_samples")), "append")
+    labelled = drain(jobs.label_attempts(_view(t, "speed_samples")), "append", empty_batches=False)
     return labelled.select("event_id", "warm", F.round("limit_s", 6).alias("limit_s"), "label")
 
 
-@query("stream_speed_average", batch._speed("AND ok") + batch._FINAL + "SELECT engine, ms_per_char, samples FROM fin")
+@query("stream_labels_after_batch", ORACLES["runaway_labels"])
 def _(t):
-    labelled = drain(jobs.label_attempts(_view(t, "speed_samples")), "append")
+    """The first part of the month in a batch, the rest as a stream that starts from the batch's state."""
+    early = F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz")
+    first = st.label_attempts(t.speed_samples.filter(early))
+    rest = jobs.label_attempts(_view(t, "speed_samples").filter(~early), jobs.batch_states(first))
+    columns = ["event_id", "warm", F.round("limit_s", 6).alias("limit_s"), "label"]
+    return first.select(*columns).unionByName(drain(rest, "append", empty_batches=False).select(*columns))
+
+
+@query("stream_speed_average", batch._FINAL + "SELECT queue, engine, model, ms_per_char, samples FROM fin")
+def _(t):
+    labelled = drain(jobs.label_attempts(_view(t, "speed_samples")), "append", empty_batches=False).filter("samples > 0")
     last = F.max_by("ms_per_char", F.struct("samples", "event_id")).alias("ms_per_char")
-    return labelled.groupBy("engine").agg(last, F.max("samples").alias("samples"))
+    return labelled.groupBy("queue", "engine", "model").agg(last, F.max("samples").alias("samples"))
 
 
 @query("stream_speak_intervals", """
@@ -78,11 +88,6 @@ def _(t):
     return _stale_work(t).filter("error IS NULL").select("id", "at_ms", "status")
 
 
-@query("stream_log_metrics", ctes("log_lines") + """
-SELECT queue, event_id, TRY_CAST(nullif(regexp_extract(line, '[Tt]entative\\s+(\\d+)\\s*/', 1), '') AS INT) AS attempt,
-  nullif(regexp_extract(line, '(?i)meilleur\\s*:\\s*(\\d+|—|-)', 1), '') AS best FROM log_lines""")
+@query("stream_log_metrics", ORACLES["log_metrics"])
 def _(t):
-    lines = _view(t, "log_lines").select(
-        "queue", "event_id", F.regexp_extract("line", st._ATTEMPT, 1).try_cast("int").alias("attempt"),
-        F.nullif(F.regexp_extract("line", st._BEST, 1), F.lit("")).alias("best"))
-    return drain(lines, "append").drop("batch_id")
+    return drain(jobs.log_metrics(_view(t, "log_lines")), "append", empty_batches=False).drop("batch_id")

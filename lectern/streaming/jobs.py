@@ -1,9 +1,13 @@
 """Streaming forms of the ordered-state operators.
 
-Event time carries a watermark of ten minutes by default.  Keyed jobs hold a
-few numbers per key; rows of one key inside a micro-batch are put into time
-order first.  The size of a micro-batch (`maxFilesPerTrigger` or the offsets
-per trigger of the source) bounds what one key can bring at once.
+Keyed jobs hold a few numbers per key; rows of one key inside a micro-batch
+are put into time order first.  The size of a micro-batch (`files_per_batch`
+of the runner, or the offsets per trigger of the source) bounds what one key
+can bring at once.
+
+How state ends: labels and log metrics keep it for a time to live after its
+last change, utterances and stale work until the watermark (ten minutes by
+default) has passed it.  Progress and last-seen keep one small row per key.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.operators import state as st
@@ -36,36 +41,122 @@ def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(order)
 
 
-def _label_attempts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rate, seen, success_us = state.get if state.exists else (None, 0, None)
-    rows = []
-    for row in _ordered(batches, ["at_us", "event_id"]).itertuples(index=False):
-        warm = success_us is not None and row.at_us - success_us < st.WARM_WINDOW_S * 1_000_000 and (
-            seen >= st.WARM_SAMPLES)
-        expected = st.BASE_MS + max(row.chars, 0) * (st.DEFAULT_RATE_MS if rate is None else rate)
-        limit = max(st.WARM_FLOOR_S, st.RUNAWAY_FACTOR * expected / 1000) if warm else st.COLD_LIMIT_S
-        label = "runaway" if row.duration_ms / 1000 > limit else "ok" if row.ok else "fail"
-        if row.ok:
-            success_us = int(row.at_us)
-            if row.chars > 0 and row.duration_ms > 0:
-                rate = st.next_rate(rate, max(row.duration_ms - st.BASE_MS, 0.0) / row.chars)
-                seen += 1
-        rows.append((key[0], row.event_id, warm, limit, label, rate, seen))
-    state.update((rate, seen, success_us))
-    yield pd.DataFrame(rows, columns=["engine", "event_id", "warm", "limit_s", "label", "ms_per_char", "samples"])
-
-
-def label_attempts(attempts: DataFrame) -> DataFrame:
-    """Each attempt with its label, its limit and the speed average after it; append mode.
-
-    One pass keeps the average, the sample count and the last success per engine.
+#: How long the state of a queue is kept after its last change.
+STATE_TTL_MS = 30 * 24 * 3_600_000
+
+
+class AttemptLabels(StatefulProcessor):
+    """Labels one queue's attempts in order: the averages of its engines and models, and its last success."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.speeds = handle.getMapState("speeds", "engine string, model string", "rate double, seen bigint", self.ttl_ms)
+        self.success = handle.getValueState("success", "at_us bigint", self.ttl_ms)
+
+    def handleInitialState(self, key, rows: pd.DataFrame, timer) -> None:
+        for row in rows.itertuples(index=False):
+            if row.samples > 0:
+                self.speeds.updateValue((row.engine, row.model), (float(row.ms_per_char), int(row.samples)))
+            if not pd.isna(row.success_us):
+                self.success.update((int(row.success_us),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        given = self.success.get()
+        success_us = before = given[0] if given else None
+        known, changed, out = {}, set(), []
+        for row in _ordered(rows, ["at_us", "event_id"]).itertuples(index=False):
+            own = (row.engine, row.model)
+            if own not in known:
+                known[own] = self.speeds.getValue(own) if self.speeds.containsKey(own) else (None, 0)
+            rate, seen = known[own]
+            warm = success_us is not None and row.at_us - success_us < st.WARM_WINDOW_S * 1_000_000 and (
+                seen >= st.WARM_SAMPLES)
+            limit = st.limit_s(row.chars, rate, warm)
+            label = "runaway" if row.duration_ms / 1000 > limit else "ok" if row.ok else "fail"
+            if label == "ok":
+                success_us = int(row.at_us)
+                if row.chars > 0 and row.duration_ms > 0:
+                    rate, seen = st.next_rate(rate, max(row.duration_ms - st.BASE_MS, 0.0) / row.chars), seen + 1
+                    known[own] = (rate, seen)
+                    changed.add(own)
+            out.append((key[0], *own, row.event_id, warm, limit, label, rate, seen, success_us))
+        for own in changed:
+            self.speeds.updateValue(own, known[own])
+        if success_us != before:
+            self.success.update((success_us,))
+        yield pd.DataFrame(out, columns=_LABELS.split()).astype({"ms_per_char": "Float64", "success_us": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+_LABELS = "queue engine model event_id warm limit_s label ms_per_char samples success_us"
+_LABEL_TYPES = ("queue string, engine string, model string, event_id bigint, warm boolean, limit_s double, label string, "
+                "ms_per_char double, samples bigint, success_us bigint")
+
+
+def batch_states(labelled: DataFrame) -> DataFrame:
+    """What a stream needs to go on from attempts that were labelled in a batch: averages and last successes.
+
+    A queue without a success in the batch has no row.
     """
-    rows = attempts.withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp"))).select(
-        "engine", "event_id", "at_us", "chars", "duration_ms", "ok")
-    return rows.groupBy("engine").applyInPandasWithState(
-        _label_attempts,
-        "engine string, event_id bigint, warm boolean, limit_s double, label string, ms_per_char double, samples bigint",
-        "rate double, seen bigint, success_us bigint", "append", GroupStateTimeout.NoTimeout)
+    done = labelled.filter("label = 'ok'")
+    successes = done.groupBy("queue").agg(F.max(F.unix_micros("ts")).alias("success_us"))
+    return successes.join(st.speed_average(done), "queue", "left").select(
+        "queue", "engine", "model", "ms_per_char", F.coalesce("samples", F.lit(0)).cast("bigint").alias("samples"), "success_us")
+
+
+def label_attempts(attempts: DataFrame, started_from: DataFrame | None = None, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+    """Each attempt with its label, its limit, and the state after it; append mode.
+
+    `started_from` (see `batch_states`) is the state before the first attempt of the stream.  Averages and successes that
+    nothing changed for `ttl_ms` are forgotten.  A queue is labelled in order by one task, as its state demands.
+    """
+    rows = attempts.select(
+        *[F.col(c).cast("string").alias(c) for c in ("queue", "engine", "model")], "event_id",
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "chars", "duration_ms", "ok")
+    return rows.groupBy("queue").transformWithStateInPandas(
+        AttemptLabels(ttl_ms), _LABEL_TYPES, "Append", "ProcessingTime",
+        started_from.groupBy("queue") if started_from is not None else None)
+
+
+class LogMetrics(StatefulProcessor):
+    """Series, attempt and best score of one queue's log."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.now = handle.getValueState("now", "series bigint, attempt int, best int", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        series, attempt, best = self.now.get() or (0, None, None)
+        out = []
+        lines = _ordered(rows, ["ts", "event_id"])
+        for event, told_attempt, told_best, told in zip(*[lines[c].tolist() for c in ("event_id", "attempt", "best", "told")]):
+            if not pd.isna(told_attempt):
+                attempt = int(told_attempt)
+                if attempt == 1:
+                    series, best = series + 1, None
+            if told:
+                best = None if pd.isna(told_best) else int(told_best)
+            out.append((key[0], event, series, attempt, best))
+        self.now.update((series, attempt, best))
+        yield pd.DataFrame(out, columns=["queue", "event_id", "series", "attempt", "best_percent"]).astype(
+            {"attempt": "Int32", "best_percent": "Int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def log_metrics(log: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+    """Series, attempt number and best percent after every log line; append mode."""
+    return log.select("queue", "event_id", F.col("ts").cast("timestamp").alias("ts"), *st.told_metrics()).groupBy(
+        "queue").transformWithStateInPandas(
+        LogMetrics(ttl_ms), "queue string, event_id bigint, series bigint, attempt int, best_percent int", "Append",
+        "ProcessingTime")
 
 
 def _throttle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from lectern.session import scratch_path
 
 
+#: So many files are read at once, which bounds what one key can bring in a micro-batch.
+FILES_PER_BATCH = 64
+
+
 def open_stream(spark: SparkSession, folder: str, files: str = "*.parquet",
-                files_per_batch: int | None = None) -> DataFrame:
+                files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """The Parquet files of a folder that match `files`, as a stream."""
     reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{files}").schema).option("pathGlobFilter", files)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def drain(stream: DataFrame, mode: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str, out: str | None = None, checkpoint: str | None = None,
+          empty_batches: bool = True) -> DataFrame:
     """Run a stream over all data that is there and return what it wrote, with the batch number.
 
     Every micro-batch overwrites its own folder, so a batch that is run again
-    after a failure leaves no duplicates.
+    after a failure leaves no duplicates.  Jobs that wait for the watermark
+    need the empty batches after the last data; jobs whose state has a time to
+    live would get them without end.
     """
     spark = stream.sparkSession
     out = out or scratch_path(spark, "stream-out")
@@ -30,10 +35,14 @@ def drain(stream: DataFrame, mode: str, out: str | None = None, checkpoint: str
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={number}")
 
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(empty_batches).lower())  # read once, when the query starts
     handle = (
         stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+    spark.conf.set(setting, before)
     handle.awaitTermination()
     schema = stream.schema.add("batch_id", "long")
     return spark.read.schema(schema).option("recursiveFileLookup", False).parquet(out)
