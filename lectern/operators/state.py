@@ -237,17 +237,28 @@ def _label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             warm = success is not None and at - success < WARM_WINDOW_S * 1_000_000 and seen >= WARM_SAMPLES
             limit = limit_s(0 if pd.isna(chars) else chars, rate, warm)
             label = "runaway" if took / 1000 > limit else "ok" if ok else "fail"
-            out.append((success, rate, seen, warm, limit, label))
+            known = (success, rate, seen, warm, limit, label)
             if label == "ok":
                 success = at
                 if not pd.isna(x):
                     rate, seen = next_rate(rate, x), seen + 1
             states[engine, model] = (rate, seen)
-        told = _table(out, "success_us rate samples warm limit_s label").astype({"success_us": "Int64", "rate": "Float64"})
+            out.append((*known, rate, seen))
+        told = _table(out, "success_us rate samples warm limit_s label rate_after samples_after").astype(
+            {"success_us": "Int64", "rate": "Float64", "rate_after": "Float64"})
         told.index = batch.index
         yield pd.concat([batch[_ATTEMPT_COLUMNS], told], axis=1)
 
 
+def latest_speed(labelled: DataFrame) -> DataFrame:
+    """Current average per queue, engine and model, from labelled attempts: that after the last sample."""
+    counted = (F.col("label") == "ok") & observed_rate().isNotNull()
+    last = F.max_by(F.struct("rate_after", "samples_after", "ts"), F.struct("ts", "event_id")).alias("s")
+    return labelled.filter(counted).groupBy(*_SPEED_KEY).agg(last).select(
+        *_SPEED_KEY, F.col("s.rate_after").alias("ms_per_char"), F.col("s.samples_after").alias("samples"),
+        F.col("s.ts").alias("updated_at"))
+
+
 def estimate_ms(chars: Column, rate: Column, base: float = BASE_MS) -> Column:
     """Expected milliseconds; the default speed without a measurement."""
     return F.lit(base) + F.greatest(chars, F.lit(0)) * F.coalesce(rate, F.lit(DEFAULT_RATE_MS))
@@ -279,12 +290,13 @@ def _relabelled(rows: DataFrame) -> DataFrame:
     return _walk(placed, ["queue", "slice"], ["at_us", "event_id"], _label,
                  "queue string, engine string, model string, event_id bigint, ts timestamp, chars bigint, duration_ms double, "
                  "ok boolean, counted boolean, slice bigint, at_us bigint, x double, low double, high double, "
-                 "success_us bigint, rate double, samples bigint, warm boolean, limit_s double, label string")
+                 "success_us bigint, rate double, samples bigint, warm boolean, limit_s double, label string, "
+                 "rate_after double, samples_after bigint")
 
 
 def label_attempts(attempts: DataFrame, seconds: int = SLICE_S) -> DataFrame:
     """Label each attempt `ok`, `fail` or `runaway`, with the limit, the average, its sample count and the queue's last
-    success that applied to it.
+    success that applied to it, and with the average and sample count after it.
 
     Only attempts labelled `ok` are samples of the speed average and successes of the queue, so labels depend on earlier
     labels.  They are found by rounds: guess which attempts count; find the state at the start of every slice of time from
@@ -328,7 +340,7 @@ def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, entry, sent_at, sent_pct = None, None, None, 0.0
     for batch in batches:
         keep = []
-        for key, run, number, told, opening, event, at, pct in zip(*[batch[c] for c in (
+        for key, run, number, told, opening, event, at, pct in zip(*[batch[c].tolist() for c in (
                 "key", "__run", "__slice", "__entry", "__opening", "event_id", "at_ms", "progress")]):
             if (key, run, number) != part:
                 part, entry, sent_at = (key, run, number), (at, event) if told or opening else None, None

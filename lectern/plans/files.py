@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -11,6 +13,8 @@ from lectern.plans.domain import ctes
 from lectern.plans.registry import ORACLES, query
 from lectern.session import scratch_path
 from lectern.sources import projects as pj
+from lectern.streaming import jobs
+from lectern.streaming.runner import drain
 
 _PATHS = ("concat('/data/p', conv_id, '/audio/seg', CASE WHEN turn = 6 THEN 'abcde' ELSE lpad(CAST(turn + 1 AS STRING), 5, "
           "'0') END, CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN concat('_v', conv_id % 13) WHEN 2 THEN '_vx' ELSE '_v2' END, "
@@ -25,6 +29,85 @@ def _(t):
     return pj.takes_from_paths(t.conversations.selectExpr(f"{_PATHS} AS path")).select("project", "num", "version", "k")
 
 
+_SEG = "concat('seg', lpad(CAST(turn * 3 + 1 AS STRING), 5, '0')"
+
+
+def _json_files(t):
+    """One JSON file per turn of the even conversations, as projects with a name that needs encoding keep them."""
+    body = F.to_json(F.struct(F.upper("role").alias("profile_id"), "text", (F.col("turn") / 8).alias("qc_score"),
+                              F.expr("IF(turn % 4 = 0, NULL, CAST(turn % 2 AS INT))").alias("read")))
+    return t.conversations.filter("conv_id % 2 = 0").select(
+        F.expr(f"concat('p ', conv_id, '/tts/', {_SEG}, '.json'))").alias("path"), body.alias("content"))
+
+
+def _text_files(t):
+    """Older projects keep texts; some conversations have both forms."""
+    return t.conversations.filter("conv_id % 3 <> 0").select(
+        F.expr(f"concat('p ', conv_id, '/book/', {_SEG}, '.txt'))").alias("path"),
+        F.concat(F.lit(" "), "text", F.lit("\n")).alias("content"))
+
+
+@query("segment_files", """
+SELECT concat('p ', conv_id) AS project, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS num,
+  upper(role) AS profile_id, text, turn / 8::DOUBLE AS qc_score, CASE WHEN turn % 4 <> 0 THEN CAST(turn % 2 AS INT) END AS read
+FROM conversations WHERE conv_id % 2 = 0""")
+def _(t):
+    root = scratch_path(t.spark, "projects")
+    pj.write_files(_json_files(t), root)
+    return pj.read_segments(t.spark, root).select("project", "num", "profile_id", "text", "qc_score", "read")
+
+
+@query("legacy_segments", """
+SELECT concat('p ', conv_id) AS project, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS num,
+  CASE WHEN conv_id % 2 = 0 THEN upper(role) ELSE 'Narrator' END AS profile_id,
+  CASE WHEN conv_id % 2 = 0 THEN text ELSE trim(text, ' ' || chr(9) || chr(10) || chr(13)) END AS text
+FROM conversations WHERE conv_id % 2 = 0 OR conv_id % 3 <> 0""")
+def _(t):
+    root = scratch_path(t.spark, "projects")
+    pj.write_files(_json_files(t).unionByName(_text_files(t)), root)
+    return pj.project_segments(pj.read_segments(t.spark, root), pj.read_legacy_segments(t.spark, root)).select(
+        "project", "num", "profile_id", "text")
+
+
+@query("take_files", """
+SELECT concat('p', conv_id) AS project, CAST(turn + 1 AS INT) AS num, CASE turn % 4 WHEN 0 THEN 'main' WHEN 1 THEN
+  concat('v', conv_id % 13) WHEN 2 THEN 'vx' ELSE 'v2' END AS version, CASE turn % 4 WHEN 1 THEN conv_id % 13 WHEN 3 THEN 2
+  ELSE 0 END AS k, strlen(role) AS size FROM conversations WHERE turn <> 6 AND conv_id % 9 <> 8""")
+def _(t):
+    root = scratch_path(t.spark, "takes")
+    pj.write_files(t.conversations.selectExpr(f"substr({_PATHS}, 7) AS path", "role AS content"), root)
+    return pj.takes_from_paths(pj.list_files(t.spark, f"{root}/*/audio/*")).select("project", "num", "version", "k", "size")
+
+
+@query("file_increments", """
+SELECT concat('seg', conv_id, '.json') AS name, string_agg(text, ' ' ORDER BY turn) AS text, CASE WHEN conv_id % 4 = 3 THEN 'new'
+  WHEN conv_id % 4 = 2 THEN 'changed' ELSE 'old' END AS state FROM conversations GROUP BY conv_id""")
+def _(t):
+    """Files of all conversations: three in four at first, then the others and changes to a third of the first.
+
+    A stream with its checkpoint reads new files only, the times of the files lead to the changed ones.
+    """
+    turn = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    whole = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(turn, lambda x: x["text"]), " ").alias("text"))
+    files = lambda rows, text: rows.select(
+        F.expr("concat('seg', conv_id, '.json')").alias("path"), F.to_json(F.struct(text.alias("text"))).alias("content"))
+    root, out, check = (scratch_path(t.spark, n) for n in ("files", "read", "seen"))
+    pj.write_files(files(whole.filter("conv_id % 4 <> 3"), F.when(F.expr("conv_id % 4 = 2"), "draft").otherwise(F.col("text"))), root)
+    stream = lambda: jobs.file_increments(
+        t.spark.readStream.schema("text string").option("maxFilesPerTrigger", 1_000_000).json(root))
+    since = drain(stream(), "append", out, check).agg(F.max("mtime").alias("m")).first()["m"]
+    time.sleep(1.1)  # some stores keep whole seconds
+    pj.write_files(files(whole.filter("conv_id % 4 > 1"), F.col("text")), root)
+    streamed = drain(stream(), "append", out, check)
+    name = lambda path: F.regexp_extract(path, r"([^/]+)$", 1).alias("name")
+    first = streamed.filter("batch_id = 0").select(name(F.col("file")), "text")
+    new = streamed.filter("batch_id > 0").select(name(F.col("file")), "text", F.lit("new").alias("state"))
+    late = pj.modified_since(t.spark.read.schema("text string").json(root), F.lit(since)).select(name(F.col("path")), "text")
+    changed = late.join(new, "name", "left_anti").withColumn("state", F.lit("changed"))
+    old = first.join(late, "name", "left_anti").withColumn("state", F.lit("old"))
+    return old.unionByName(changed).unionByName(new)
+
+
 def _le(n: str, width: int) -> str:
     """Little-endian hex of an integer expression."""
     padded = f"lpad(hex({n}), {width * 2}, '0')"

@@ -34,7 +34,7 @@ _FINAL = _WALK + """, fin AS (SELECT queue, engine, model, w.rates[k] AS ms_per_
 
 
 def _average(t):
-    return st.speed_average(st.label_attempts(t.speed_samples).filter("label = 'ok'"))
+    return st.latest_speed(st.label_attempts(t.speed_samples))
 
 
 @query("speed_average", _FINAL + "SELECT queue, engine, model, ms_per_char, samples, updated_at FROM fin")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import posixpath
 import struct
+from collections.abc import Iterator
 from html.entities import name2codepoint
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +59,37 @@ def project_segments(json_segments: DataFrame, legacy: DataFrame) -> DataFrame:
     return json_segments.unionByName(old, allowMissingColumns=True)
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Write each `(path, content)` as the file `root/path` and return their number.
+
+    The tasks write, through the store that `root` names; a task that runs again writes the same files again.
+    """
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri("file://" + root[5:] if root.startswith("file:/") and root[5:7] != "//" else root)
+        made = set()
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                target = posixpath.join(base, path)
+                if posixpath.dirname(target) not in made:
+                    made.add(posixpath.dirname(target))
+                    store.create_dir(posixpath.dirname(target), recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(put, "path string").count()
+
+
+def modified_since(files: DataFrame, since: Column | None) -> DataFrame:
+    """Rows of files changed after `since`, with their path and time; NULL: all.
+
+    The condition is on the files' own data, so that Spark drops the others when it lists them and never opens them.
+    """
+    rows = files if since is None else files.filter(F.col("_metadata.file_modification_time") > since)
+    return rows.select("*", F.col("_metadata.file_path").alias("path"),
+                       F.col("_metadata.file_modification_time").alias("mtime"))
+
+
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     """Paths, times and sizes; the contents are not read because the column is not selected.
 

@@ -232,5 +232,9 @@ def stale_work(changes: DataFrame, timeout_ms: int, watermark: str = WATERMARK)
 
 
 def file_increments(folder_stream: DataFrame) -> DataFrame:
-    """Rows of files not read before: the file source and its checkpoint keep the list of files seen."""
-    return folder_stream.withColumn("file", F.input_file_name())
+    """Rows of files not read before, with path and time: the file source and its checkpoint keep the files seen.
+
+    A file that changes under its old name counts as seen; `sources.projects.modified_since` finds those.
+    """
+    return folder_stream.select("*", F.col("_metadata.file_path").alias("file"),
+                                F.col("_metadata.file_modification_time").alias("mtime"))

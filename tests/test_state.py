@@ -62,7 +62,10 @@ def test_speed_and_labels_do_not_depend_on_the_slices(spark, seconds):
     got = [(r["event_id"], r["warm"], round(r["limit_s"], 6), r["label"]) for r in marked.orderBy("event_id").collect()]
     assert got == [(i, w, round(x, 6), label) for i, w, x, label in labels]
     speeds = st.speed_average(marked.filter("label = 'ok'"), seconds).collect()
-    assert {(r["queue"], r["engine"]): (r["ms_per_char"], r["samples"]) for r in speeds} == {k: (rate[k], seen[k]) for k in rate}
+    want = {k: (rate[k], seen[k]) for k in rate}
+    assert {(r["queue"], r["engine"]): (r["ms_per_char"], r["samples"]) for r in speeds} == want
+    latest = st.latest_speed(marked).collect()
+    assert {(r["queue"], r["engine"]): (r["ms_per_char"], r["samples"]) for r in latest} == want
 
 
 def test_a_runaway_changes_no_state(spark):
