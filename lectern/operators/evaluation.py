@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +69,87 @@ def collapse_word_loops(df: DataFrame, text: str, out: str, min_run: int = MIN_R
         "__w", "__s", "__runs")
 
 
+#: Texts are searched together up to so many characters.
+CHUNK_CHARS = 1 << 20
+
+
+def _repeats(codes: np.ndarray, unit: int, min_run: int) -> list[tuple[int, int]]:
+    """Stretches (from, to) whose characters equal those `unit` places on, long enough for `min_run` units."""
+    at = np.flatnonzero(codes[unit:] == codes[:-unit])
+    least = (min_run - 1) * unit
+    if len(at) < least:
+        return []
+    cut = np.flatnonzero(np.diff(at) > 1)
+    first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + 1
+    long = last - first >= least
+    return list(zip(first[long].tolist(), last[long].tolist()))
+
+
+def _loops(found: list[tuple[int, int, int]], min_run: int) -> list[tuple[int, int]]:
+    """The loops to drop, from left to right: the leftmost, there the shortest unit, as often as it repeats.
+
+    `found` has (unit, from, to) of one text; a loop of a unit can begin anywhere from which enough repeats are left.
+    """
+    waiting = [(first, unit, last) for unit, first, last in found]
+    heapq.heapify(waiting)
+    out, at = [], 0
+    while waiting:
+        first, unit, last = heapq.heappop(waiting)
+        if last - max(first, at) < (min_run - 1) * unit:
+            continue
+        if first < at:
+            heapq.heappush(waiting, (at, unit, last))
+            continue
+        at = first + unit * (1 + (last - first) // unit)
+        out.append((first, at))
+        heapq.heappush(waiting, (at, unit, last))
+    return out
+
+
+def _without_loops(texts: list[str], min_run: int) -> list[str]:
+    """Texts side by side, with signs between them that equal nothing, are compared with themselves unit by unit."""
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    ends = np.cumsum([len(c) + 1 for c in codes])
+    line = np.concatenate([x for k, c in enumerate(codes) for x in (c, np.array([0x110000 + k], np.uint32))])
+    by_text: dict[int, list[tuple[int, int, int]]] = {}
+    for unit in range(2, min(LONGEST_UNIT, len(line) - 1) + 1):
+        for first, last in _repeats(line, unit, min_run):
+            k = int(np.searchsorted(ends, first, "right"))
+            start = int(ends[k]) - len(codes[k]) - 1
+            by_text.setdefault(k, []).append((unit, first - start, last - start))
+    out = list(texts)
+    for k, found in by_text.items():
+        kept, at = [], 0
+        for first, last in _loops(found, min_run):
+            kept.append(texts[k][at:first])
+            at = last
+        out[k] = "".join([*kept, texts[k][at:]])
+    return out
+
+
+def _drop_loops(min_run: int):
+    def drop(texts: pd.Series) -> pd.Series:
+        out, part, load = [None] * len(texts), [], 0
+        given = [i for i, t in enumerate(texts) if t is not None]
+        for n, i in enumerate(given):
+            part.append(i)
+            load += len(texts.iloc[i])
+            if load > CHUNK_CHARS or n == len(given) - 1:
+                for j, t in zip(part, _without_loops([texts.iloc[j] for j in part], min_run)):
+                    out[j] = t
+                part, load = [], 0
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(drop, "string")
+
+
 def collapse_character_loops(text: Column, min_run: int = MIN_RUN) -> Column:
-    """Drop the shortest unit of 2 to 60 characters that repeats `min_run` times; squeeze only when something went."""
-    done = F.regexp_replace(text, rf"(?s)(.{{2,{LONGEST_UNIT}}}?)\1{{{min_run - 1},}}", "")
+    """Drop the shortest unit of 2 to 60 characters that repeats `min_run` times; squeeze only when something went.
+
+    For each unit length the text is compared with itself shifted by it, so the work is in proportion to the text, whatever
+    is in it.
+    """
+    done = _drop_loops(min_run)(text)
     return F.when(done == text, text).otherwise(tx.squeeze(done))
 
 

@@ -136,17 +136,19 @@ def _(t):
     return numbered_rows(t.documents, ["doc_id"], play.drop_repeats(doubled), "line_no", "line")
 
 
-@query("direction_heuristics", f"""WITH {lines_cte()}, m AS (SELECT doc_id, i, trim(CASE i % 5 WHEN 0 THEN
-  concat('(', left(x, 30), ')') WHEN 1 THEN concat('ANNA, ', x) WHEN 2 THEN 'SCÈNE II' WHEN 3 THEN lower(x) ELSE x END) AS x
-  FROM l)
-SELECT doc_id, CAST(i - 1 AS INT) AS line_no, NOT (x = 'SCÈNE' OR starts_with(x, 'SCÈNE ')) AND (
+@query("direction_heuristics", f"""WITH {lines_cte()}, m AS (SELECT doc_id, i, 1 AS part, trim(CASE i % 5 WHEN 0 THEN
+  concat('(', left(x, 30), ')') WHEN 1 THEN concat('ANNA, ', x) WHEN 2 THEN concat('SCÈNE ', x) WHEN 3 THEN lower(x) ELSE x END) AS x
+  FROM l UNION ALL SELECT doc_id, i, 2, trim(concat('(', substr(x, 31), ')')) FROM l WHERE i % 5 = 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1 AS INT) AS line_no, NOT (x = 'SCÈNE' OR starts_with(x, 'SCÈNE ')) AND (
   (starts_with(x, '(') AND ends_with(x, ')') AND length(x) < 40) OR starts_with(x, 'ANNA,') OR starts_with(x, 'CLARA,')
   OR regexp_matches(lower(x), 'un temps|regarde|geste|silence|entre|sort|sursaute|regardant|à voix basse|ironiquement|doucement|embarrassée|se met à rire')
   OR (left(x, 1) = lower(left(x, 1)) AND left(x, 1) <> upper(left(x, 1)))) AS direction FROM m""")
 def _(t):
-    made = F.transform(tx.lines(F.col("text")), lambda x, n: F.when((n + 1) % 5 == 0, F.concat(
-        F.lit("("), F.substring(x, 1, 30), F.lit(")"))).when((n + 1) % 5 == 1, F.concat(F.lit("ANNA, "), x)).when(
-        (n + 1) % 5 == 2, "SCÈNE II").when((n + 1) % 5 == 3, F.lower(x)).otherwise(x))
+    bracketed = lambda x: F.concat(F.lit("("), x, F.lit(")"))
+    made = F.flatten(F.transform(tx.lines(F.col("text")), lambda x, n: F.when((n + 1) % 5 == 0, F.array(
+        bracketed(F.substring(x, 1, 30)), bracketed(F.substring(x, 31, 2 ** 31 - 1)))).otherwise(F.array(
+            F.when((n + 1) % 5 == 1, F.concat(F.lit("ANNA, "), x)).when((n + 1) % 5 == 2, F.concat(F.lit("SCÈNE "), x)).when(
+                (n + 1) % 5 == 3, F.lower(x)).otherwise(x)))))
     rows = numbered_rows(t.documents, ["doc_id"], made, "line_no", "x")
     return rows.select("doc_id", "line_no", play.is_direction(F.col("x"), ["ANNA", "CLARA"]).alias("direction"))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import evaluation as ev
-from lectern.plans.registry import query
+from lectern.plans.registry import ORACLES, query
 
-# Loops and fillers are put into the given turns by plain replacements.
+# Loops, fillers and short answers are put into the given turns by plain replacements.
 _RAW = ("CASE WHEN turn % 3 = 0 THEN concat(text, repeat(' URL,', 6 + CAST(turn AS INT)), ' fin') "
         "WHEN turn % 3 = 1 THEN replace(replace(text, ' de ', ' um '), ' la ', ' you know ') ELSE text END")
-_REFINED = ("CASE WHEN turn % 5 = 0 THEN concat('Sure, here it is. ', text) WHEN turn % 5 = 1 THEN substr(text, 1, 40) "
+_REFINED = ("CASE WHEN turn % 5 = 0 THEN concat('Sure, here it is. ', text) WHEN turn % 5 = 1 THEN translate(text, ' bcdefghijklmnopqrstuvwxyz', '') "
             "WHEN turn % 5 = 2 THEN concat(text, repeat(' non', 7)) WHEN turn % 5 = 3 THEN concat(text, ' um ', text) "
             "ELSE concat(text, '?') END")
 
@@ -37,7 +37,32 @@ def _(t):
     return looped.select("doc_id", ev.collapse_character_loops(F.col("x")).alias("text"))
 
 
-@query("loop_collapse")
+# Runs of characters equal to the one p places on; a loop begins where five units of p are left; leftmost, then shortest.
+_DROPPED = """ch AS (SELECT id, i, substr(text, i, 1) AS c FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM src)),
+same AS (SELECT a.id, r.p, a.i FROM ch a, range(2, 61) r(p), ch b WHERE b.id = a.id AND b.i = a.i + r.p AND b.c = a.c),
+runs AS (SELECT id, p, min(i) AS a, max(i) + 1 AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY id, p ORDER BY i) AS g
+  FROM same) GROUP BY id, p, g HAVING count(*) >= 5 * p),
+cand AS (SELECT id, i, arg_min(i + p * (1 + (b - i) // p), p) AS fin FROM (SELECT *, unnest(range(a, b - 5 * p + 1)) AS i FROM runs)
+  GROUP BY id, i),
+hop AS (SELECT id, min(i) AS i, arg_min(fin, i) AS fin FROM cand GROUP BY id UNION ALL
+  SELECT h.id, min(c.i), arg_min(c.fin, c.i) FROM hop h JOIN cand c ON c.id = h.id AND c.i >= h.fin GROUP BY h.id, h.fin),
+gone AS (SELECT id, unnest(range(i, fin)) AS i FROM hop),
+kept AS (SELECT id, string_agg(c, '' ORDER BY i) AS t FROM ch ANTI JOIN gone USING (id, i) GROUP BY id)
+SELECT id, CASE WHEN id IN (SELECT id FROM hop) THEN trim(regexp_replace(coalesce(t, ''), '\\s+', ' ', 'g')) ELSE text END AS text
+FROM src LEFT JOIN kept USING (id)"""
+_LOOPED = ("CASE turn % 4 WHEN 0 THEN concat(text, repeat('thanks for watching ', 6 + CAST(turn AS INT))) "
+           "WHEN 1 THEN concat(repeat('謝謝觀看', 7), text) "
+           "WHEN 2 THEN concat(text, repeat('ab', 20), 'abc', repeat('xyzw-', 8), text) ELSE text END")
+
+
+@query("character_loops_in_turns", f"""WITH RECURSIVE src AS (SELECT conv_id * 100 + turn AS id, {_LOOPED} AS text FROM conversations),
+{_DROPPED}""")
+def _(t):
+    raw = t.turns.selectExpr("conv_id * 100 + turn AS id", f"{_LOOPED} AS text")
+    return raw.select("id", ev.collapse_character_loops(F.col("text")).alias("text"))
+
+
+@query("loop_collapse", f"""WITH RECURSIVE src AS ({ORACLES['word_loop_collapse']}), {_DROPPED}""")
 def _(t):
     raw = t.turns.selectExpr("conv_id * 100 + turn AS id", f"{_RAW} AS text")
     return ev.collapse_loops(raw, "text", "out").select("id", F.col("out").alias("text"))

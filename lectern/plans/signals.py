@@ -36,19 +36,23 @@ def _(t):
     return rows.select("label", (F.col("offset") + F.col("i")).alias("position"), F.round("v", 6).alias("value"))
 
 
-@query("overlap_mix", f"""WITH c AS (SELECT label AS story_id, vec_id * 3 % 97 AS start_ms, vec_id % 5 AS ts, vec_id % 7 AS te,
+@query("overlap_mix", f"""WITH c AS (SELECT label AS story_id, vec_id * 37 % 9973 AS start_ms, vec_id % 5 AS ts, vec_id % 7 AS te,
   CASE WHEN vec_id % 2 = 0 THEN 0.5 ELSE 1.5 END AS volume, {_DBL} AS s FROM embeddings),
-x AS (SELECT story_id, start_ms + i - ts - 1 AS position, s[i] * volume AS v FROM
+x AS (SELECT story_id, CAST(trunc(start_ms / 1000.0::DOUBLE * 1000) AS BIGINT) + i - ts - 1 AS position, s[i] * volume AS v FROM
   (SELECT *, unnest(range(ts + 1, len(s) - te + 1)) AS i FROM c)),
-e AS (SELECT story_id, max(start_ms + 64 - ts - te) AS fin FROM c GROUP BY 1),
+e AS (SELECT story_id, CAST(trunc(max(start_ms + 64 - ts - te) / 1000.0::DOUBLE * 1000) AS BIGINT) AS fin FROM c GROUP BY 1),
 m AS (SELECT story_id, position, sum(v) AS v FROM x JOIN e USING (story_id) WHERE position < fin GROUP BY 1, 2),
-p AS (SELECT *, max(abs(v)) OVER (PARTITION BY story_id) AS peak FROM m)
+w AS (SELECT story_id, unnest(range(fin)) AS position FROM e),
+p AS (SELECT story_id, position, coalesce(v, 0) AS v, max(abs(coalesce(v, 0))) OVER (PARTITION BY story_id) AS peak
+  FROM w LEFT JOIN m USING (story_id, position))
 SELECT story_id, position, round(CASE WHEN peak > 1 THEN v / peak ELSE v END, 6) AS value FROM p""")
 def _(t):
     clips = t.embeddings.selectExpr(
-        "label AS story_id", "vec_id * 3 % 97 AS start_ms", "vec_id % 5 AS trim_start_ms", "vec_id % 7 AS trim_end_ms",
+        "label AS story_id", "vec_id * 37 % 9973 AS start_ms", "vec_id % 5 AS trim_start_ms", "vec_id % 7 AS trim_end_ms",
         "CASE WHEN vec_id % 2 = 0 THEN 0.5D ELSE 1.5D END AS volume", "0.064D AS duration", "embedding AS samples")
-    return sg.overlap_mix(clips, rate=1000).withColumn("value", F.round("value", 6))
+    pieces = sg.overlap_mix(clips, rate=1000)
+    return pieces.select("story_id", "piece", F.posexplode_outer("samples").alias("i", "x")).select(
+        "story_id", (F.col("piece") * sg.PIECE + F.col("i")).alias("position"), F.round("x", 6).alias("value"))
 
 
 def _clips(t):

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from lectern.operators import evaluation as ev
@@ -22,6 +26,27 @@ def test_collapse_vectors(spark):
     assert "ha ha" not in short and "context" in short
 
 
+def test_loops_equal_the_pattern():
+    """The linear search against the backtracking pattern that defines a loop."""
+    rng = random.Random(3)
+    units = ["ab", "abc", "aab", "thanks ", "x", "謝謝觀看", "a" * 7 + "b", "hello world, ", "\n-"]
+    texts = [""]
+    for _ in range(400):
+        texts.append("".join(rng.choice(units) * rng.choice([1, 1, 2, 5, 6, 7, 13]) for _ in range(rng.randint(1, 6))))
+    texts += ["".join(rng.choice("ab") for _ in range(rng.randint(1, 200))) for _ in range(200)]
+    for least in (3, 6):
+        pattern = re.compile(r"(.{2,60}?)\1{%d,}" % (least - 1), re.S)
+        assert ev._without_loops(texts, least) == [pattern.sub("", t) for t in texts]
+
+
+def test_loop_search_is_linear():
+    rng = random.Random(1)
+    for text in ("ab" * 500_000, "".join(rng.choice("ab") for _ in range(1_000_000)), ("a" * 59 + "b") * 16_000):
+        start = time.process_time()
+        ev._without_loops([text], 6)
+        assert time.process_time() - start < 3
+
+
 def test_scorecard(spark):
     rows = [
         ("um so we like ship it um", "So we ship it.", ["ship"], False),
