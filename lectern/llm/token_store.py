@@ -14,7 +14,6 @@ hash of the text.  An empty table gives no rows; extra columns take no part.
 from __future__ import annotations
 
 import os
-import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,8 +36,9 @@ OPTIONS = {
 }
 #: Signs at the end of a word that never share a token with the letter or digit before them.
 _SIGNS = ".,;:!?%&$#*|"
-_LETTERS = frozenset("0123456789" + string.ascii_letters + "".join(
-    c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(c.lower()) == 1))
+#: Letters and digits of ASCII and Latin; left out are the two signs among them and the one letter whose lower form has two.
+_LETTER_LAST = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
+_TAIL = r"(?s)^.*?([.,;:!?%&$#*|]+)$"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -53,30 +53,44 @@ class WordEncoder:
         self.parts: dict[str, bytes] = {}
 
     @staticmethod
-    def split(word: str) -> tuple[str, ...]:
-        """Parts of a word that the tokenizer encodes on their own; ASCII is lowered, as the tokenizer does."""
-        if "<|" in word:
-            return (word,)
-        if word.isascii():
-            word = word.lower()
-        core = word.rstrip(_SIGNS)
-        return (core, word[len(core):]) if core and len(core) < len(word) and core[-1] in _LETTERS else (word,)
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; beyond the limit, parts that these words don't use are forgotten."""
-        split = list(map(self.split, words))
-        used = {p for ps in split for p in ps}
+    def split(words: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Parts of words that the tokenizer encodes on their own: the cores, the signs behind some, and behind which.
+
+        ASCII is lowered, as the tokenizer does.
+        """
+        special = pc.match_substring(words, "<|")
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(special))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        core = pc.utf8_rtrim(words, characters=_SIGNS)
+        apart = pc.and_(pc.and_(pc.not_equal(core, words), pc.invert(special)), pc.match_substring_regex(core, _LETTER_LAST))
+        tails = pc.replace_substring_regex(words.filter(apart), _TAIL, r"\1")
+        return pc.if_else(apart, core, words), tails, apart.to_numpy(zero_copy_only=False)
+
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part; beyond the limit, parts that are not among these are forgotten."""
         known = self.parts
-        todo = list(used.difference(known))
+        todo = [p for p in parts if p not in known]
         for at in range(0, len(todo), 20_000):
             some = todo[at:at + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 known[p] = array("i", e.ids).tobytes()
-        found = [known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] for ps in split]
+        found = [known[p] for p in parts]
         if len(known) > REMEMBERED:
-            self.parts = {p: known[p] for p in used}
+            self.parts = dict(zip(parts, found))
         return found
 
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has; every part is looked up once."""
+        core, tails, apart = self.split(words)
+        core, tails = pc.dictionary_encode(core), pc.dictionary_encode(tails)
+        found = self.encoded(core.dictionary.to_pylist() + tails.dictionary.to_pylist())
+        ids, sizes = np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        parts = np.full((len(words), 2), -1)
+        parts[:, 0] = core.indices.to_numpy(zero_copy_only=False)
+        parts[apart, 1] = tails.indices.to_numpy(zero_copy_only=False) + len(core.dictionary)
+        length = np.where(parts >= 0, sizes[parts], 0)
+        return _laid(ids, sizes, parts[parts >= 0]), length.sum(axis=1)
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, `END` after each, and how many each has.
 
@@ -84,14 +98,18 @@ class WordEncoder:
         """
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         flat = pc.dictionary_encode(split.flatten())
-        codes, found = flat.indices.to_numpy(zero_copy_only=False), self.encode(flat.dictionary.to_pylist())
-        ids, sizes = np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
-        length = sizes[codes]
-        upto = np.concatenate(([0], np.cumsum(length)))
-        laid = ids[np.repeat(starts[codes] - upto[:-1], length) + np.arange(upto[-1])]
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        ids, sizes = self.words(flat.dictionary)
+        upto = np.concatenate(([0], np.cumsum(sizes[codes])))
         ends = upto[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
-        return np.insert(laid, ends, END), np.diff(ends, prepend=0) + 1
+        return np.insert(_laid(ids, sizes, codes), ends, END), np.diff(ends, prepend=0) + 1
+
+
+def _laid(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ids of the pieces `which`, one after the other; `ids` has those of all pieces, `sizes` how many each has."""
+    starts, length = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    before = np.cumsum(length) - length
+    return ids[np.repeat(starts - before, length) + np.arange(length.sum())]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -100,6 +118,21 @@ def _encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+#: Texts are encoded together up to so many bytes.
+CHUNK_BYTES = 12 << 20
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with about `CHUNK_BYTES` of text, at least one row each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, done + CHUNK_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write (doc_id, tie, ids) in ascending doc_id order below `path`.  The texts are shuffled once, by id ranges."""
     tie = fresh(docs, "tie")
@@ -109,8 +142,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for part in _cut(batch):
                 ids, sizes = encoder.texts(part.column(2))
                 offsets, flat = np.concatenate(([0], np.cumsum(sizes))), pa.array(ids.astype("<i4"))
                 yield pa.RecordBatch.from_arrays(
