@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.library import with_single
 from lectern.operators.ordered import block_of, ordered_scan, sum_before
 from lectern.session import written
 
@@ -101,11 +102,10 @@ def batch_move(items: DataFrame, moves: DataFrame) -> DataFrame:
 
     A generation used several times in a story moves only its last item.
     """
-    known = items.select("story_id", "generation_id").distinct()
-    broken = moves.join(known, ["story_id", "generation_id"], "left_anti").select("story_id").distinct()
-    target = moves.join(broken, "story_id", "left_anti")
     last = items.groupBy("story_id", "generation_id").agg(F.max_by("id", F.struct("position", "id")).alias("id"))
-    hit = target.join(last, ["story_id", "generation_id"]).select("id", "new_start_ms")
+    asked = moves.join(last, ["story_id", "generation_id"], "left")
+    broken = asked.filter("id IS NULL").select("story_id").distinct()
+    hit = asked.join(broken, "story_id", "left_anti").select("id", "new_start_ms")
     return items.join(hit, "id", "left").withColumn(
         "start_time_ms", F.coalesce("new_start_ms", "start_time_ms")).drop("new_start_ms")
 
@@ -142,7 +142,7 @@ def active_at(items: DataFrame, probes: DataFrame, base_ms: int = 4000) -> DataF
 
     Each item is filed under the smallest cell width that covers its length, so
     it lands in at most two cells whatever its length; a probe looks into one
-    cell per width.  The join key (story, level, cell) also spreads one very
+    cell per width that occurs.  The join key (story, level, cell) also spreads one very
     busy story over many tasks.
     """
     start, end = F.col("start_time_ms"), F.col("start_time_ms") + effective_ms()
@@ -152,11 +152,11 @@ def active_at(items: DataFrame, probes: DataFrame, base_ms: int = 4000) -> DataF
     cell = F.explode(F.array_distinct(F.array(
         F.floor(start / width).cast("bigint"), F.floor((F.col("__end") - 1) / width).cast("bigint"))))
     filed = filed.withColumn("__cell", cell)
-    looks = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("__level"),
-                 F.floor(F.col("at_ms") / F.lit(base_ms * _GROWTH**n)).cast("bigint").alias("__cell"))
-        for n in range(_LEVELS + 1)]))
-    asked = probes.select("*", looks.alias("__k")).select(*probes.columns, "__k.*")
+    # One row tells which widths occur; a probe looks into those only.
+    looks = F.explode(F.transform("__levels", lambda n: F.struct(n.alias("__level"), F.floor(
+        F.col("at_ms") / (F.lit(base_ms) * F.pow(F.lit(_GROWTH), n))).cast("bigint").alias("__cell"))))
+    used = items.filter(end > start).agg(F.collect_set(_level(end - start, base_ms)).alias("__levels"))
+    asked = with_single(probes, used).select(*probes.columns, looks.alias("__k")).select(*probes.columns, "__k.*")
     return asked.join(filed, ["story_id", "__level", "__cell"]).filter(
         (F.col("start_time_ms") <= F.col("at_ms")) & (F.col("at_ms") < F.col("__end"))).drop(
         "__level", "__cell", "__end")

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted languages and engines, and the limits of each request field.
-LANGUAGES = "zh en ja ko de fr ru pt es it he ar da el fi hi ms nl no pl sv sw tr".split()
-ENGINES = "qwen qwen_custom_voice luxtts chatterbox chatterbox_turbo tada kokoro".split()
-CLONING_ENGINES = "qwen luxtts chatterbox chatterbox_turbo tada".split()
+LANGUAGES = ("zh", "en", "ja", "ko", "de", "fr", "ru", "pt", "es", "it", "he", "ar", "da", "el", "fi", "hi", "ms", "nl", "no",
+             "pl", "sv", "sw", "tr")
+ENGINES = ("qwen", "qwen_custom_voice", "luxtts", "chatterbox", "chatterbox_turbo", "tada", "kokoro")
+CLONING_ENGINES = ("qwen", "luxtts", "chatterbox", "chatterbox_turbo", "tada")
+VOICE_TYPES = ("cloned", "preset", "designed")
 
 
 @dataclass(frozen=True)
@@ -29,19 +31,26 @@ class Limit:
 GENERATION_LIMITS = (
     Limit("profile_id", required=True),
     Limit("text", required=True, min_length=1, max_length=50000),
-    Limit("language", allowed=tuple(LANGUAGES)),
+    Limit("language", allowed=LANGUAGES),
     Limit("seed", low=0),
     Limit("model_size", allowed=("1.7B", "0.6B", "1B", "3B")),
     Limit("instruct", max_length=500),
-    Limit("engine", allowed=tuple(ENGINES)),
+    Limit("engine", allowed=ENGINES),
     Limit("max_chunk_chars", low=100, high=5000),
     Limit("crossfade_ms", low=0, high=500),
 )
 PROFILE_LIMITS = (
     Limit("name", required=True, min_length=1, max_length=100),
     Limit("description", max_length=500),
-    Limit("language", allowed=tuple(LANGUAGES)),
+    Limit("language", allowed=LANGUAGES),
+    Limit("voice_type", allowed=VOICE_TYPES),
+    Limit("preset_engine", max_length=50),
+    Limit("preset_voice_id", max_length=100),
+    Limit("design_prompt", max_length=2000),
+    Limit("default_engine", max_length=50),
+    Limit("personality", max_length=2000),
 )
+SAMPLE_LIMITS = (Limit("reference_text", required=True, min_length=1, max_length=1000),)
 VOLUME_LIMITS = (Limit("volume", required=True, low=0, high=2),)
 HISTORY_PAGE_LIMITS = (Limit("limit", low=1, high=100), Limit("offset", low=0))
 

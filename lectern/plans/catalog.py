@@ -468,21 +468,52 @@ def _(t):
     return val.profile_error(profiles, preset).select("id", "error")
 
 
-@query("profile_limit_violations", """
-WITH p AS (SELECT c_custkey AS id, CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 101) WHEN 2 THEN NULL ELSE c_name
-  END AS name, repeat('d', CAST(495 + c_custkey % 10 AS INT)) AS description, CASE c_custkey % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx'
-  END AS language FROM customer)
+_PROFILE = ["c_custkey AS id",
+            "CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 101) WHEN 2 THEN NULL ELSE c_name END AS name",
+            "repeat('d', CAST(495 + c_custkey % 10 AS INT)) AS description",
+            "CASE c_custkey % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx' END AS language",
+            "CASE c_custkey % 5 WHEN 0 THEN 'cloned' WHEN 1 THEN 'preset' WHEN 2 THEN 'borrowed' WHEN 3 THEN 'designed' END "
+            "AS voice_type",
+            "repeat('e', CAST(46 + c_custkey % 9 AS INT)) AS preset_engine",
+            "concat(c_name, repeat('v', CAST(c_custkey % 100 AS INT))) AS preset_voice_id",
+            "repeat(c_name, CAST(c_custkey % 140 AS INT)) AS design_prompt",
+            "CASE WHEN c_custkey % 2 = 0 THEN repeat(c_name, 3) END AS default_engine",
+            "repeat(concat(c_name, ' '), CAST(c_custkey % 130 AS INT)) AS personality"]
+
+
+@query("profile_limit_violations", f"""
+WITH p AS (SELECT {', '.join(_PROFILE)} FROM customer)
 SELECT id, concat_ws(',', CASE WHEN name IS NULL THEN 'name:required' END, CASE WHEN length(name) < 1 THEN 'name:min_length' END,
   CASE WHEN length(name) > 100 THEN 'name:max_length' END, CASE WHEN length(description) > 500 THEN 'description:max_length' END,
-  CASE WHEN language = 'xx' THEN 'language:allowed' END) AS violations FROM p""")
-def _(t):
-    p = t.customer.selectExpr(
-        "c_custkey AS id", "CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 101) WHEN 2 THEN NULL ELSE c_name END "
-        "AS name", "repeat('d', CAST(495 + c_custkey % 10 AS INT)) AS description",
-        "CASE c_custkey % 3 WHEN 0 THEN 'fr' WHEN 1 THEN 'xx' END AS language")
+  CASE WHEN language = 'xx' THEN 'language:allowed' END,
+  CASE WHEN voice_type = 'borrowed' THEN 'voice_type:allowed' END,
+  CASE WHEN length(preset_engine) > 50 THEN 'preset_engine:max_length' END,
+  CASE WHEN length(preset_voice_id) > 100 THEN 'preset_voice_id:max_length' END,
+  CASE WHEN length(design_prompt) > 2000 THEN 'design_prompt:max_length' END,
+  CASE WHEN length(default_engine) > 50 THEN 'default_engine:max_length' END,
+  CASE WHEN length(personality) > 2000 THEN 'personality:max_length' END) AS violations FROM p""")
+def _(t):
+    p = t.customer.selectExpr(*_PROFILE)
     return p.select("id", F.array_join(val.violations(val.PROFILE_LIMITS), ",").alias("violations"))
 
 
+@query("sample_text_violations", """
+SELECT conv_id, turn, concat_ws(',', CASE WHEN turn % 7 = 1 THEN 'reference_text:required' END, CASE WHEN turn % 7 = 2 THEN
+  'reference_text:min_length' END, CASE WHEN turn % 7 NOT IN (1, 2) AND length(text) > 1000 THEN 'reference_text:max_length' END)
+  AS violations FROM conversations""")
+def _(t):
+    r = t.conversations.selectExpr("conv_id", "turn", "CASE turn % 7 WHEN 1 THEN NULL WHEN 2 THEN '' ELSE text END AS reference_text")
+    return r.select("conv_id", "turn", F.array_join(val.violations(val.SAMPLE_LIMITS), ",").alias("violations"))
+
+
+@query("page_limit_violations", """
+SELECT event_id, concat_ws(',', CASE WHEN user_id % 120 < 1 THEN 'limit:low' WHEN user_id % 120 > 100 THEN 'limit:high' END,
+  CASE WHEN event_id % 9 - 1 < 0 THEN 'offset:low' END) AS violations FROM events""")
+def _(t):
+    pages = t.events.selectExpr("event_id", "user_id % 120 AS limit", "event_id % 9 - 1 AS offset")
+    return pages.select("event_id", F.array_join(val.violations(val.HISTORY_PAGE_LIMITS), ",").alias("violations"))
+
+
 @query("volume_limit_violations", ctes("items") + """
 SELECT id, CASE WHEN (trim_start_ms - 100) / 300 < 0 THEN 'volume:low' WHEN (trim_start_ms - 100) / 300 > 2 THEN 'volume:high'
   ELSE '' END AS violations FROM items""")

@@ -164,42 +164,62 @@ def name_rows(df: DataFrame, column: str) -> DataFrame:
 _NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
-def _decoded(c: Column) -> Column:
-    """Character references by number, decimal or hexadecimal, and by name; what is none stays as written."""
+_REFERENCE = r"#\d{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*;"
+
+
+def _signs(text: Column) -> Column:
+    """Map of the character references that occur, without their `&`, to what they stand for; each is looked up once."""
     names = F.create_map(*[F.lit(x) for pair in sorted(_NAMED.items()) for x in pair])
 
-    def sign(p: Column) -> Column:
-        number = F.coalesce(F.regexp_extract(p, r"^#(\d{1,7});", 1).try_cast("int"), F.conv(F.nullif(
-            F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10).try_cast("int"))
+    def sign(r: Column) -> Column:
+        number = F.when(r.rlike("^#[0-9]"), F.substring(r, 2, F.length(r) - 2).try_cast("int")).when(
+            r.startswith("#"), F.conv(F.substring(r, 3, F.length(r) - 3), 16, 10).try_cast("int"))
         return F.coalesce(
             F.when(number.between(1, 1114111), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")),
-            F.element_at(names, F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);", 1)))
+            F.try_element_at(names, F.substring(r, 1, F.length(r) - 1)))
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"&({_REFERENCE})"), F.lit(1)))
+    pairs = F.transform(found, lambda r: F.struct(r.alias("r"), sign(r).alias("s")))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["s"].isNotNull()))
 
+
+def _decoded(c: Column, signs: Column) -> Column:
+    """Character references by number, decimal or hexadecimal, and by name; what is none stays as written."""
     def put(p: Column, i: Column) -> Column:
-        found = sign(p)
-        return F.when(i == 0, p).when(found.isNotNull(), F.concat(found, F.substring(
-            p, F.instr(p, ";") + 1, F.length(p)))).otherwise(F.concat(F.lit("&"), p))
+        end = F.instr(p, ";")
+        found = F.try_element_at(signs, F.substring(p, F.lit(1), end))
+        return F.when(i == 0, p).otherwise(F.coalesce(
+            F.concat(found, F.substring(p, end + 1, F.length(p))), F.concat(F.lit("&"), p)))
 
     return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), put), "")).otherwise(c)
 
 
-def _text_pieces(html: Column) -> Column:
+def _text_pieces(html: Column, signs: Column) -> Column:
     """Text between tags, decoded."""
-    return F.transform(F.split(F.regexp_replace(html, r"(?s)<[^>]*>", "\x01"), "\x01"), _decoded)
+    pieces = F.split(F.regexp_replace(html, r"(?s)<[^>]*>", "\x01"), "\x01")
+    return F.transform(pieces, lambda p: _decoded(p, signs))
 
 
 def markup_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Page → its headings as `=== heading ===`, then its whole text (headings included) on one line."""
     body = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>|<![^>]*>", "\x01")
     clean = pages.select(key, body.alias("__b"))
-    found = F.regexp_extract_all("__b", F.lit(r"(?is)<(h[1-4])\b[^>]*>(.*?)</\1\s*>"), F.lit(2))
-    heads = F.transform(found, lambda h: F.array_join(F.filter(F.transform(
-        _text_pieces(h), tx.strip), lambda p: p != ""), " "))
-    titles = F.transform(F.filter(heads, lambda h: h != ""), lambda h: F.struct(
-        F.lit("TITLE").alias("kind"), F.concat(F.lit("=== "), h, F.lit(" ===")).alias("text")))
-    whole = tx.squeeze(F.array_join(_text_pieces(F.col("__b")), " "))
-    text = F.filter(F.array(F.struct(F.lit("TEXT").alias("kind"), whole.alias("text"))), lambda b: b["text"] != "")
-    rows = numbered_rows(clean, [key], F.concat(titles, text), "block_no", "b")
+
+    def blocks(page: Column) -> Column:
+        signs = page["signs"]
+        found = F.regexp_extract_all(page["b"], F.lit(r"(?is)<(h[1-4])\b[^>]*>(.*?)</\1\s*>"), F.lit(2))
+        heads = F.transform(found, lambda h: F.array_join(F.filter(F.transform(
+            _text_pieces(h, signs), tx.strip), lambda p: p != ""), " "))
+        titles = F.transform(F.filter(heads, lambda h: h != ""), lambda h: F.struct(
+            F.lit("TITLE").alias("kind"), F.concat(F.lit("=== "), h, F.lit(" ===")).alias("text")))
+        # no reference holds a blank, so the pieces may be put together first
+        whole = tx.squeeze(_decoded(F.regexp_replace(page["b"], r"(?s)<[^>]*>|\x01", " "), signs))
+        text = F.filter(F.array(F.struct(F.lit("TEXT").alias("kind"), whole.alias("text"))), lambda b: b["text"] != "")
+        return F.concat(titles, text)
+
+    # a lambda's argument is evaluated once, however often the body names it
+    page = F.array(F.struct(F.col("__b").alias("b"), _signs(F.col("__b")).alias("signs")))
+    rows = numbered_rows(clean, [key], F.transform(page, blocks)[0], "block_no", "b")
     return rows.select(key, "block_no", "b.*")
 
 
