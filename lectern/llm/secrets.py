@@ -170,18 +170,26 @@ def lexed(text: str) -> dict[tuple[int, int], int]:
             own.setdefault(key, []).extend(literals)
             uses.setdefault(key, []).extend(refs)
     reached: dict[tuple[int, int], dict[int, float]] = {}
-    for name, weight in names.items():
-        if weight < THRESHOLD:
-            continue
-        seen, todo = {name}, [name]
+
+    def tell(key: str | int, kind: int, weight: float) -> None:
+        for span in own.get(key, ()):
+            kinds = reached.setdefault(span, {})
+            kinds[kind] = max(weight, kinds.get(kind, 0.0))
+
+    # Names send their weight along references, the heaviest first.  What two names have reached is passed by: all behind
+    # it has been reached by these two, at least one of them another name than itself.
+    sources: dict[str | int, list[str]] = {}
+    for name in sorted((n for n, weight in names.items() if weight >= THRESHOLD), key=lambda n: -names[n]):
+        tell(name, 3, names[name])
+        todo = [name]
         while todo:
-            here = todo.pop()
-            for span in own.get(here, ()):
-                kinds, kind = reached.setdefault(span, {}), 3 if here == name else 4
-                kinds[kind] = max(weight, kinds.get(kind, 0.0))
-            fresh = [r for r in uses.get(here, ()) if r in own and r not in seen]
-            seen.update(fresh)
-            todo.extend(fresh)
+            for key in uses.get(todo.pop(), ()):
+                met = sources.setdefault(key, [])
+                if key in own and key != name and len(met) < 2 and name not in met:
+                    if not met:
+                        tell(key, 4, names[name])
+                    met.append(name)
+                    todo.append(key)
     found: dict[tuple[int, int], int] = {}
     covered = 0
     # A literal inside another one is no stronger and, up to the place of a placeholder, one as well: none is read twice.

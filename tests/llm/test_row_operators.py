@@ -246,3 +246,36 @@ def test_patterns_reach_the_score(spark):
     score = {r["doc_id"]: r["score"] for r in out.where("doc_id >= 900000").collect()}
     clean = score[open_ids[7]]
     assert all(score[d] > 2 * clean for d in [*open_ids[:7], held]), score
+
+
+@pytest.mark.parametrize("chain", ["\n".join(f"pwd_a{i} = pwd_a{i + 1}" for i in range(8000)) + '\npwd_a8000 = "q7Zp9xW2k4Lm8Tz"',
+                                   " = ".join(f"pwd_a{i}" for i in range(8000)) + ' = "q7Zp9xW2k4Lm8Tz"'])
+def test_chains_of_names_are_followed_once(chain):
+    start = time.process_time()
+    spans = secrets.scan(chain)
+    assert time.process_time() - start < 5
+    assert [chain[s.start:s.end] for s in spans if s.kind > 2] == ["q7Zp9xW2k4Lm8Tz"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<p class='" * 50_000, "<!" * 100_000, "<script " * 50_000, '<a ">' * 50_000])
+def test_pages_of_open_tags_stay_linear(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 2
+
+
+def test_a_closed_drawing_hides_nothing():
+    words = "word " * 30
+    assert html_text.main_text(f"<article><svg class='x'/><p>{words}</p></article>") == words.strip()
+
+
+def test_extract_takes_an_empty_table_and_clashing_columns(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(none).count() == 0
+    pages = spark.createDataFrame([(1, "u", "<article><p>" + "word " * 40 + "</p></article>"), (2, None, None), (1, "u", "")],
+                                  "page_id long, url string, html string")
+    assert rows_of(html_text.extract(with_clashes(pages))) == rows_of(html_text.extract(pages))
+
+
+def test_find_secrets_takes_an_empty_table(spark):
+    assert secrets.find_secrets(empty(spark)).count() == 0
