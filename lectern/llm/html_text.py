@@ -27,8 +27,8 @@ WINDOW = 3
 SURGE = 80
 
 _HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|math|iframe|textarea|select|title)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(?:svg|math)\b[^>]*(?<=/)>"
+    r"|<(script|style|noscript|template|svg|math|iframe|textarea|select|title)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)",
     re.DOTALL | re.IGNORECASE)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][\w:-]*)((?>"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>""")
 _MARKS = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -82,7 +82,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             text.clear()
         links = 0
 
-    for m in _TAG.finditer(page):
+    # behind the last `>` no tag ends, and looking for its end from each `<` would take the square of the length
+    for m in _TAG.finditer(page, 0, page.rfind(">") + 1):
         if m.start() > at:
             piece = page[at:m.start()]
             text.append(piece)
