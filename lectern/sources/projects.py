@@ -183,8 +183,13 @@ def _signs(text: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p["s"].isNotNull()))
 
 
-def _decoded(c: Column, signs: Column) -> Column:
-    """Character references by number, decimal or hexadecimal, and by name; what is none stays as written."""
+def _decoded(c: Column, signs: Column | None = None) -> Column:
+    """Character references by number, decimal or hexadecimal, and by name; what is none stays as written.
+
+    `signs` is the map of the page that the text is a part of, else that of the text.
+    """
+    signs = _signs(c) if signs is None else signs
+
     def put(p: Column, i: Column) -> Column:
         end = F.instr(p, ";")
         found = F.try_element_at(signs, F.substring(p, F.lit(1), end))
