@@ -6,8 +6,8 @@ that sees nothing abstains, which is no evidence.  The lexicon holds a list of i
 that labelled toxic texts use far more often than labelled clean ones.  A generative label model, a class
 of known share and votes given the class, is fitted by EM over the counts of all vote signatures outside the held-out
 fold; votes that go together within the toxic class share their weight by their correlations.  A linear classifier on
-hit counts and pattern votes is then trained on the posterior labels and scores the texts with hits; a text without hits
-has its votes only and scores as their posterior.
+hit counts and pattern votes is then trained on the posterior labels and scores every text, on one scale; texts without
+hits differ by their pattern votes only.
 
 Labels are read from rows only where crc32(doc_id) mod `FOLDS` is not `HELD_OUT`.  Mining and the classifier use at
 most `MOST_TOXIC` + `MOST_CLEAN` labelled rows, chosen by hash; voting, signatures and scores cover every document.
@@ -19,6 +19,7 @@ Repeated rows score alike; an empty table gives an empty result; without labels
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -282,8 +283,10 @@ def train(voted: DataFrame, sample: DataFrame, lex: Lexicon, share: float) -> tu
         F.broadcast(labels), "doc_id", "left")
     signatures = stored(open_votes.groupBy("signature", "toxic").count(), "signatures")
     model = fit_label_model(signatures, lex.voters, prior)
+    # Repeated doc_ids may pass the sample's bound; a hash, not the arrival, decides which rows are taken then.
     rows = open_votes.where("toxic IS NOT NULL AND size(entries) > 0").select(
-        "signature", "n_words", "entries", "counts").limit(MOST_TOXIC + MOST_CLEAN).collect()
+        "signature", "n_words", "entries", "counts", F.xxhash64("doc_id", "signature", "entries", "counts").alias("mark")).orderBy(
+        "mark").limit(MOST_TOXIC + MOST_CLEAN).collect()
     silent = open_votes.where("toxic IS NOT NULL AND size(entries) = 0").groupBy("signature").count().limit(
         1 << (_PATTERNS + 1)).collect()
     x = [_inputs(np.array(r["entries"]), np.array(r["counts"]), r["n_words"], r["signature"], lex) for r in rows]
@@ -295,6 +298,10 @@ def train(voted: DataFrame, sample: DataFrame, lex: Lexicon, share: float) -> tu
     return fit_classifier(np.array(x), model.posterior(seen), weight), model
 
 
+def _logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     sample, share = labelled_sample(docs, labels)
@@ -304,9 +311,16 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @pandas_udf(DoubleType())
     def score(signature: pd.Series, entries: pd.Series, counts: pd.Series, n_words: pd.Series) -> pd.Series:
-        silent = model.posterior(signature.to_numpy())
-        return pd.Series([1 / (1 + np.exp(-np.clip(_inputs(e.astype(int), c, n, s, lex) @ w, -30, 30))) if len(e) else p
-                          for s, e, c, n, p in zip(signature, entries, counts, n_words, silent)], dtype=float)
+        silent: dict[int, float] = {}  # texts without a hit differ by their pattern votes only
+
+        def one(s: int, e: np.ndarray, c: np.ndarray, n: int) -> float:
+            if len(e):
+                return _logistic(_inputs(e.astype(int), c, n, s, lex) @ w)
+            if s not in silent:
+                silent[s] = _logistic(_inputs(np.zeros(0, int), np.zeros(0), 1, s, lex) @ w)
+            return silent[s]
+
+        return pd.Series([one(*r) for r in zip(signature, entries, counts, n_words)], dtype=float)
 
     scored = voted.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
                           score("signature", "entries", "counts", "n_words").alias("score"))
