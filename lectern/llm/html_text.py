@@ -1,12 +1,16 @@
 """Main text of web pages by their line-block distribution.
 
-Markup is stripped into lines, one per block of the page.  A line's weight is the length of its text without links;
-lines in menus, headers, footers, sidebars, notices, adverts, forms and comments weigh nothing, and where a page names
-its main part (`article`, `main`), so do lines outside it, while each line in it weighs at least `SURGE`.  Weights are
-summed over sliding windows of `WINDOW` lines.  Text surges where the sum rises to `SURGE` or more (on a page
-without such a sum, to its highest sum) and dives where a
-whole window has none; the lines between such points are kept.  Without a named main part, stretches with less than a
-tenth of the longest one's weight are left out.
+Markup is stripped into lines, one per block of the page.  Lines in menus, headers, footers, sidebars, notices,
+adverts, forms and comments are taken out first, so that an advert between two paragraphs parts nothing; where a page
+names its main part (`article`, `main`), so are lines outside it.  A line's weight is the length of its text without
+links; each line in a named main part weighs at least `SURGE`.  Weights are summed over sliding windows of `WINDOW`
+lines.  Text surges where the sum rises to `SURGE` or more (on a page without such a sum, to its highest sum) and dives
+where a whole window has none.  A surge reaches back to the nearest line without weight, so that a heading before short
+lines (a byline, a date) stays with its article.  The lines between such points are kept, however short the stretch.
+
+A class, id or role tells a part from the article by its whole names: `sidebar`, `cookie-notice` and `reader-comments`
+do, `with-sidebar` does not; names such as `article-header` or `search-results` say that the part belongs to the
+article.  No named part hides the first `article` or `main` of the page in it; later ones in comments are comments.
 
 A null page counts as an empty one and gives an empty text.  Unclosed elements end with the page, or where its main part
 begins; a paragraph or list item ends where HTML closes it unasked.  Repeated pages are read one by one; an empty table gives an empty result; other columns take no part.
@@ -50,7 +54,23 @@ _SIGNS = frozenset(
     "breadcrumb breadcrumbs toolbar pagination pager header masthead footer bottom contentinfo complementary search "
     "form comment comments respond reply replies disqus related recommended share sharing social widget tags "
     "copyright".split())
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+#: Signs that say little beside a word for the article itself, and such words.
+_FAINT = frozenset("header masthead search notice alert bottom side".split())
+_OWN = frozenset("article post entry story content text title headline result results chapter".split())
+#: Names that start so tell how the page is laid out, not what the part is.
+_LAYOUT = frozenset("with has no without hide show is not".split())
+_SPLIT = re.compile(r"[^a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def _names_apart(value: str) -> bool:
+    for name in _HUMP.sub("-", value).lower().split():
+        words = [w for w in _SPLIT.split(name) if w]
+        if words and words[0] not in _LAYOUT:
+            signs = _SIGNS.intersection(words)
+            if signs and not (signs <= _FAINT and not _OWN.isdisjoint(words)):
+                return True
+    return False
 
 
 def _apart(name: str, attributes: str, in_main: bool) -> bool:
@@ -58,11 +78,7 @@ def _apart(name: str, attributes: str, in_main: bool) -> bool:
         return True
     if "=" not in attributes or name in ("html", "body") or name in _MAIN:
         return False
-    for m in _MARKS.finditer(attributes):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()
-        if not _SIGNS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+    return any(_names_apart(m[1] or m[2] or m[3] or "") for m in _MARKS.finditer(attributes))
 
 
 def lines(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -71,7 +87,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     links = main = in_link = 0
-    skip, depth, at, lists = "", 0, 0, 0
+    skip, depth, at, lists, seen = "", 0, 0, 0, False
 
     def close():
         nonlocal links
@@ -111,12 +127,13 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                 depth += -1 if ends else 1
                 if not depth:
                     skip = ""
-            elif name in _MAIN and not ends and not main:
+            elif name in _MAIN and not ends and not main and not seen:
                 skip = ""
         elif apart:
             skip, depth, lists = name, 1, 0
         if name in _MAIN and not skip:
             main = max(0, main - 1) if ends else main + 1
+            seen = True
     text.append(page[at:])
     close()
     return out
@@ -128,27 +145,21 @@ def main_text(page: str | None) -> str:
         return ""
     found = lines(page)
     named = any(inside and not apart for _, _, inside, apart in found)
-    weight = []
-    for line, links, inside, apart in found:
-        if apart or named and not inside:
-            weight.append(0)
-        else:
-            weight.append(max(SURGE, len(line)) if named else max(0, len(line) - links))
+    kept = [(line, links) for line, links, inside, apart in found if not apart and (inside or not named)]
+    weight = [max(SURGE, len(line)) if named else max(0, len(line) - links) for line, links in kept]
     sums = [sum(weight[i:i + WINDOW]) for i in range(len(weight))]
-    stretches, begin = [], None
     surge = min(SURGE, max(sums, default=0))
-    for i, total in enumerate(sums):
-        if begin is None and total >= surge and weight[i]:
+    out: list[str] = []
+    begin, done = None, 0
+    for i, total in enumerate([*sums, 0]):
+        if begin is None and i < len(weight) and total >= surge and weight[i]:
             begin = i
+            while begin > done and weight[begin - 1]:
+                begin -= 1
         elif begin is not None and not total:
-            stretches.append((begin, i))
-            begin = None
-    if begin is not None:
-        stretches.append((begin, len(sums)))
-    size = [sum(weight[a:b]) for a, b in stretches]
-    kept = [s for s, n in zip(stretches, size) if named or 10 * n >= max(size)]
-    return " ".join(found[i][0] for a, b in kept for i in range(a, b)
-                    if not found[i][3] and (found[i][2] or not named))
+            out.extend(line for line, _ in kept[begin:i])
+            begin, done = None, i
+    return " ".join(out)
 
 
 @pandas_udf(StringType())

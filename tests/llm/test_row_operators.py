@@ -197,6 +197,44 @@ def test_short_pages_and_unclosed_parts(page, text):
     assert html_text.main_text(page) == text
 
 
+BODY = "Plain words of the article stand here. " * 4
+
+
+@pytest.mark.parametrize("page, text", [
+    # a heading before short lines, and a short closing part behind adverts
+    (f"<h1>Title</h1><p>By A</p><p>May 3</p><p>{BODY}</p>", f"Title By A May 3 {BODY.strip()}"),
+    (f"<p>{BODY}</p>" + "<div class='ad'>buy</div>" * 3 + "<p>The end.</p>", f"{BODY.strip()} The end."),
+    (f"<p>{BODY * 12}</p>" + "<p><a href=x>link</a></p>" * 3 + f"<p>{BODY}</p>", f"{(BODY * 12).strip()} {BODY.strip()}"),
+    # names that tell of the layout or of the article's own parts
+    (f"<div class='content with-sidebar'><p>{BODY}</p></div>", BODY.strip()),
+    ("<article><div class='article-header'><h1>Big</h1></div><p>One</p></article>", "Big One"),
+    ("<article><p>One</p><div class='search-results'><p>Found</p></div></article>", "One Found"),
+    (f"<div class='layout-sidebar'><article><p>{BODY}</p></article></div>", BODY.strip()),
+    # parts that go, whatever stands beside their sign
+    (f"<div class='article-sidebar'>no</div><div id='readerComments'>no</div><p>{BODY}</p><p class='post_ad'>no</p>", BODY.strip()),
+    ("<article><p>One</p></article><section class='comments'><article><p>reader</p></article></section>", "One"),
+    ("<article><p>One</p></article><article><p>Two</p></article>", "One Two"),
+])
+def test_pages_lose_nothing_of_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_articles_are_found_without_their_tags(spark):
+    for row in table(spark, SMALL, "pages").select("html").collect():
+        bare = re.sub(r"<(/?)article>", r"<\1div>", row["html"])
+        assert html_text.main_text(bare) == html_text.main_text(row["html"]) != ""
+
+
+def test_pages_of_any_kind(spark):
+    pages = table(spark, SMALL, "pages")
+    assert html_text.extract(pages.limit(0)).collect() == []
+    clash = pages.withColumns({"text": pages.url, "n_chars": pages.page_id, "inside": pages.html})
+    assert rows_of(html_text.extract(clash)) == rows_of(html_text.extract(pages))
+    assert html_text.extract(clash).columns == ["page_id", "url", "text", "n_chars"]
+    long = f"<h1>Title</h1><p>{BODY}</p>" * 20_000
+    assert html_text.main_text(long) == " ".join([f"Title {BODY.strip()}"] * 20_000)
+
+
 def test_pages_whole_table(spark):
     got = html_text.extract(table(spark, SMALL, "pages"))
     for r, p in zip(got.orderBy("page_id").collect(), table(spark, SMALL, "pages").orderBy("page_id").collect()):
