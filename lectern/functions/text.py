@@ -81,6 +81,12 @@ class CompiledRule:
 
 
 def compile_rule(rule: Rule) -> CompiledRule | None:
+    """`translate_rule`, and None also for a pattern that the JVM cannot run."""
+    done = translate_rule(rule)
+    return done if done and _runs_in_java(done.pattern) else None
+
+
+def translate_rule(rule: Rule) -> CompiledRule | None:
     """Translate one user rule for Spark; None when it is inactive, empty or not a valid pattern.
 
     `/pattern/flags` honours `i` and `m`; other text is a pattern if it is a
@@ -103,7 +109,12 @@ def compile_rule(rule: Rule) -> CompiledRule | None:
     # Unicode classes cost time, so they are asked for only by patterns that use a class.
     flags = flags.replace("i", "iu") + ("U" if re.search(r"\\[wWdDsSbB]", text) else "")
     pattern = (f"(?{flags})" if flags else "") + _java_pattern(text)
-    return CompiledRule(pattern, _java_replacement(rule.replace, groups)) if _runs_in_java(pattern) else None
+    return CompiledRule(pattern, _java_replacement(rule.replace, groups))
+
+
+def java_pattern_ok(pattern: Column) -> Column:
+    """Whether the JVM can compile a pattern that is data."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
 
 
 _PROBED: dict[str, bool] = {}
@@ -184,15 +195,22 @@ def apply_rules(line: Column, rules: list[Rule]) -> Column:
     return line
 
 
-def apply_rules_to_lines(array: Column, rules: list[Rule]) -> Column:
+def apply_rules_to_lines(array: Column, rules: list[Rule] | Column) -> Column:
     """Rules over an array of lines.
 
     A line with text that becomes blank is dropped, a blank line stays, and
-    line breaks made by a rule cut the line again.
+    line breaks made by a rule cut the line again.  Rules that differ by row are
+    a column `array<struct<pattern, replacement>>`; each is compiled once per row.
     """
-    if not any(map(compile_rule, rules)):
+    had = lambda x: (strip(x) != "").alias("had")
+    if isinstance(rules, Column):
+        now = F.aggregate(rules, array, lambda xs, r: F.transform(
+            xs, lambda x: F.regexp_replace(x, r["pattern"], r["replacement"])))
+        done = F.zip_with(array, now, lambda x, y: F.struct(had(x), y.alias("now")))
+    elif not any(map(compile_rule, rules)):
         return array
-    done = F.transform(array, lambda x: F.struct((strip(x) != "").alias("had"), apply_rules(x, rules).alias("now")))
+    else:
+        done = F.transform(array, lambda x: F.struct(had(x), apply_rules(x, rules).alias("now")))
     kept = F.filter(done, lambda r: ~(r["had"] & (strip(r["now"]) == "")))
     return F.flatten(F.transform(kept, lambda r: F.when(r["now"] == "", F.array(F.lit(""))).otherwise(lines(r["now"]))))
 

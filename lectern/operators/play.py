@@ -7,6 +7,7 @@ is a fold or a neighbour comparison over that array, so nothing shuffles.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,29 @@ def style_pattern(style: str, actors: list[str]) -> tuple[str, int]:
     raise ValueError("no usable play style")
 
 
+@dataclass(frozen=True)
+class Cast:
+    """The names of a play as columns, so that each row can have its own.
+
+    `boxed` and `comma` are the patterns of `NAME (direction) …` and `NAME, …`;
+    `names` are the names as listed, `plain` with plain apostrophes.  `speech`
+    and `groups` are the pattern of the play's style and its number of groups.
+    """
+
+    boxed: Column
+    comma: Column
+    names: Column
+    plain: Column
+    speech: Column | None = None
+    groups: Column | None = None
+
+
+def head_patterns(names: list[str] | tuple[str, ...]) -> tuple[str, str]:
+    """Patterns of a name with a bracketed direction and of a name with a comma."""
+    known = names_pattern(names)
+    return rf"(?iU)^({known})\s*\(([^)]*)\)\s*(.*)$", rf"(?iU)^({known})\s*,\s*(.*)$"
+
+
 def plain_name(name: Column) -> Column:
     return F.replace(F.upper(name), F.lit("’"), F.lit("'"))
 
@@ -51,12 +75,18 @@ def plain_name(name: Column) -> Column:
 def merge_speech_lines(array: Column, pattern: str, groups: int, actors: list[str]) -> Column:
     """Join a line to the one before unless it opens a speech or follows a bare name (one-group styles)."""
     known = [a.replace("’", "'") for a in actors]
+    named = (lambda x: plain_name(x).isin(*known)) if groups == 1 else None
+    return _merged(array, lambda x: x.rlike(pattern), named)
+
+
+def _merged(array: Column, opens, named) -> Column:
+    """Lines joined to the one before, unless `opens(line)` or `named(what was joined so far)`."""
 
     def step(out: Column, line: Column) -> Column:
         last = F.try_element_at(out, F.lit(-1))
-        free = last.isNull() | (last == "") | (line == "") | line.rlike(pattern)
-        if groups == 1:
-            free = free | plain_name(last).isin(*known)
+        free = last.isNull() | (last == "") | (line == "") | opens(line)
+        if named is not None:
+            free = free | named(last)
         body = F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
         return F.when(free, F.concat(out, F.array(line))).otherwise(
             F.concat(body, F.array(F.concat(last, F.lit(" "), line))))
@@ -66,26 +96,47 @@ def merge_speech_lines(array: Column, pattern: str, groups: int, actors: list[st
 
 def format_speeches(array: Column, pattern: str, groups: int) -> Column:
     """Speech lines → NAME, blank, text, blank; a direction in its own group goes in front in brackets."""
-    part = lambda line, n: F.regexp_extract(line, pattern, n)
-    opens = lambda line: line.rlike(pattern) & (part(line, 1) != "")
+    part = lambda line, n: F.regexp_extract(line, pattern, n) if n <= groups else F.lit("")
+    return _formatted(array, lambda x: x.rlike(pattern), part, groups)
+
+
+def _formatted(array: Column, matches, part, groups: int | Column) -> Column:
+    opens = lambda line: matches(line) & (part(line, 1) != "")
+
+    def spoken(line: Column, n: int) -> Column:
+        if n == 1:
+            return F.array(F.lit(""))
+        if n == 2:
+            return F.array(tx.strip(part(line, 2)), F.lit(""))
+        said = tx.strip(part(line, 3))
+        return F.array(F.when(part(line, 2) != "", F.concat(
+            F.lit("("), tx.strip(part(line, 2)), F.lit(") "), said)).otherwise(said), F.lit(""))
 
     def block(line: Column, before: Column) -> Column:
         lead = F.when(before.isNotNull() & (before != "") & ~opens(before), F.array(F.lit(""))).otherwise(
             F.array().cast("array<string>"))
         head = F.array(plain_name(part(line, 1)), F.lit(""))
-        if groups >= 3:
-            spoken = tx.strip(part(line, 3))
-            body = F.array(F.when(part(line, 2) != "", F.concat(
-                F.lit("("), tx.strip(part(line, 2)), F.lit(") "), spoken)).otherwise(spoken), F.lit(""))
-        elif groups == 2:
-            body = F.array(tx.strip(part(line, 2)), F.lit(""))
+        if isinstance(groups, Column):
+            body = F.when(groups >= 3, spoken(line, 3)).when(groups == 2, spoken(line, 2)).otherwise(spoken(line, 1))
         else:
-            body = F.array(F.lit(""))
+            body = spoken(line, min(groups, 3))
         return F.when(opens(line), F.concat(lead, head, body)).otherwise(F.array(line))
 
     return F.flatten(tx.with_previous(array, block))
 
 
+def merge_cast_lines(array: Column, cast: Cast) -> Column:
+    """`merge_speech_lines` with the style and names of the row."""
+    named = lambda x: (cast.groups == 1) & F.array_contains(cast.plain, plain_name(x))
+    return _merged(array, lambda x: F.regexp_instr(x, cast.speech) > 0, named)
+
+
+def format_cast_speeches(array: Column, cast: Cast) -> Column:
+    """`format_speeches` with the style of the row; its pattern has three groups at least, the last ones empty."""
+    return _formatted(array, lambda x: F.regexp_instr(x, cast.speech) > 0,
+                      lambda line, n: F.call_function("regexp_extract", line, cast.speech, F.lit(n)), cast.groups)
+
+
 def normalise_text(
     df: DataFrame, text: str, out: str, style: str = "modern", actors: list[str] = (), rules: list[tx.Rule] = (),
     remove_page_numbers: bool = True,
@@ -124,30 +175,39 @@ def blocks(text: Column) -> Column:
     return F.filter(parts, lambda b: b != "")
 
 
-def classify_block(block: Column, names: list[str], strict: bool = False) -> Column:
+def classify_block(block: Column, names: list[str] | Cast, strict: bool = False) -> Column:
     """Block → struct(kind, name, rest): heading, inline (name with direction), name or text.
 
     The strict form knows only `NAME, direction` and compares names exactly.
     """
     heading = block.startswith("ACTE") | block.startswith("SCÈNE")
-    known = names_pattern(names)
+    if isinstance(names, Cast):
+        boxed, comma = names.boxed, names.comma
+        listed = lambda x: F.array_contains(names.names, x)
+        plainly = lambda x: F.array_contains(names.plain, x)
+        # unlike rlike, these keep the last pattern compiled
+        fits = lambda p: F.regexp_instr(block, p) > 0
+        part = lambda p, n: F.call_function("regexp_extract", block, p, F.lit(n))
+    else:
+        boxed, comma = head_patterns(names)
+        listed = lambda x: x.isin(*names)
+        plainly = lambda x: x.isin(*[n.replace("’", "'") for n in names])
+        fits = block.rlike
+        part = lambda p, n: F.regexp_extract(block, p, n)
     if strict:
         head = F.trim(F.substring_index(block, ",", 1))
         rest = F.trim(F.substring(block, F.instr(block, ",") + 1, F.length(block)))
-        inline = block.contains(",") & head.isin(*names)
+        inline = block.contains(",") & listed(head)
         full = F.concat(F.upper(F.substring(head, 1, 1)), F.lower(F.substring(head, F.lit(2), F.length(head))), F.lit(", "), rest)
-        name, bare = head, block.isin(*names)
+        name, bare = head, listed(block)
         own = block
     else:
-        boxed, comma = rf"(?iU)^({known})\s*\(([^)]*)\)\s*(.*)$", rf"(?iU)^({known})\s*,\s*(.*)$"
-        inline = block.rlike(boxed) | block.rlike(comma)
-        name = plain_name(F.when(block.rlike(boxed), F.regexp_extract(block, boxed, 1)).otherwise(
-            F.regexp_extract(block, comma, 1)))
-        full = F.concat(name, F.lit(", "), F.when(block.rlike(boxed), F.concat(
-            F.lit("("), F.regexp_extract(block, boxed, 2), F.lit(") "), F.regexp_extract(block, boxed, 3))).otherwise(
-            F.regexp_extract(block, comma, 2)))
+        inline = fits(boxed) | fits(comma)
+        name = plain_name(F.when(fits(boxed), part(boxed, 1)).otherwise(part(comma, 1)))
+        full = F.concat(name, F.lit(", "), F.when(fits(boxed), F.concat(
+            F.lit("("), part(boxed, 2), F.lit(") "), part(boxed, 3))).otherwise(part(comma, 2)))
         own = plain_name(block)
-        bare = own.isin(*[n.replace("’", "'") for n in names])
+        bare = plainly(own)
     nothing = F.lit(None).cast("string")
     make = lambda kind, who, what: F.struct(
         F.lit(kind).alias("kind"), who.alias("name"), what.alias("text"))
@@ -184,7 +244,7 @@ def bracket_parts(text: Column, nested: bool = True) -> Column:
         (p.startswith("(") & p.endswith(")")).alias("direction"), p.alias("text")))
 
 
-def parse_play(df: DataFrame, text: str, out: str, names: list[str], strict: bool = False) -> DataFrame:
+def parse_play(df: DataFrame, text: str, out: str, names: list[str] | Cast, strict: bool = False) -> DataFrame:
     """Play text → array of struct(speaker, text).
 
     A heading clears the speaker, a name sets it; text without a speaker is a
@@ -216,7 +276,7 @@ def parse_play(df: DataFrame, text: str, out: str, names: list[str], strict: boo
     return kinds.withColumn(out, F.aggregate("__b", zero, step, lambda acc: acc["out"])).drop("__b")
 
 
-def block_speakers(df: DataFrame, text: str, key: str, names: list[str]) -> DataFrame:
+def block_speakers(df: DataFrame, text: str, key: str, names: list[str] | Cast) -> DataFrame:
     """Kind of every block and the speaker in force after it."""
     kinds = df.select(key, F.transform(blocks(F.col(text)), lambda b: classify_block(b, names)).alias("b"))
 

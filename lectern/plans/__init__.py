@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _AREAS = ("library", "timeline", "catalog", "text", "chunks", "quality", "state", "dialogue", "evaluation",
-          "signals", "files", "streams")
+          "signals", "files", "streams", "settings")
 
 
 def load_all():

@@ -23,14 +23,15 @@ _PLAY_CASE = ("CASE i % 9 WHEN 1 THEN concat('ACTE ', i) WHEN 2 THEN 'Anna' WHEN
               "concat('le vieux boris (bas) ', x) WHEN 8 THEN concat(x, ' (il rit (fort)) fin') ELSE x END")
 
 
-def _plays(t):
+def plays(t, *more):
     def line(x, n):
         i = n + 1
         return F.when(i % 9 == 1, F.concat(F.lit("ACTE "), i.cast("string"))).when(i % 9 == 2, "Anna").when(
             i % 9 == 5, F.concat(F.lit("Clara, "), x)).when(i % 9 == 7, F.concat(F.lit("le vieux boris (bas) "), x)).when(
             i % 9 == 8, F.concat(x, F.lit(" (il rit (fort)) fin"))).otherwise(x)
 
-    return t.documents.select("doc_id", F.array_join(F.transform(tx.lines(F.col("text")), line), "\n\n").alias("text"))
+    return t.documents.select(
+        "doc_id", *more, F.array_join(F.transform(tx.lines(F.col("text")), line), "\n\n").alias("text"))
 
 
 _BLOCKS = f"""{lines_cte()}, b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, trim(y) AS y
@@ -46,7 +47,7 @@ n AS (SELECT *, CASE WHEN kind IN ('inline', 'name') THEN upper(regexp_extract(y
 SELECT doc_id, CAST(k AS INT) AS block_no, kind, last_value(name IGNORE NULLS) OVER (PARTITION BY doc_id, scene ORDER BY k)
 AS speaker FROM n""")
 def _(t):
-    return play.block_speakers(_plays(t), "text", "doc_id", NAMES)
+    return play.block_speakers(plays(t), "text", "doc_id", NAMES)
 
 
 @query("play_parse", f"""WITH {_BLOCKS},
@@ -70,13 +71,13 @@ r AS (SELECT doc_id, k, 0 AS j, CASE WHEN plain AND (nth % 2 = 1) <> from_speech
     END, parts[j] FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS j FROM q WHERE parts IS NOT NULL))
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS INT) AS line_no, speaker, text FROM r""")
 def _(t):
-    parsed = play.parse_play(_plays(t), "text", "p", NAMES)
+    parsed = play.parse_play(plays(t), "text", "p", NAMES)
     return numbered_rows(parsed, ["doc_id"], "p", "line_no", "r").select("doc_id", "line_no", "r.*")
 
 
 @query("play_parse_strict")
 def _(t):
-    upper = _plays(t).withColumn("text", F.replace(F.replace("text", F.lit("\nAnna\n"), F.lit("\nANNA\n")),
+    upper = plays(t).withColumn("text", F.replace(F.replace("text", F.lit("\nAnna\n"), F.lit("\nANNA\n")),
                                                    F.lit("Clara,"), F.lit("CLARA,")))
     parsed = play.parse_play(upper, "text", "p", NAMES, strict=True)
     return numbered_rows(parsed, ["doc_id"], "p", "line_no", "r").select("doc_id", "line_no", "r.*")
