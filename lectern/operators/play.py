@@ -353,28 +353,41 @@ def merge_scene_titles(array: Column) -> Column:
         acc["open"], F.concat(acc["out"], F.array(F.lit("SCÈNE")))).otherwise(acc["out"]))
 
 
-def dedupe_directions(array: Column) -> Column:
-    """Tagged directions against the last three kept lines: equal or contained → dropped, containing → replaces."""
-    norm = lambda x: F.replace(F.lower(tx.strip(F.regexp_replace(
-        tx.strip(x), r"^\[DIDASCALIE\]", ""))), F.lit("  "), F.lit(" "))
+def dedupe_directions(array: Column, names: list[str] | tuple[str, ...] = ()) -> Column:
+    """Tagged directions against the last three kept lines: equal or contained → dropped, containing → replaces.
 
-    def step(acc: Column, raw: Column) -> Column:
+    A direction `NAME, text` of a listed name first puts out the name and the
+    bare direction; the line itself, which contains it, then takes its place.
+    """
+    body_of = lambda x: tx.strip(F.regexp_replace(tx.strip(x), r"^\[DIDASCALIE\]", ""))
+    norm = lambda x: F.replace(F.lower(body_of(x)), F.lit("  "), F.lit(" "))
+    item = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("line"), norm(x).alias("norm"))
+
+    def items(raw: Column) -> Column:
         line = tx.strip(raw)
-        out, mine = acc["out"], norm(line)
+        own = F.array(F.when(line.startswith(TAG), item("tagged", line)).otherwise(item("plain", line)))
+        out = own
+        for n in reversed(names):
+            bare = F.concat(F.lit(TAG + " "), tx.strip(F.substring(body_of(line), F.lit(len(n) + 2), F.length(line))))
+            out = F.when(line.startswith(TAG) & body_of(line).startswith(n + ","), F.concat(
+                F.array(item("name", F.lit(n)), item("bare", bare)), own)).otherwise(out)
+        return out
+
+    def step(acc: Column, x: Column) -> Column:
+        out, mine, line = acc["out"], x["norm"], x["line"]
         tail = F.slice(out, F.greatest(F.size(out) - 2, F.lit(1)), 3)
         near = F.filter(tail, lambda p: p.startswith(TAG) & (norm(p).contains(mine) | mine.contains(norm(p))))
         first = F.try_element_at(near, F.lit(1))
-        tagged = line.startswith(TAG)
         same = acc["last"].eqNullSafe(mine)
         body = F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
-        fresh = tagged & ~same & first.isNull()
+        fresh = (x["kind"] == "bare") | ((x["kind"] == "tagged") & ~same & first.isNull())
         return F.struct(
-            F.when(~tagged, F.lit(None).cast("string")).when(fresh, mine).otherwise(acc["last"]).alias("last"),
-            F.when(~tagged | fresh, F.concat(out, F.array(line))).when(
+            F.when(x["kind"] == "plain", F.lit(None).cast("string")).when(fresh, mine).otherwise(acc["last"]).alias("last"),
+            F.when(x["kind"].isin("plain", "name") | fresh, F.concat(out, F.array(line))).when(
                 same | norm(first).contains(mine), out).otherwise(F.concat(body, F.array(line))).alias("out"))
 
     zero = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(array, zero, step, lambda acc: acc["out"])
+    return F.aggregate(F.flatten(F.transform(array, items)), zero, step, lambda acc: acc["out"])
 
 
 def join_broken_lines(df: DataFrame, lines: str, out: str) -> DataFrame:

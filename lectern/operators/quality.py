@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.vectors import cosine, norm
-from lectern.operators.catalog import role_filter, voice_ids
+from lectern.operators.catalog import role_filter, segment_voice, voice_ids
 from lectern.operators.joins import optional_join
 
 # Duration limits, reference slices, buckets and default thresholds.
@@ -81,6 +81,33 @@ def score_takes(takes: DataFrame, slices: DataFrame) -> DataFrame:
     )
 
 
+def rescore(
+    segments: DataFrame, audio: DataFrame, mapping: DataFrame, voices: DataFrame, slices: DataFrame,
+    role: str | None = None,
+) -> DataFrame:
+    """Score the audio `(project, num, duration, emb)` of every segment anew, also of those already rated.
+
+    One row per segment with audio, of one role or of all: the voice really
+    used, and the score and duration to write.  A segment whose voice has no
+    print keeps what it has (`rescored` is false); a clip too short to judge
+    is written without a score.  `slices` are named by voice id.  Segments
+    without a voice are dealt over filler keys.
+    """
+    wanted = segments.withColumn("profile_id", F.trim("profile_id"))
+    chosen = role_filter(wanted, role and role.strip()).filter("has_audio").select(
+        "project", "num", "profile_id", "generated_voice", "qc_score", "qc_duration")
+    named = voice_ids(segment_voice(chosen, mapping), voices)
+    filler = F.concat(F.lit("\x00"), F.xxhash64("project", "num").cast("string"))
+    takes = named.join(audio.select("project", "num", "duration", "emb"), ["project", "num"]).withColumn(
+        "voice", F.coalesce("voice_id", filler))
+    scored = score_takes(takes, slices)
+    fresh = F.col("voice_id").isNotNull() & (F.coalesce("reason", F.lit("")) != "no_voiceprint")
+    return scored.select(
+        "project", "num", "voice_name", "voice_id", fresh.alias("rescored"),
+        F.when(fresh, F.col("score")).otherwise(F.col("qc_score")).alias("qc_score"),
+        F.when(fresh, F.col("duration")).otherwise(F.col("qc_duration")).alias("qc_duration"))
+
+
 def fixed_verdict(score: Column) -> Column:
     return F.when(score >= ACCEPT_AT, "accepted").when(score.isNotNull(), "refused")
 

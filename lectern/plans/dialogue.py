@@ -168,13 +168,35 @@ def _(t):
                          play.merge_scene_titles(F.col("a")), "line_no", "line")
 
 
-@query("direction_dedupe")
-def _(t):
+# Each line is one step: the lines kept so far and the last direction, carried by recursion.
+_NORM = "replace(lower(trim(regexp_replace(trim({x}), '^\\[DIDASCALIE\\]', ''))), '  ', ' ')"
+
+
+@query("direction_dedupe", f"""WITH RECURSIVE {lines_cte()},
+m AS (SELECT doc_id, i * 4 AS i, 'plain' AS kind, trim(x) AS x FROM l WHERE i % 3 <> 1
+  UNION ALL SELECT doc_id, i * 4, 'tagged', trim('[DIDASCALIE] ' || x) FROM l WHERE i % 3 = 1
+  UNION ALL SELECT doc_id, i * 4 + 1, 'tagged', trim('[DIDASCALIE] ' || substr(x, 1, 12)) FROM l WHERE i % 3 = 1
+  UNION ALL SELECT doc_id, i * 4 + 1, 'name', 'CLARA' FROM l WHERE i % 3 = 2
+  UNION ALL SELECT doc_id, i * 4 + 2, 'bare', '[DIDASCALIE] ' || trim(x) FROM l WHERE i % 3 = 2
+  UNION ALL SELECT doc_id, i * 4 + 3, 'tagged', trim('[DIDASCALIE] CLARA, ' || x) FROM l WHERE i % 3 = 2),
+t AS (SELECT doc_id, kind, x, {_NORM.format(x='x')} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
+w AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS kept, CAST(NULL AS VARCHAR) AS last FROM t
+  UNION ALL SELECT doc_id, k, CASE WHEN kind IN ('plain', 'name', 'bare') THEN list_append(kept, x) WHEN last IS NOT DISTINCT
+    FROM n THEN kept WHEN p IS NULL THEN list_append(kept, x) WHEN contains({_NORM.format(x='p')}, n) THEN kept
+    ELSE list_append(kept[:-2], x) END, CASE WHEN kind = 'plain' THEN NULL WHEN kind = 'bare' OR (kind = 'tagged' AND last IS
+    DISTINCT FROM n AND p IS NULL) THEN n ELSE last END
+  FROM (SELECT t.*, w.kept, w.last, list_filter(w.kept[-3:], lambda q: starts_with(q, '[DIDASCALIE]') AND
+    (contains({_NORM.format(x='q')}, t.n) OR contains(t.n, {_NORM.format(x='q')})))[1] AS p
+    FROM w JOIN t ON t.doc_id = w.doc_id AND t.k = w.k + 1))
+SELECT doc_id, CAST(j - 1 AS INT) AS line_no, kept[j] AS line FROM (SELECT doc_id, kept, unnest(range(1, len(kept) + 1)) AS j
+  FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1))""")
+def _(t):
+    tagged = lambda x: F.concat(F.lit("[DIDASCALIE] "), x)
     made = F.flatten(F.transform(tx.lines(F.col("text")), lambda x, n: F.when(
-        n % 3 == 0, F.array(F.concat(F.lit("[DIDASCALIE] "), x), F.concat(F.lit("[DIDASCALIE] "), F.substring(x, 1, 12))))
-        .otherwise(F.array(x))))
+        n % 3 == 0, F.array(tagged(x), tagged(F.substring(x, 1, 12)))).when(
+        n % 3 == 1, F.array(x, tagged(F.concat(F.lit("CLARA, "), x)))).otherwise(F.array(x))))
     return numbered_rows(t.documents.select("doc_id", made.alias("a")), ["doc_id"],
-                         play.dedupe_directions(F.col("a")), "line_no", "line")
+                         play.dedupe_directions(F.col("a"), NAMES), "line_no", "line")
 
 
 @query("broken_line_join", f"""WITH {lines_cte()}, m AS (SELECT doc_id, i, CASE WHEN i % 7 = 0 THEN

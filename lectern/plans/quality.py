@@ -216,6 +216,45 @@ def _(t):
         F.count("*").alias("rescored"), F.count("score").alias("rated"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
+# Audio of a segment: one of the given vectors.  Every twelfth length is too short to judge, some voices have no print.
+_AUDIO = """audio AS (SELECT conv_id AS project, CAST(turn + 1 AS INT) AS num, (conv_id * 5 + turn) % 120 / CAST(10 AS DOUBLE)
+  AS duration, embedding AS emb FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % 97)"""
+
+
+def _rescore_sql(role: str) -> str:
+    return ctes("segments", "slices", "voices") + f""", {_MAP2}, {_AUDIO},
+l AS (SELECT lower(name) AS key, min_by(voice_id, ord) AS voice_id FROM voices GROUP BY 1),
+n AS (SELECT s.project, s.num, s.qc_score, s.qc_duration, coalesce(s.generated_voice, m.voice) AS voice_name FROM segments s
+  LEFT JOIN mapping2 m ON m.project = s.project AND m.role = s.profile_id WHERE s.has_audio AND {role}),
+i AS (SELECT n.*, l.voice_id, a.duration, a.emb FROM n JOIN audio a USING (project, num) LEFT JOIN l ON l.key = lower(n.voice_name)),
+first AS (SELECT * FROM slices WHERE voice % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY voice, slice ORDER BY ord) = 1),
+b AS (SELECT i.*, f.emb AS ref, f.voice IS NOT NULL OR (i.voice_id IS NOT NULL AND i.duration < 0.3) AS rescored FROM i
+  LEFT JOIN first f ON concat('vp-', f.voice) = i.voice_id
+  QUALIFY row_number() OVER (PARTITION BY i.project, i.num ORDER BY abs(f.ref_sec - i.duration), f.ord) = 1)
+SELECT project, num, voice_name, voice_id, rescored, round(CASE WHEN NOT rescored THEN qc_score WHEN duration >= 0.3 THEN
+  {_cos('emb', 'ref')} END, 6) AS qc_score, CASE WHEN rescored THEN duration ELSE qc_duration END AS qc_duration FROM b"""
+
+
+def _rescored(t, role):
+    audio = t.conversations.withColumn("vec_id", F.expr("(conv_id * 7 + turn) % 97")).join(
+        t.embeddings.select("vec_id", "embedding"), "vec_id").selectExpr(
+        "conv_id AS project", "CAST(turn + 1 AS INT) AS num", "(conv_id * 5 + turn) % 120 / CAST(10 AS DOUBLE) AS duration",
+        "embedding AS emb")
+    slices = t.slices.filter("voice % 4 <> 1").withColumn("voice", F.expr("concat('vp-', voice)"))
+    done = qc.rescore(t.segments, audio, _mapping2(t), t.voices, slices, role)
+    return done.withColumn("qc_score", F.round("qc_score", 6))
+
+
+@query("rescore_segments", _rescore_sql("true"))
+def _(t):
+    return _rescored(t, "all")
+
+
+@query("rescore_role", _rescore_sql("s.profile_id = 'USER'"))
+def _(t):
+    return _rescored(t, " USER ")
+
+
 @query("new_audio_reset", ctes("segments", "takes") + """
 SELECT project, num, CASE WHEN x THEN 0 ELSE read END AS read, CASE WHEN NOT x THEN qc_status END AS qc_status,
   CASE WHEN NOT x THEN qc_score END AS qc_score FROM (SELECT *, EXISTS (SELECT 1 FROM takes k WHERE

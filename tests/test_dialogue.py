@@ -74,6 +74,10 @@ def test_direction_dedupe(one):
     text = "\n".join([tag + "il sort", tag + "il sort", tag + "sort", tag + "il sort vite", "Ligne", tag + "il sort"])
     got = one(lambda c: play.dedupe_directions(tx.lines(c)), text)
     assert got == [[tag + "il sort vite", "Ligne"]]
+    named = "\n".join([tag + "ANNA,  bas", "Ligne", tag + "ANNA, bas", tag + "bas", tag + "ANNABEL, haut"])
+    got = one(lambda c: play.dedupe_directions(tx.lines(c), ["ANNA", "BORIS"]), named)
+    # the line itself holds the bare direction and takes its place
+    assert got == [["ANNA", tag + "ANNA,  bas", "Ligne", "ANNA", tag + "ANNA, bas", tag + "ANNABEL, haut"]]
 
 
 def test_broken_lines(spark):
