@@ -48,6 +48,11 @@ def running_sum(value: Column, out: str) -> Scan:
     return Scan("sum", value, out)
 
 
+def max_before(value: Column, out: str) -> Scan:
+    """Greatest non-null `value` strictly before the row, NULL without one."""
+    return Scan("max_before", value, out)
+
+
 def sum_before(value: Column, out: str) -> Scan:
     """Sum of `value` over the rows before this one, 0 at the start."""
     return Scan("sum_before", value, out)
@@ -141,6 +146,10 @@ def ordered_scan(
             local[l], summary[s] = F.sum(v).over(so_far), F.sum(v)
             offset[o] = F.sum(s).over(blocks_before)
             final[scan.out] = F.coalesce(F.col(l) + F.col(o), F.col(l), F.col(o))
+        elif scan.kind == "max_before":
+            local[l], summary[s] = F.max(v).over(before), F.max(v)
+            offset[o] = F.max(s).over(blocks_before)
+            final[scan.out] = F.greatest(F.col(l), F.col(o))
         elif scan.kind == "sum_before":
             local[l], summary[s] = F.sum(v).over(before), F.sum(v)
             offset[o] = F.sum(s).over(blocks_before)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions.rows import numbered_rows
 from lectern.operators import signals as sg
 from lectern.plans.registry import query
 
@@ -98,6 +99,7 @@ FROM (SELECT *, unnest(range(1, 109)) AS i FROM p)""")
 def _(t):
     chunks = t.embeddings.selectExpr("CAST(floor(vec_id / 2) AS BIGINT) AS clip_id", "vec_id % 2 AS chunk_no",
                                      "embedding AS samples")
-    done = sg.crossfade_join(chunks, rate=1000, crossfade_ms=20)
-    rows = done.select("clip_id", F.posexplode_outer("samples").alias("position", "v")).filter("position IS NOT NULL")
-    return rows.select("clip_id", "position", F.round("v", 6).alias("value"))
+    pieces = sg.crossfade_pieces(chunks, rate=1000, crossfade_ms=20)
+    rows = numbered_rows(pieces, ["clip_id", "piece"], "samples", "i", "v")
+    position = (F.col("piece") * sg.PIECE + F.col("i")).cast("int")
+    return rows.select("clip_id", position.alias("position"), F.round("v", 6).alias("value"))
