@@ -183,6 +183,19 @@ def _quoted(c: Column) -> Column:
     return F.concat(F.lit("'"), c, F.lit("'"))
 
 
+def two_places(x: Column) -> Column:
+    """A non-negative double below 2**20 with two decimals, rounded by its exact binary value, ties to even.
+
+    The JVM's formats round its shortest decimal form half up.  Split in two parts, 200 x is exact, and so is the sign of its
+    distance to the tie.
+    """
+    low = F.floor(x * 100)
+    high = F.floor(x * (1 << 26)) / (1 << 26)
+    past = (high * 200 - (low * 2 + 1)) + (x - high) * 200
+    cents = low + F.when((past > 0) | ((past == 0) & (low % 2 == 1)), 1).otherwise(0)
+    return F.format_string("%d.%02d", F.floor(cents / 100), cents % 100)
+
+
 def refinement_scores(df: DataFrame) -> DataFrame:
     """Scorecard of `(raw, refined, must_contain array, keep_question_mark, must_not_loop)`.
 
@@ -207,8 +220,10 @@ def refinement_scores(df: DataFrame) -> DataFrame:
         F.when(F.col("lost_question"), "question→statement"),
         F.when((F.col("fillers_raw") > 0) & (F.col("fillers_refined") >= F.col("fillers_raw")), F.format_string(
             "fillers-not-removed(%d→%d)", "fillers_raw", "fillers_refined")),
-        F.when(F.col("length_ratio") < TOO_SHORT, F.format_string("too-short(%.2f)", "length_ratio")),
-        F.when(F.col("length_ratio") > TOO_LONG, F.format_string("too-long(%.2f)", "length_ratio")),
+        F.when(F.col("length_ratio") < TOO_SHORT, F.concat(
+            F.lit("too-short("), two_places(F.col("length_ratio")), F.lit(")"))),
+        F.when(F.col("length_ratio") > TOO_LONG, F.concat(
+            F.lit("too-long("), two_places(F.col("length_ratio")), F.lit(")"))),
     ))
     return card.withColumn("flags", flags).drop("__clean")
 

@@ -13,7 +13,7 @@ from lectern.functions.rows import numbered_rows, plain_rows
 from lectern.operators import attribution as at
 from lectern.operators import play
 from lectern.plans.chunks import script_cte, scripts
-from lectern.plans.registry import query
+from lectern.plans.registry import ORACLES, query
 from lectern.plans.text import lines_cte
 from lectern.session import written
 
@@ -75,7 +75,22 @@ def _(t):
     return numbered_rows(parsed, ["doc_id"], "p", "line_no", "r").select("doc_id", "line_no", "r.*")
 
 
-@query("play_parse_strict")
+# The strict form: exact names, `NAME, direction` alone, brackets that do not nest.
+_STRICT_BLOCKS = f"""{lines_cte()}, b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, trim(y) AS y
+  FROM (SELECT doc_id, i, CASE WHEN i % 9 = 2 AND i < max(i) OVER (PARTITION BY doc_id) THEN 'ANNA'
+    WHEN i % 9 = 5 THEN concat('CLARA, ', x) ELSE replace({_PLAY_CASE}, 'Clara,', 'CLARA,') END AS y FROM l) WHERE trim(y) <> ''),
+c AS (SELECT *, CASE WHEN starts_with(y, 'ACTE') OR starts_with(y, 'SCÈNE') THEN 'heading'
+  WHEN contains(y, ',') AND trim(split_part(y, ',', 1)) IN ('ANNA', 'LE VIEUX BORIS', 'CLARA') THEN 'inline'
+  WHEN y IN ('ANNA', 'LE VIEUX BORIS', 'CLARA') THEN 'name' ELSE 'text' END AS kind FROM b),
+n AS (SELECT *, CASE WHEN kind IN ('inline', 'name') THEN trim(split_part(y, ',', 1)) END AS name,
+  count(*) FILTER (kind = 'heading') OVER (PARTITION BY doc_id ORDER BY k) AS scene FROM c)"""
+_STRICT_PARSE = ORACLES["play_parse"].replace(_BLOCKS, _STRICT_BLOCKS).replace(
+    "'(\\((?:[^()]|\\([^()]*\\))*\\))'", "'(\\([^)]*\\))'").replace(
+    "concat(name, ', ', trim(regexp_replace(y, '(?i)^(anna|le vieux boris|clara)\\s*,?\\s*', '')))",
+    "concat(upper(left(name, 1)), lower(substr(name, 2)), ', ', trim(substr(y, strpos(y, ',') + 1)))")
+
+
+@query("play_parse_strict", _STRICT_PARSE)
 def _(t):
     upper = plays(t).withColumn("text", F.replace(F.replace("text", F.lit("\nAnna\n"), F.lit("\nANNA\n")),
                                                    F.lit("Clara,"), F.lit("CLARA,")))
@@ -213,7 +228,19 @@ def _(t):
     return numbered_rows(joined, ["doc_id"], "j", "line_no", "line")
 
 
-@query("italic_runs")
+# A blank span takes the style of the spans with text before and after it, italic only if both are.
+@query("italic_runs", f"""WITH {lines_cte()}, s AS (SELECT doc_id, i * 2 AS k, x, i % 3 = 1 AS it FROM l
+  UNION ALL SELECT doc_id, i * 2 + 1, chr(10), NULL FROM l),
+t AS (SELECT *, CASE WHEN trim(x, ' ' || chr(10)) <> '' THEN it END AS own FROM s),
+u AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k), false) AND coalesce(first_value(
+  own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false) AS st FROM t),
+g AS (SELECT *, sum(CASE WHEN b IS DISTINCT FROM st THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS grp FROM
+  (SELECT *, lag(st) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM u)),
+r AS (SELECT doc_id, grp, any_value(st) AS st, string_agg(x, '' ORDER BY k) AS x FROM g GROUP BY 1, 2),
+w AS (SELECT doc_id, string_agg(CASE WHEN st AND trim(x, ' ' || chr(10)) <> '' THEN regexp_replace(x, '(?s)^(\\s*)(.*?)(\\s*)$',
+  '\\1(\\2)\\3') ELSE x END, '' ORDER BY grp) AS x FROM r GROUP BY 1)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(x, ''), '\\(\\s*\\(\\s*(.*?)\\s*\\)\\s*\\)', '(\\1)', 'g'),
+  '[ \\t]*\\([ \\t]*', ' (', 'g'), '[ \\t]*\\)[ \\t]*', ') ', 'g') AS text FROM documents LEFT JOIN w USING (doc_id)""")
 def _(t):
     spans = F.flatten(F.transform(tx.lines(F.col("text")), lambda x, n: F.array(
         F.struct(x.alias("text"), (n % 3 == 0).alias("is_italic")),
@@ -283,7 +310,25 @@ def _(t):
     return marked.select("doc_id", F.col("out").alias("text"))
 
 
-@query("aside_premarkup")
+# The aside grammar in DuckDB's dialect: letters and digits of all languages are words, and a verb ends at a blank or hyphen.
+_ASIDE_SQL = (at.ASIDE.removeprefix("(?U)").replace("[\\wÀ-ÿ", "[\\p{L}\\p{N}_").replace("\\w", "[\\p{L}\\p{N}_]")
+              .replace("\\b", "").replace("'", "''"))
+
+
+@query("aside_premarkup", f"""WITH d AS (SELECT doc_id, replace(replace(text, ', ', ' » dit le Vieux, « '), '. ',
+  concat('.', chr(10), '— ')) AS text FROM documents), {lines_cte('d')},
+c AS (SELECT doc_id, i, 0 AS j, '' AS x FROM l WHERE trim(x) = '' UNION ALL SELECT * FROM (SELECT doc_id, i, j, trim(a[j]) AS x
+  FROM (SELECT *, unnest(range(1, len(a) + 1)) AS j FROM (SELECT doc_id, i, string_split(regexp_replace(regexp_replace(trim(x),
+  '([»”])', '\\1' || chr(10), 'g'), '([«“—–])', chr(10) || '\\1', 'g'), chr(10)) AS a FROM l WHERE trim(x) <> ''))) WHERE x <> ''),
+f AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i, j) AS b FROM c),
+g AS (SELECT *, sum(CASE WHEN b IS NULL OR b = '' OR x = '' OR regexp_matches(x, '^[—–\\-«“"]')
+  OR regexp_matches(b, '^[—–\\-«“"]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, j) AS grp FROM f),
+p AS (SELECT doc_id, grp, string_agg(x, ' ' ORDER BY i, j) AS x FROM g GROUP BY 1, 2 HAVING string_agg(x, ' ' ORDER BY i, j) <> ''),
+m AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(x, '({_ASIDE_SQL})', chr(1) || '\\1' || chr(2), 'g'), chr(1) || '\\s*', ' (', 'g'),
+  '\\s*' || chr(2), ') ', 'g') AS y FROM p)
+SELECT doc_id, coalesce(string_agg(CASE WHEN regexp_matches(x, '[—–\\-«»"“]') THEN regexp_replace(regexp_replace(trim(regexp_replace(y,
+  '\\s+', ' ', 'g')), ',\\s*\\(', ' (', 'g'), '\\)\\s*,', ')', 'g') ELSE concat('(', x, ')') END, chr(10) || chr(10) ORDER BY grp), '')
+  AS text FROM documents LEFT JOIN m USING (doc_id) GROUP BY 1""")
 def _(t):
     story = t.documents.selectExpr("doc_id", "replace(replace(text, ', ', ' » dit le Vieux, « '), '. ', '.\\n— ') AS text")
     return at.premark(story, "text", "out").select("doc_id", F.col("out").alias("text"))

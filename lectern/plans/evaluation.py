@@ -119,7 +119,17 @@ def _(t):
                             F.array_join("missing", ",").alias("missing"), "lost_question")
 
 
-@query("refinement_scorecard")
+# No word stands six times in a row in these raw texts; repeated units of signs are dropped as above.
+@query("refinement_scorecard", f"""WITH RECURSIVE {_CARDS.replace("src", "given")}, w AS (SELECT conv_id * 100 + turn AS id, * FROM card),
+src AS (SELECT id, raw AS text FROM w), clean AS (WITH RECURSIVE {_DROPPED}),
+s AS (SELECT w.*, length(refined) / greatest(length(c.text), 1) AS ratio FROM w JOIN clean c USING (id))
+SELECT conv_id, turn, model, round(ratio, 4) AS length_ratio, concat_ws('; ',
+  CASE WHEN leak IS NOT NULL THEN concat('prompt-leak(''', leak, ''')') END, CASE WHEN looped THEN 'loop-echo' END,
+  CASE WHEN len(missing) > 0 THEN concat('lost-terms=[', array_to_string(list_transform(missing, lambda m:
+    concat('''', m, '''')), ', '), ']') END, CASE WHEN lost_q THEN 'question→statement' END,
+  CASE WHEN fr > 0 AND ff >= fr THEN concat('fillers-not-removed(', fr, '→', ff, ')') END,
+  CASE WHEN ratio < {ev.TOO_SHORT} THEN printf('too-short(%.2f)', ratio) END,
+  CASE WHEN ratio > {ev.TOO_LONG} THEN printf('too-long(%.2f)', ratio) END) AS flags FROM s""")
 def _(t):
     return _cards(t).select("conv_id", "turn", "model", F.round("length_ratio", 4).alias("length_ratio"),
                             F.array_join("flags", "; ").alias("flags"))

@@ -84,7 +84,21 @@ def _(t):
     return done.select("vec_id", F.size("out").alias("kept"), F.round(sg.energy(F.col("out")), 6).alias("energy"))
 
 
-@query("reference_clean_and_check")
+# Frames of 2,048 samples every 512, centred; silence outside of the clip.
+@query("reference_clean_and_check", f"""WITH e AS (SELECT vec_id, list_concat(list_transform(range(100), lambda z: 0.0::DOUBLE), {_DBL},
+  list_transform(range(CASE WHEN vec_id % 2 = 0 THEN 1300 ELSE 300 END), lambda z: 0.0::DOUBLE), {_DBL},
+  list_transform(range(500), lambda z: 0.0::DOUBLE)) AS s FROM embeddings),
+c AS (SELECT vec_id, len(s) AS n, list_transform(s, lambda x: x - m) AS s FROM (SELECT *, list_avg(s) AS m FROM e)),
+f AS (SELECT *, list_transform(range(n // 512 + 1), lambda f: greatest(1e-5, sqrt(coalesce(list_sum(list_transform(
+  s[greatest(1, f * 512 - 1023):least(n, f * 512 + 1024)], lambda x: x * x)), 0) / 2048))) AS rms FROM c),
+l AS (SELECT *, list_filter(range(len(rms)), lambda f: 20 * log10(rms[f + 1] / list_max(rms)) > -40) AS loud FROM f),
+k AS (SELECT *, s[loud[1] * 512 + 1:least(n, (loud[-1] + 1) * 512)] AS o FROM l),
+r AS (SELECT *, len(o) + 2 * CASE WHEN len(o) < n THEN least(100, (n - len(o)) // 2) ELSE 0 END AS kept,
+  list_max(list_transform(o, lambda x: abs(x))) AS peak, list_sum(list_transform(o, lambda x: x * x)) AS power FROM k)
+SELECT vec_id, CAST(kept AS INT) AS kept, CASE WHEN kept < 2000 THEN 'Audio too short (minimum 2.0 seconds)'
+  WHEN kept > 30000 THEN 'Audio too long (maximum 30.0 seconds)'
+  WHEN sqrt(power / kept) * CASE WHEN peak > 0.95 THEN 0.95 / peak ELSE 1 END < 0.01 THEN 'Audio is too quiet or silent' END AS problem
+FROM r""")
 def _(t):
     done = _clips(t).withColumn("out", sg.clean_reference(F.col("samples"), F.col("sr")))
     return done.select("vec_id", F.size("out").alias("kept"),

@@ -69,3 +69,9 @@ def test_persona(spark):
     assert got[0] == ["stage-directions=['*smiles*', '(leans in)']"]
     assert got[1] == ["empty-output"]
     assert got[2] == ["prompt-leak('As the character')", "refusal('I'm sorry,')"]
+
+
+def test_two_places_round_as_python_does(spark):
+    values = [a / b for b in (1, 3, 7, 8, 40, 200, 1000) for a in range(0, 900, 7)] + [0.125, 2.025, 2.015, 0.375, 1e5 + 0.005]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", ev.two_places(F.col("x")).alias("t")).collect()
+    assert [(r["x"], r["t"]) for r in got if r["t"] != f"{r['x']:.2f}"] == []
