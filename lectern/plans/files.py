@@ -187,7 +187,8 @@ def _(t):
     # A second run replaces the even projects only.
     pj.write_segments(segs.filter("project % 2 = 0").withColumn("text", F.lit("second")), path)
     return t.spark.read.schema(
-        "num int, profile_id string, text string, segment_id string, project bigint").parquet(path)
+        "project bigint, num int, profile_id string, text string, segment_id string").parquet(path).select(
+        "num", "profile_id", "text", "segment_id", "project")
 
 
 @query("chunk_sink_catalogue", """

@@ -10,6 +10,7 @@ from html.entities import name2codepoint
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from lectern.functions import text as tx
 from lectern.functions.rows import numbered_rows
 from lectern.operators.catalog import version_number
 from lectern.operators.ordered import block_of, row_numbers
+from lectern.session import written
 
 SEGMENT_SCHEMA = ("profile_id string, text string, generated_voice string, qc_score double, qc_duration double, "
                   "read int, qc_status string")
@@ -231,21 +233,47 @@ def markup_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
 # ---------------------------------------------------------------- sinks
 
 
+#: Folders of a sink.  It is part of the stored form: a project stays in its folder, so a new number needs a new store.
+SINK_FOLDERS = 64
+
+
+def _replace_projects(rows: DataFrame, path: str, block: Column) -> None:
+    """Replace the stored rows of exactly the projects in `rows`; projects are dealt to `SINK_FOLDERS` folders by hash.
+
+    Folders and files do not grow with the number of projects.  A folder that gets rows is written anew with the rows of its
+    other projects.  All that goes into a store that is there is first written to the scratch folder: the store is not read
+    while it changes, and after a failure between two folders their rows are still in the scratch folder.
+    """
+    dealt = rows.withColumn("project_folder", F.pmod(F.xxhash64(F.col("project").cast("string")), F.lit(SINK_FOLDERS)).cast("int"))
+    try:
+        stored = rows.sparkSession.read.parquet(path)
+    except AnalysisException as why:
+        if why.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    else:
+        dealt = written(dealt, "sink")
+        given = dealt.select("project", "project_folder").distinct()
+        own = given.select(F.col("project").alias("__project"))
+        kept = stored.join(given.select("project_folder").distinct(), "project_folder", "left_semi").join(
+            own, stored["project"].eqNullSafe(own["__project"]), "left_anti")
+        dealt = written(dealt.unionByName(kept, allowMissingColumns=True), "sink")
+    dealt.repartition("project_folder", block).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("project_folder").parquet(path)
+
+
 def write_segments(segments: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """Replace the stored segments of exactly the projects in `segments`.
 
-    Rows are spread by project and stretch of numbers, so a small project is
-    one file and a very large one is written by several tasks.  Each segment
-    gets its zero-padded id from its number.
+    Rows are spread by folder of projects and stretch of numbers, so small
+    projects share a file and a very large one is written by several tasks.
+    Each segment gets its zero-padded id from its number.
     """
     named = segments.withColumn("segment_id", F.concat(F.lit("seg"), F.lpad(F.col("num").cast("string"), 5, "0")))
-    spread = named.repartition("project", block_of(F.col("num"), rows_per_file))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
+    _replace_projects(named, path, block_of(F.col("num"), rows_per_file))
 
 
 def write_chunks(chunks: DataFrame, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
     """Replace the stored chunks of the projects in `chunks` and return the catalogue of these projects."""
-    spread = chunks.repartition("project", block_of(F.col("idx"), rows_per_file))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
+    _replace_projects(chunks, path, block_of(F.col("idx"), rows_per_file))
     stored = chunks.sparkSession.read.parquet(path).join(chunks.select("project").distinct(), "project", "left_semi")
     return stored.select("project", "idx", F.length("text").alias("chars"), tx.preview(F.col("text")).alias("preview"))

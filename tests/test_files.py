@@ -65,6 +65,20 @@ def test_sink_replaces_only_its_projects(spark, tmp_path):
     assert [(r["project"], r["segment_id"], r["text"]) for r in got] == [("a", "seg00001", "new"), ("b", "seg00001", "z")]
 
 
+def test_sink_does_not_grow_folders_with_projects(spark, tmp_path):
+    path, folders = str(tmp_path / "out"), lambda: len([p for p in (tmp_path / "out").iterdir() if p.is_dir()])
+    rows = spark.range(300).selectExpr("IF(id = 7, NULL, id) AS project", "CAST(id % 3 AS INT) AS num", "concat('t', id) AS text")
+    pj.write_segments(rows, path)
+    assert folders() <= pj.SINK_FOLDERS
+    again = rows.filter("project % 50 = 0 OR project IS NULL").withColumn("text", F.lit("new"))
+    pj.write_segments(again, path)
+    pj.write_segments(again.filter("project = 0").withColumn("num", F.lit(9)), path)
+    assert folders() <= pj.SINK_FOLDERS
+    got = {r["project"]: (r["segment_id"], r["text"]) for r in spark.read.parquet(path).collect()}
+    want = {i: (f"seg{i % 3:05d}", "new" if i % 50 == 0 else f"t{i}") for i in range(300) if i != 7}
+    assert got == want | {None: ("seg00001", "new"), 0: ("seg00009", "new")} and spark.read.parquet(path).count() == 300
+
+
 def test_json_maps(spark):
     df = spark.createDataFrame([('{"v1": {"0.5": 19, "1": 25.5}, "v2": {}}',), ("oops",)], "j string")
     got = pj.threshold_rows(df, "j").orderBy("bucket").collect()
