@@ -76,7 +76,7 @@ SELECT concat('p', conv_id) AS project, CAST(turn + 1 AS INT) AS num, CASE turn
 def _(t):
     root = scratch_path(t.spark, "takes")
     pj.write_files(t.conversations.selectExpr(f"substr({_PATHS}, 7) AS path", "role AS content"), root)
-    return pj.takes_from_paths(pj.list_files(t.spark, f"{root}/*/audio/*")).select("project", "num", "version", "k", "size")
+    return pj.takes_from_paths(pj.list_files(t.spark, f"{root}/*/audio")).select("project", "num", "version", "k", "size")
 
 
 @query("file_increments", """

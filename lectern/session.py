@@ -17,6 +17,8 @@ _DEFAULTS = {
     # Split a hot join key even when the split costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A task lists many folders; the default is a task for each of up to ten thousand.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
     # Streaming state outside the heap, so that many keys do not press on it.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,9 @@ from lectern.session import written
 
 SEGMENT_SCHEMA = ("profile_id string, text string, generated_voice string, qc_score double, qc_duration double, "
                   "read int, qc_status string")
+#: Small files: Spark's reader puts some 32 into a split, and a task takes up to so many splits.
+SPLITS_PER_TASK = 16
+TASKS_PER_CORE = 4
 _PROJECT = r"([^/]+)/(?:tts|book|audio)/[^/]+$"
 
 
@@ -40,16 +43,27 @@ def _with_place(df: DataFrame, path: Column) -> DataFrame:
     return ranked.withColumn("num", F.col("num").cast("int"))
 
 
+def _read_once(spark: SparkSession, reader: DataFrameReader, root: str, folder: str, files: str, name: str) -> DataFrame:
+    """The files `root/*/<folder>/<files>`, opened once: their rows and paths, written to the shared folder.
+
+    Folders are listed, not single files, and one task opens as many small files as it takes to keep tasks few.
+    """
+    raw = reader.option("pathGlobFilter", files).load(f"{root}/*/{folder}").withColumn("__path", F.input_file_name())
+    direct = raw.filter(F.col("__path").rlike(f"/{folder}/[^/]+$"))
+    tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, raw.rdd.getNumPartitions() // SPLITS_PER_TASK)
+    return written(direct.coalesce(tasks), name)
+
+
 def read_segments(spark: SparkSession, root: str) -> DataFrame:
     """`root/<project>/tts/seg*.json`; a file that is not valid JSON gives a row without fields."""
-    raw = spark.read.schema(SEGMENT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(
-        f"{root}/*/tts/seg*.json")
-    return _with_place(raw.withColumn("__path", F.input_file_name()), F.col("__path")).drop("__path")
+    reader = spark.read.format("json").schema(SEGMENT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
+    raw = _read_once(spark, reader, root, "tts", "seg*.json", "segments-read")
+    return _with_place(raw, F.col("__path")).drop("__path")
 
 
 def read_legacy_segments(spark: SparkSession, root: str) -> DataFrame:
     """`root/<project>/book/seg*.txt`, spoken by the narrator."""
-    raw = spark.read.text(f"{root}/*/book/seg*.txt", wholetext=True).withColumn("__path", F.input_file_name())
+    raw = _read_once(spark, spark.read.format("text").option("wholetext", True), root, "book", "seg*.txt", "legacy-read")
     placed = _with_place(raw, F.col("__path"))
     return placed.select("project", "file", "num", F.lit("Narrator").alias("profile_id"),
                          tx.strip(F.col("value")).alias("text"))

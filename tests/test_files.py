@@ -83,3 +83,15 @@ def test_json_maps(spark):
     df = spark.createDataFrame([('{"v1": {"0.5": 19, "1": 25.5}, "v2": {}}',), ("oops",)], "j string")
     got = pj.threshold_rows(df, "j").orderBy("bucket").collect()
     assert [(r["voice_id"], r["bucket"], r["pct"]) for r in got] == [("v1", "0.5", 19.0), ("v1", "1", 25.5)]
+
+
+def test_segment_files_are_opened_once(spark, tmp_path):
+    for p in ("a", "b"):
+        put(tmp_path / f"{p}/tts/seg00001.json", '{"text": "x"}')
+        put(tmp_path / f"{p}/tts/old/seg00002.json", '{"text": "deeper"}')
+        put(tmp_path / f"{p}/tts/note.json", '{"text": "other"}')
+        put(tmp_path / f"{p}/book/seg00001.txt", "y")
+    for rows in (pj.read_segments(spark, str(tmp_path)), pj.read_legacy_segments(spark, str(tmp_path))):
+        assert not [f for f in rows.inputFiles() if f.endswith((".json", ".txt"))]
+        assert [(r["project"], r["file"][:8], r["num"]) for r in rows.orderBy("project").collect()] == [
+            ("a", "seg00001", 1), ("b", "seg00001", 1)]
