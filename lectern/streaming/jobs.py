@@ -1,9 +1,10 @@
 """Streaming forms of the ordered-state operators.
 
-Keyed jobs hold a few numbers per key; rows of one key inside a micro-batch
-are put into time order first.  The size of a micro-batch (`files_per_batch`
-of the runner, or the offsets per trigger of the source) bounds what one key
-can bring at once.
+Keyed jobs hold a few numbers per key.  Spark sorts the rows of a micro-batch
+by key and time below the keyed operator, and they stream through it in pieces:
+however many rows a key brings at once, Python holds one piece.  Spark's check
+of streaming plans knows no sort inside a micro-batch, so these jobs are started
+by `runner.drain`, or with `spark.sql.streaming.unsupportedOperationCheck` off.
 
 How state ends: labels and log metrics keep it for a time to live after its
 last change, utterances and stale work until the watermark (ten minutes by
@@ -37,8 +38,10 @@ def latest_progress(updates: DataFrame) -> DataFrame:
     return st.latest_progress(updates)
 
 
-def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches), ignore_index=True).sort_values(order)
+def _in_order(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The rows of each micro-batch where their key's state is, by key and `order`; the keyed operator adds no sort."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, key).sortWithinPartitions(key, *order)
 
 
 #: How long the state of a queue is kept after its last change.
@@ -64,9 +67,18 @@ class AttemptLabels(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         given = self.success.get()
-        success_us = before = given[0] if given else None
-        known, changed, out = {}, set(), []
-        for row in _ordered(rows, ["at_us", "event_id"]).itertuples(index=False):
+        self.success_us = before = given[0] if given else None
+        known, changed = {}, set()
+        for piece in rows:
+            yield self._labelled(key, piece, known, changed)
+        for own in changed:
+            self.speeds.updateValue(own, known[own])
+        if self.success_us != before:
+            self.success.update((self.success_us,))
+
+    def _labelled(self, key, piece: pd.DataFrame, known: dict, changed: set) -> pd.DataFrame:
+        success_us, out = self.success_us, []
+        for row in piece.itertuples(index=False):
             own = (row.engine, row.model)
             if own not in known:
                 known[own] = self.speeds.getValue(own) if self.speeds.containsKey(own) else (None, 0)
@@ -82,11 +94,8 @@ class AttemptLabels(StatefulProcessor):
                     known[own] = (rate, seen)
                     changed.add(own)
             out.append((key[0], *own, row.event_id, warm, limit, label, rate, seen, success_us))
-        for own in changed:
-            self.speeds.updateValue(own, known[own])
-        if success_us != before:
-            self.success.update((success_us,))
-        yield pd.DataFrame(out, columns=_LABELS.split()).astype({"ms_per_char": "Float64", "success_us": "Int64"})
+        self.success_us = success_us
+        return pd.DataFrame(out, columns=_LABELS.split()).astype({"ms_per_char": "Float64", "success_us": "Int64"})
 
     def close(self) -> None:
         pass
@@ -117,7 +126,7 @@ def label_attempts(attempts: DataFrame, started_from: DataFrame | None = None, t
     rows = attempts.select(
         *[F.col(c).cast("string").alias(c) for c in ("queue", "engine", "model")], "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "chars", "duration_ms", "ok")
-    return rows.groupBy("queue").transformWithStateInPandas(
+    return _in_order(rows, "queue", "at_us", "event_id").groupBy("queue").transformWithStateInPandas(
         AttemptLabels(ttl_ms), _LABEL_TYPES, "Append", "ProcessingTime",
         started_from.groupBy("queue") if started_from is not None else None)
 
@@ -133,19 +142,19 @@ class LogMetrics(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         series, attempt, best = self.now.get() or (0, None, None)
-        out = []
-        lines = _ordered(rows, ["ts", "event_id"])
-        for event, told_attempt, told_best, told in zip(*[lines[c].tolist() for c in ("event_id", "attempt", "best", "told")]):
-            if not pd.isna(told_attempt):
-                attempt = int(told_attempt)
-                if attempt == 1:
-                    series, best = series + 1, None
-            if told:
-                best = None if pd.isna(told_best) else int(told_best)
-            out.append((key[0], event, series, attempt, best))
+        for lines in rows:
+            out = []
+            for event, told_attempt, told_best, told in zip(*[lines[c].tolist() for c in ("event_id", "attempt", "best", "told")]):
+                if not pd.isna(told_attempt):
+                    attempt = int(told_attempt)
+                    if attempt == 1:
+                        series, best = series + 1, None
+                if told:
+                    best = None if pd.isna(told_best) else int(told_best)
+                out.append((key[0], event, series, attempt, best))
+            yield pd.DataFrame(out, columns=["queue", "event_id", "series", "attempt", "best_percent"]).astype(
+                {"attempt": "Int32", "best_percent": "Int32"})
         self.now.update((series, attempt, best))
-        yield pd.DataFrame(out, columns=["queue", "event_id", "series", "attempt", "best_percent"]).astype(
-            {"attempt": "Int32", "best_percent": "Int32"})
 
     def close(self) -> None:
         pass
@@ -153,31 +162,31 @@ class LogMetrics(StatefulProcessor):
 
 def log_metrics(log: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
     """Series, attempt number and best percent after every log line; append mode."""
-    return log.select("queue", "event_id", F.col("ts").cast("timestamp").alias("ts"), *st.told_metrics()).groupBy(
-        "queue").transformWithStateInPandas(
+    rows = log.select("queue", "event_id", F.col("ts").cast("timestamp").alias("ts"), *st.told_metrics())
+    return _in_order(rows, "queue", "ts", "event_id").groupBy("queue").transformWithStateInPandas(
         LogMetrics(ttl_ms), "queue string, event_id bigint, series bigint, attempt int, best_percent int", "Append",
         "ProcessingTime")
 
 
 def _throttle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     sent_at, sent_pct = state.get if state.exists else (None, None)
-    rows = _ordered(batches, ["at_ms", "event_id"])
-    keep = []
-    for at, pct, status in zip(rows["at_ms"], rows["progress"], rows["status"]):
-        send = (sent_at is None or status in ("complete", "error") or at - sent_at >= st.THROTTLE_MS
-                or abs(pct - sent_pct) >= st.THROTTLE_POINTS)
-        if send:
-            sent_at, sent_pct = int(at), float(pct)
-        keep.append(send)
+    for rows in batches:
+        keep = []
+        for at, pct, status in zip(rows["at_ms"], rows["progress"], rows["status"]):
+            send = (sent_at is None or status in ("complete", "error") or at - sent_at >= st.THROTTLE_MS
+                    or abs(pct - sent_pct) >= st.THROTTLE_POINTS)
+            if send:
+                sent_at, sent_pct = int(at), float(pct)
+            keep.append(send)
+        yield rows.loc[keep, ["key", "event_id", "at_ms", "progress", "status"]]
     state.update((sent_at, sent_pct))
-    yield rows.loc[keep, ["key", "event_id", "at_ms", "progress", "status"]]
 
 
 def throttled_progress(updates: DataFrame) -> DataFrame:
     """Updates that are passed on to listeners; append mode."""
     rows = updates.withColumn("progress", st.progress_percent()).select(
         "key", "event_id", "at_ms", "progress", "status")
-    return rows.groupBy("key").applyInPandasWithState(
+    return _in_order(rows, "key", "at_ms", "event_id").groupBy("key").applyInPandasWithState(
         _throttle, "key string, event_id bigint, at_ms bigint, progress double, status string",
         "sent_at bigint, sent_pct double", "append", GroupStateTimeout.NoTimeout)
 

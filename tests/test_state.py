@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,38 @@ def test_log_metrics_stream(spark, tmp_path):
     for parts in (1, 4):
         got = drain(jobs.log_metrics(micro_batches(df, str(tmp_path / str(parts)), parts)), "append", empty_batches=False).orderBy("event_id").collect()
         assert [(r["event_id"], r["series"], r["attempt"], r["best_percent"]) for r in got] == want
+
+
+class FakeState(dict):
+    """What a processor needs of a value or map state."""
+
+    value = None
+    get, update = (lambda self: self.value), (lambda self, v: setattr(self, "value", v))
+    containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__
+
+
+def counted_pieces(columns, rows):
+    """Two rows a piece; `taken` tells how many pieces were asked for."""
+    taken = []
+
+    def pieces():
+        for at in range(0, len(rows), 2):
+            taken.append(at)
+            yield pd.DataFrame(rows[at:at + 2], columns=columns)
+
+    return pieces(), taken
+
+
+def streams_by_piece(run, taken, pieces, total):
+    assert len(next(run)) == 2 and len(taken) == 1  # the first piece is done before the second is read
+    rest = list(run)
+    assert len(taken) == pieces and sum(map(len, rest)) + 2 == total
+
+
+def test_labels_hold_one_piece_of_a_queue():
+    rows = [(f"e{i % 2}", "m", i, i * 1000, 10, 900.0, True) for i in range(8)]
+    given, taken = counted_pieces(["engine", "model", "event_id", "at_us", "chars", "duration_ms", "ok"], rows)
+    job = jobs.AttemptLabels(1000)
+    job.speeds, job.success = FakeState(), FakeState()
+    streams_by_piece(job.handleInputRows(("q",), given, None), taken, 4, 8)
+    assert job.success.value == (7000,) and job.speeds == {("e0", "m"): (40.0, 4), ("e1", "m"): (40.0, 4)}
