@@ -294,3 +294,11 @@ def test_labels_hold_one_piece_of_a_queue():
     job.speeds, job.success = FakeState(), FakeState()
     streams_by_piece(job.handleInputRows(("q",), given, None), taken, 4, 8)
     assert job.success.value == (7000,) and job.speeds == {("e0", "m"): (40.0, 4), ("e1", "m"): (40.0, 4)}
+
+
+def test_log_metrics_hold_one_piece_of_a_queue():
+    given, taken = counted_pieces(["event_id", "attempt", "best", "told"], [(i, i % 3 + 1, i, i % 2 == 0) for i in range(6)])
+    job = jobs.LogMetrics(1000)
+    job.now = FakeState()
+    streams_by_piece(job.handleInputRows(("q",), given, None), taken, 3, 6)
+    assert job.now.value == (2, 3, 4)
