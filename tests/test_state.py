@@ -302,3 +302,15 @@ def test_log_metrics_hold_one_piece_of_a_queue():
     job.now = FakeState()
     streams_by_piece(job.handleInputRows(("q",), given, None), taken, 3, 6)
     assert job.now.value == (2, 3, 4)
+
+
+def test_throttling_holds_one_piece_of_a_key():
+    class State(FakeState):
+        exists = False
+
+    rows = [("k", i, i * 100, float(i // 3), "downloading") for i in range(6)]
+    given, taken = counted_pieces(["key", "event_id", "at_ms", "progress", "status"], rows)
+    state = State()
+    run = jobs._throttle(("k",), given, state)
+    assert list(next(run)["event_id"]) == [0] and len(taken) == 1
+    assert [i for part in run for i in part["event_id"]] == [3] and state.value == (300, 1.0)
