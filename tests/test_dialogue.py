@@ -162,3 +162,22 @@ def test_integrity(spark):
     got = [r["c"] for r in at.integrity(df, "a", "b", "c").collect()]
     assert [(x["passage"], x["context"]) for x in got[0]["lost"]] == [("sept", "un deux trois quatre cinq six")]
     assert round(got[0]["ratio"], 4) == round(14 / 15, 4) and got[1]["ratio"] == 1.0 and got[1]["lost"] == []
+
+
+def test_fast_aside_search_finds_what_the_grammar_finds(one):
+    import random
+
+    from pyspark.sql import functions as F
+
+    def plain(p):
+        pieces = F.split(F.regexp_replace(p, f"({at.ASIDE})", "\x01$1\x01"), "\x01")
+        return tx.squeeze(F.array_join(F.transform(pieces, lambda x, i: F.when(
+            i % 2 == 1, F.concat(F.lit(" ("), tx.strip(x), F.lit(") "))).otherwise(x)), ""))
+
+    rng = random.Random(5)
+    words = [*at.SPEECH_VERBS, "Dit", "S'écria", "s’écriait", "lui", "celui", "maudit", "Anne", "-il", "le", "Vieux", ",", ".",
+             "avec joie", "« oui »", " ", "  ", "n'", "vous", "\t"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "", "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    texts += [f" {v} Anne d'un ton sec, puis." for v in at.SPEECH_VERBS]
+    assert one(lambda c: tx.squeeze(at._in_brackets(c)), *texts) == one(plain, *texts)
+    assert not at._ASIDE_CORE.startswith(r"(?U)\s*")

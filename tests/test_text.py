@@ -83,3 +83,12 @@ def test_upper_test(one):
     texts = ["ABC", "AbC", "1 2", "É À", "STRAßE", ""]
     assert one(tx.is_upper, *texts) == [t.isupper() for t in texts]
     assert not re.search("[a-z]", "ABC")
+
+
+def test_squeeze_takes_all_white_space(one):
+    from lectern.functions import text as tx
+
+    blanks = [chr(c) for c in range(0x3001) if not chr(c).strip() and chr(c) not in "\x00"]
+    texts = [f"a{b}b" for b in blanks] + [f"a {b}b" for b in blanks] + [f"{b} a{b}{b}b " for b in blanks]
+    assert one(tx.squeeze, *texts) == ["a b"] * len(texts)
+    assert one(tx.squeeze, "a​b", "a b c", "  ") == ["a​b", "a b c", ""]
