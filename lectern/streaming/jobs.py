@@ -39,9 +39,11 @@ def latest_progress(updates: DataFrame) -> DataFrame:
 
 
 def _in_order(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The rows of each micro-batch where their key's state is, by key and `order`; the keyed operator adds no sort."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, key).sortWithinPartitions(key, *order)
+    """The rows of each micro-batch where their key's state is, by key and `order`; the keyed operator adds no sort.
+
+    No number of tasks is given: the stream takes that of its checkpoint, as the state does.
+    """
+    return rows.repartition(key).sortWithinPartitions(key, *order)
 
 
 #: How long the state of a queue is kept after its last change.

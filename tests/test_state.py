@@ -314,3 +314,18 @@ def test_throttling_holds_one_piece_of_a_key():
     run = jobs._throttle(("k",), given, state)
     assert list(next(run)["event_id"]) == [0] and len(taken) == 1
     assert [i for part in run for i in part["event_id"]] == [3] and state.value == (300, 1.0)
+
+
+def test_order_holds_when_a_stream_goes_on_with_other_partitions(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    lines = [("q", i, T0 + dt.timedelta(seconds=i), f"Tentative {i % 4 + 1}/4") for i in range(40)]
+    df = spark.createDataFrame(lines, "queue string, event_id bigint, ts timestamp, line string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks, part in ((before, "event_id < 20"), ("7", "event_id >= 20")):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            df.filter(part).orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(folder)
+            got = drain(jobs.log_metrics(open_stream(spark, folder)), "append", out, check, empty_batches=False)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [(r["series"], r["attempt"]) for r in got.orderBy("event_id").collect()] == [(i // 4 + 1, i % 4 + 1) for i in range(40)]
