@@ -33,10 +33,19 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"[{_SPACES[:-1]}][{_SPACES}]*| [{_SPACES}]+", " "))
 
 
+def is_blank(c: Column) -> Column:
+    """Nothing but white space; reads no further than the first other sign."""
+    return F.ltrim(c, F.lit(BLANKS)) == ""
+
+
 def lines(text: Column) -> Column:
     """Text → array of lines; a final line break does not open an empty last line."""
-    parts = F.split(text, _LINE_BREAK)
-    return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def without_last(parts: Column) -> Column:
+        return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    # The parts are the variable of a lambda, so that a text is split once and not once per mention.
+    return F.get(F.transform(F.array(F.split(text, _LINE_BREAK)), without_last), F.lit(0))
 
 
 def words(text: Column) -> Column:
@@ -206,7 +215,7 @@ def apply_rules_to_lines(array: Column, rules: list[Rule] | Column) -> Column:
     line breaks made by a rule cut the line again.  Rules that differ by row are
     a column `array<struct<pattern, replacement>>`; each is compiled once per row.
     """
-    had = lambda x: (strip(x) != "").alias("had")
+    had = lambda x: (~is_blank(x)).alias("had")
     if isinstance(rules, Column):
         now = F.aggregate(rules, array, lambda xs, r: F.transform(
             xs, lambda x: F.regexp_replace(x, r["pattern"], r["replacement"])))
@@ -215,8 +224,9 @@ def apply_rules_to_lines(array: Column, rules: list[Rule] | Column) -> Column:
         return array
     else:
         done = F.transform(array, lambda x: F.struct(had(x), apply_rules(x, rules).alias("now")))
-    kept = F.filter(done, lambda r: ~(r["had"] & (strip(r["now"]) == "")))
-    return F.flatten(F.transform(kept, lambda r: F.when(r["now"] == "", F.array(F.lit(""))).otherwise(lines(r["now"]))))
+    kept = F.filter(done, lambda r: ~(r["had"] & is_blank(r["now"])))
+    return F.flatten(F.transform(kept, lambda r: F.when(
+        ~r["now"].rlike(_LINE_BREAK), F.array(r["now"])).otherwise(lines(r["now"]))))
 
 
 # ---------------------------------------------------------------- line filters

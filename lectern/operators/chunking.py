@@ -114,7 +114,7 @@ def sentences(text: Column) -> Column:
     shielded = F.regexp_replace(text, rf"\.(?<=(?:{_alternatives(PROTECTED)})\.)", "\x00")
     cut = F.regexp_replace(
         shielded, rf"(?U)([.!?…]+[\"»”'\)\]]?){tx.SPACE}+(?=[«\"“\(\[A-ZÀ-ÖØ-Þ0-9—–-])", "$1\n")
-    parts = F.transform(F.split(F.translate(cut, "\x00", "."), "\n"), tx.strip)
+    parts = F.transform(F.split(F.replace(cut, F.lit("\x00"), F.lit(".")), "\n"), tx.strip)
     return F.filter(parts, lambda s: s != "")
 
 

@@ -10,6 +10,25 @@ def test_lines_follow_splitlines(one):
     assert one(tx.lines, *texts) == [t.splitlines() for t in texts]
 
 
+def test_a_text_is_split_once(spark):
+    df = spark.createDataFrame([("a\nb",)], "t string")
+    plan = lambda c: df.select(c.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tx.lines(F.col("t"))).count("split(") == 1
+    # Once for the text, once for the lines into which a rule has put a break.
+    assert plan(tx.apply_rules_to_lines(tx.lines(F.col("t")), [tx.Rule("a", "b")])).count("split(") == 2
+
+
+def test_blank_follows_strip(one):
+    texts = ["", " ", "\xa0\t", " a", "a ", "\u3000\u2028\n", "\u200b"]
+    assert one(tx.is_blank, *texts) == [not t.strip() for t in texts]
+
+
+def test_rules_that_end_a_line_or_break_it_with_other_signs(one):
+    rules = [tx.Rule("-", "\\n"), tx.Rule("x", "\x0b"), tx.Rule("z", "\r\n")]
+    got = one(lambda c: tx.apply_rules_to_lines(tx.lines(c), rules), "a-\nbxc\ndz\n\ne-", None)
+    assert got == [["a", "b", "c", "d", "", "e"], None]
+
+
 def test_strip_and_words_follow_python(one):
     texts = ["  a b ", "\xa0x ", "\t\n", "", "l m  n"]
     assert one(tx.strip, *texts) == [t.strip() for t in texts]
