@@ -22,6 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.operators import state as st
+from lectern.session import scratch_path
+from lectern.streaming.runner import open_stream
 
 WATERMARK = "10 minutes"
 
@@ -53,30 +55,42 @@ STATE_TTL_MS = 30 * 24 * 3_600_000
 class AttemptLabels(StatefulProcessor):
     """Labels one queue's attempts in order: the averages of its engines and models, and its last success."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int, started: bool = False):
+        self.ttl_ms, self.started = ttl_ms, started
 
     def init(self, handle) -> None:
         self.speeds = handle.getMapState("speeds", "engine string, model string", "rate double, seen bigint", self.ttl_ms)
         self.success = handle.getValueState("success", "at_us bigint", self.ttl_ms)
+        if self.started:
+            self.begun = handle.getValueState("begun", "begun boolean")
 
-    def handleInitialState(self, key, rows: pd.DataFrame, timer) -> None:
-        for row in rows.itertuples(index=False):
+    def _begin(self, piece: pd.DataFrame, new: bool, known: dict, changed: set) -> pd.DataFrame:
+        """The attempts of a piece.  Rows of the state before them come first; a queue that is not new has its own."""
+        attempt = piece["attempt"].astype(bool)
+        for row in piece[~attempt].itertuples(index=False) if new else ():
             if row.samples > 0:
-                self.speeds.updateValue((row.engine, row.model), (float(row.ms_per_char), int(row.samples)))
+                known[row.engine, row.model] = (float(row.ms_per_char), int(row.samples))
+                changed.add((row.engine, row.model))
             if not pd.isna(row.success_us):
-                self.success.update((int(row.success_us),))
+                self.success_us = int(row.success_us)
+        return piece[attempt]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         given = self.success.get()
         self.success_us = before = given[0] if given else None
         known, changed = {}, set()
+        new = self.started and self.begun.get() is None
         for piece in rows:
-            yield self._labelled(key, piece, known, changed)
+            if self.started:
+                piece = self._begin(piece, new, known, changed)
+            if len(piece):
+                yield self._labelled(key, piece, known, changed)
         for own in changed:
             self.speeds.updateValue(own, known[own])
         if self.success_us != before:
             self.success.update((self.success_us,))
+        if new:
+            self.begun.update((True,))
 
     def _labelled(self, key, piece: pd.DataFrame, known: dict, changed: set) -> pd.DataFrame:
         success_us, out = self.success_us, []
@@ -119,18 +133,38 @@ def batch_states(labelled: DataFrame) -> DataFrame:
         "queue", "engine", "model", "ms_per_char", F.coalesce("samples", F.lit(0)).cast("bigint").alias("samples"), "success_us")
 
 
-def label_attempts(attempts: DataFrame, started_from: DataFrame | None = None, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+def _states_as_rows(states: DataFrame, folder: str | None) -> DataFrame:
+    """States (see `batch_states`) as a stream of rows beside the attempts, all of them in its first micro-batch.
+
+    Spark's own way to give a stream its first state keeps all rows of a key in Python until the state is read.
+    """
+    path = folder or scratch_path(states.sparkSession, "stream-start")
+    states.write.mode("append").parquet(path)  # a checkpoint may name the files that are there
+    return open_stream(states.sparkSession, path, files_per_batch=2**31 - 1).select(
+        *[F.col(c).cast("string").alias(c) for c in ("queue", "engine", "model")], "ms_per_char", "samples", "success_us",
+        F.lit(False).alias("attempt"))
+
+
+def label_attempts(attempts: DataFrame, started_from: DataFrame | None = None, ttl_ms: int = STATE_TTL_MS,
+                   start_folder: str | None = None) -> DataFrame:
     """Each attempt with its label, its limit, and the state after it; append mode.
 
-    `started_from` (see `batch_states`) is the state before the first attempt of the stream.  Averages and successes that
+    `started_from` (see `batch_states`) is the state before the first attempt of the stream, kept in `start_folder`.  A stream
+    that goes on from a checkpoint needs both again; queues already seen keep their own state.  Averages and successes that
     nothing changed for `ttl_ms` are forgotten.  A queue is labelled in order by one task, as its state demands.
     """
     rows = attempts.select(
         *[F.col(c).cast("string").alias(c) for c in ("queue", "engine", "model")], "event_id",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "chars", "duration_ms", "ok")
-    return _in_order(rows, "queue", "at_us", "event_id").groupBy("queue").transformWithStateInPandas(
-        AttemptLabels(ttl_ms), _LABEL_TYPES, "Append", "ProcessingTime",
-        started_from.groupBy("queue") if started_from is not None else None)
+    order = ["at_us", "event_id"]
+    if started_from is not None:
+        blank = {c: F.lit(0) for c in ("event_id", "at_us", "chars", "duration_ms")}  # no nulls: integers stay integers
+        known = {c: F.lit(None).cast(kind) for c, kind in (
+            ("ms_per_char", "double"), ("samples", "bigint"), ("success_us", "bigint"))}
+        states = _states_as_rows(started_from, start_folder).withColumns({**blank, "ok": F.lit(False)})
+        rows, order = rows.withColumns({**known, "attempt": F.lit(True)}).unionByName(states), ["attempt", *order]
+    return _in_order(rows, "queue", *order).groupBy("queue").transformWithStateInPandas(
+        AttemptLabels(ttl_ms, started_from is not None), _LABEL_TYPES, "Append", "ProcessingTime")
 
 
 class LogMetrics(StatefulProcessor):

@@ -296,6 +296,34 @@ def test_labels_hold_one_piece_of_a_queue():
     assert job.success.value == (7000,) and job.speeds == {("e0", "m"): (40.0, 4), ("e1", "m"): (40.0, 4)}
 
 
+def test_labels_from_a_state_hold_one_piece_of_a_queue():
+    columns = ["engine", "model", "event_id", "at_us", "chars", "duration_ms", "ok", "ms_per_char", "samples", "success_us", "attempt"]
+    states = [("e0", "m", 0, 0, 0, 0.0, False, 10.0, 5, 100, False), (None, None, 0, 0, 0, 0.0, False, None, 0, 100, False)]
+    rows = [("e0", "m", i, i * 1000, 10, 900.0, True, None, None, None, True) for i in range(6)]
+    job = jobs.AttemptLabels(1000, started=True)
+    job.speeds, job.success, job.begun = FakeState(), FakeState(), FakeState()
+    given, taken = counted_pieces(columns, states + rows)
+    run = job.handleInputRows(("q",), given, None)
+    first = next(run)
+    assert list(first["warm"]) == [True, True] and list(first["samples"]) == [6, 7] and len(taken) == 2
+    assert sum(map(len, run)) == 4 and len(taken) == 4 and job.speeds["e0", "m"][1] == 11
+    given, _ = counted_pieces(columns, states)  # given again, the queue keeps its own
+    assert list(job.handleInputRows(("q",), given, None)) == [] and job.speeds["e0", "m"][1] == 11 and job.success.value == (5000,)
+
+
+def test_a_stream_given_its_first_state_again_keeps_its_own(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    rows = sorted(random_attempts(90, span=30_000), key=lambda r: r[2])
+    labels, _, _ = walk(rows)
+    states = jobs.batch_states(st.label_attempts(samples(spark, rows).filter("event_id < 30")))
+    for part in ("event_id BETWEEN 30 AND 59", "event_id >= 60"):
+        samples(spark, rows).filter(part).orderBy(F.desc("event_id")).coalesce(1).write.mode("append").parquet(folder)
+        labelled = jobs.label_attempts(open_stream(spark, folder), states, start_folder=str(tmp_path / "start"))
+        got = drain(labelled, "append", out, check, empty_batches=False)
+    found = [(r["event_id"], r["warm"], r["label"]) for r in got.orderBy("event_id").collect()]
+    assert found == [(i, w, x) for i, w, _, x in labels if i >= 30]
+
+
 def test_log_metrics_hold_one_piece_of_a_queue():
     given, taken = counted_pieces(["event_id", "attempt", "best", "told"], [(i, i % 3 + 1, i, i % 2 == 0) for i in range(6)])
     job = jobs.LogMetrics(1000)
